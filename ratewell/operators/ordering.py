@@ -24,11 +24,13 @@ def running_total(
     *,
     longest: int | None = None,
     group_rows: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``amount`` from the first row of the group up to this one.
 
     ``order`` must be unique within a group. ``longest`` is the caller's promise on
-    the rows per group; with it no size check runs.
+    the rows per group; with it no size check runs. ``sizes`` are rows per group
+    where the caller has counted them.
     """
     if not keys:
         raise ValueError("running_total needs at least one key column")
@@ -39,7 +41,7 @@ def running_total(
     total = F.sum("_amount").over(up_to_here)
     if longest is not None and longest <= limit:
         return df.withColumn(out, total).drop("_amount")
-    split = scale.split_heavy(df, keys, limit)
+    split = scale.split_heavy(df, keys, limit, sizes)
     result = split.light.withColumn(out, total)
     if split.heavy is not None:
         slices = max(2, math.ceil(split.heavy_rows / limit))
@@ -105,12 +107,12 @@ def quantiles(
     Equal values are counted before any ordering, so only distinct values are
     ranked; each wanted rank is then picked from the row that covers it.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
-    )
-    ranked = running_total(counts, keys, [value], F.col("_count"), "_upto", group_rows=group_rows)
-    totals = counts.groupBy(*keys).agg(F.sum("_count").alias("_total"))
+    rows = df.where(F.col(value).isNotNull())
+    sizes = scale.settle(scale.group_sizes(rows, keys))
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
+    ranked = running_total(
+        counts, keys, [value], F.col("_count"), "_upto", group_rows=group_rows, sizes=sizes)
+    totals = sizes.withColumnRenamed("_rows", "_total")
     ranked = scale.join_dimension(ranked, totals, keys, group_rows=group_rows)
 
     def at_rank(rank: Column) -> Column:

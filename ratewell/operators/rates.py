@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ratewell import scale
 from ratewell.functions.clock import seconds_between, whole_minutes
 from ratewell.functions.lines import intercept, line_sums, r_squared, slope
-from ratewell.operators.ordering import number_heavy
+from ratewell.operators.ordering import number_heavy, number_rows
 
 CHUNK_ROWS = 100_000
+# Largest rank that Spark limits before a shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 
 
 def elapsed_minutes(df: DataFrame, keys: list[str], time: str, out: str = "minutes") -> DataFrame:
@@ -42,12 +44,14 @@ def trim_reads(
 
     The upper bound lets Spark drop later reads in every map task, before the
     shuffle, so a long series sends only its first ``hi`` reads per input split.
+    Beyond Spark's limit for that, reads are numbered in slices instead.
     """
     place = out or "_place"
-    kept = (
-        df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        .where((F.col(place) <= hi) & (F.col(place) >= lo))
-    )
+    if hi > GROUP_LIMIT:
+        numbered = number_rows(df, keys, order, place)
+    else:
+        numbered = df.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    kept = numbered.where((F.col(place) <= hi) & (F.col(place) >= lo))
     return kept if out else kept.drop(place)
 
 

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ratewell import scale
 from ratewell.functions.text import token
 from ratewell.operators import calibrate, controls, normalize, rates
 
@@ -137,6 +138,8 @@ def screen(
     progress = calibrate.apply_calibration(samples, calibration, keys, value).select(
         *keys, "label", "substrate", "colony", "minutes", "nmol")
     trimmed, fits, best = steepest(progress, [*keys, "substrate", "colony"], "label", "nmol", settings)
+    # One row per series, read four times below: cut here, or every table fits all windows again.
+    best = scale.settle(best)
     result = best if protein is None else normalize.per_protein(best, protein, "colony", "sample", "nm_per_od")
     by = [*keys, "substrate"]
     change = normalize.fold_change(result, by, F.col("colony") == reference, "max_slope")

@@ -64,16 +64,25 @@ class HeavySplit(NamedTuple):
     heavy_rows: int
 
 
-def split_heavy(df: DataFrame, keys: list[str], group_rows: int | None = None) -> HeavySplit:
+def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per group; combines in the map tasks, so no group travels whole."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def split_heavy(
+    df: DataFrame, keys: list[str], group_rows: int | None = None, sizes: DataFrame | None = None
+) -> HeavySplit:
     """Split rows by the size of their group.
 
-    The list of heavy keys has at most (all rows / ``group_rows``) entries, which
-    bounds its broadcast. Counting combines before the shuffle.
+    ``sizes`` (keys, ``_rows``) may be given where it is known already; it may
+    overstate. The list of heavy keys has at most (all rows / ``group_rows``)
+    entries, which bounds its broadcast.
     """
     limit = GROUP_ROWS if group_rows is None else group_rows
-    sizes = settle(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit))
-    total = sizes.agg(F.sum("_rows")).first()[0]
-    heavy_keys = F.broadcast(sizes.select(*keys))
+    sizes = group_sizes(df, keys) if sizes is None else sizes
+    large = settle(sizes.where(F.col("_rows") > limit))
+    total = large.agg(F.sum("_rows")).first()[0]
+    heavy_keys = F.broadcast(large.select(*keys))
     if total is None:
         return HeavySplit(None, df, heavy_keys, 0)
     return HeavySplit(

@@ -60,30 +60,30 @@ def dose_from_label(spark: SparkSession, folder: str) -> DataFrame:
 
 def replicate_stats(spark: SparkSession, folder: str) -> DataFrame:
     reads = events(spark, folder).withColumn("day", F.to_date("ts"))
-    return controls.replicate_stats(reads, ["event_type", "day"], "value").withColumns(rounded({"mean": 6, "sd": 6}))
+    return controls.replicate_stats(reads, ["event_type", "day"], "value").withColumns(rounded({"mean": 8, "sd": 8}))
 
 
 def replicate_attach(spark: SparkSession, folder: str) -> DataFrame:
     reads = events(spark, folder).withColumn("idvar", F.concat_ws("_", "event_type", F.to_date("ts").cast("string")))
     return controls.attach_stats(reads.select("event_id", "idvar", "value"), ["idvar"], "value").withColumns(
-        rounded({"mean": 6, "sd": 6}))
+        rounded({"mean": 8, "sd": 8}))
 
 
 def paired_control(spark: SparkSession, folder: str) -> DataFrame:
     reads = events(spark, folder).withColumn("day", F.to_date("ts"))
-    return controls.subtract_control(reads, ["day"], "event_type", "value", PAIRS).withColumns(rounded({"mean": 6}))
+    return controls.subtract_control(reads, ["day"], "event_type", "value", PAIRS).withColumns(rounded({"mean": 8}))
 
 
 PAIRED_SQL = "\nUNION ALL\n".join(
     f"""SELECT CAST(ts AS DATE) AS day, '{name}' AS id,
-       round(avg(value) FILTER (WHERE event_type = '{sample}') - avg(value) FILTER (WHERE event_type = '{control}'), 6) AS mean
+       round(avg(value) FILTER (WHERE event_type = '{sample}') - avg(value) FILTER (WHERE event_type = '{control}'), 8) AS mean
 FROM events WHERE event_type IN ('{sample}', '{control}') GROUP BY 1""" for sample, control, name in PAIRS)
 
 
 def blank_corrected(spark: SparkSession, folder: str) -> DataFrame:
     reads = events(spark, folder).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     corrected = controls.subtract_blank(reads, ["hour"], F.col("event_type") == "error", "value")
-    return corrected.select("event_id", "event_type", F.round("corrected", 6).alias("corrected"))
+    return corrected.select("event_id", "event_type", F.round("corrected", 8).alias("corrected"))
 
 
 def progress_curve(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,13 +91,13 @@ def progress_curve(spark: SparkSession, folder: str) -> DataFrame:
     reads = events(spark, folder).withColumn("hour", F.floor(F.col("minutes") / 60))
     stats = controls.replicate_stats(reads, ["event_type", "hour"], "value")
     return stats.withColumns({"lo": F.col("mean") - F.col("sd"), "hi": F.col("mean") + F.col("sd")}).withColumns(
-        rounded({"mean": 6, "sd": 6, "lo": 6, "hi": 6}))
+        rounded({"mean": 8, "sd": 8, "lo": 8, "hi": 8}))
 
 
 def pivot_series(spark: SparkSession, folder: str) -> DataFrame:
     reads = events(spark, folder).withColumn("day", F.to_date("ts"))
     names = ["click", "error", "purchase", "signup", "view"]
-    return cleaning.spread(reads, ["day"], "event_type", names, "value").withColumns(rounded({n: 6 for n in names}))
+    return cleaning.spread(reads, ["day"], "event_type", names, "value").withColumns(rounded({n: 8 for n in names}))
 
 
 def wide_melt(spark: SparkSession, folder: str) -> DataFrame:
@@ -145,25 +145,25 @@ SELECT p_partkey, split_part(p_name, ' ', -1) AS kind, round(ul, 6) AS ul, round
        round(ul * 0.04::DOUBLE * 1e6, 4) AS nm, round(ul * 8, 6) AS nmol
 FROM (SELECT *, TRY_CAST(split_part(p_brand, '#', -1) AS DOUBLE) AS ul FROM part)"""),
     "replicate_stats": Query(replicate_stats, """
-SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, count(value) AS n
+SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 8) AS mean, round(stddev_samp(value), 8) AS sd, count(value) AS n
 FROM events GROUP BY 1, 2"""),
     "replicate_attach": Query(replicate_attach, """
-SELECT event_id, idvar, value, round(avg(value) OVER g, 6) AS mean, round(stddev_samp(value) OVER g, 6) AS sd,
+SELECT event_id, idvar, value, round(avg(value) OVER g, 8) AS mean, round(stddev_samp(value) OVER g, 8) AS sd,
        count(value) OVER g AS n
 FROM (SELECT *, event_type || '_' || CAST(CAST(ts AS DATE) AS VARCHAR) AS idvar FROM events)
 WINDOW g AS (PARTITION BY idvar)"""),
     "paired_control": Query(paired_control, PAIRED_SQL),
     "blank_corrected": Query(blank_corrected, """
 WITH blank AS (SELECT date_trunc('hour', ts) AS hour, avg(value) AS mean FROM events WHERE event_type = 'error' GROUP BY 1)
-SELECT event_id, event_type, round(value - mean, 6) AS corrected
+SELECT event_id, event_type, round(value - mean, 8) AS corrected
 FROM events JOIN blank ON date_trunc('hour', ts) = hour WHERE event_type <> 'error'"""),
     "progress_curve": Query(progress_curve, """
 WITH g AS (SELECT event_type, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 / 60 / 60) AS BIGINT) AS hour,
                   avg(value) AS mean, stddev_samp(value) AS sd, count(value) AS n FROM events GROUP BY 1, 2)
-SELECT event_type, hour, round(mean, 6) AS mean, round(sd, 6) AS sd, n, round(mean - sd, 6) AS lo, round(mean + sd, 6) AS hi FROM g"""),
+SELECT event_type, hour, round(mean, 8) AS mean, round(sd, 8) AS sd, n, round(mean - sd, 8) AS lo, round(mean + sd, 8) AS hi FROM g"""),
     "pivot_series": Query(pivot_series, """
 SELECT CAST(ts AS DATE) AS day, """ + ", ".join(
-        f"round(avg(value) FILTER (WHERE event_type = '{n}'), 6) AS {n}"
+        f"round(avg(value) FILTER (WHERE event_type = '{n}'), 8) AS {n}"
         for n in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1"),
     "wide_melt": Query(wide_melt, "\nUNION ALL\n".join(
         f"SELECT l_orderkey, l_linenumber, '{c}' AS variable, {c} AS value FROM lineitem"

@@ -62,7 +62,7 @@ def hplc_time_course(spark: SparkSession, folder: str) -> DataFrame:
 def trace_window(spark: SparkSession, folder: str) -> DataFrame:
     trace = events(spark, folder).where(F.col("event_type") != "error")
     shown = sections.trace_window(trace, "minutes", 40000.0, (3000.0, 30000.0))
-    return shown.select("event_id", "event_type", F.round("minutes", 6).alias("minutes"), "value")
+    return shown.select("event_id", "event_type", F.round("minutes", 9).alias("minutes"), "value")
 
 
 def classify_first_match(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +111,7 @@ SELECT p_partkey, enzyme, compound, CAST(p_size AS DOUBLE) AS time_hrs, p_retail
        round(avg(p_retailprice) OVER g, 6) AS mean, round(stddev_samp(p_retailprice) OVER g, 6) AS sd, count(*) OVER g AS n
 FROM p WINDOW g AS (PARTITION BY idvar)"""),
     "trace_window": Query(trace_window, """
-SELECT event_id, event_type, round(minutes, 6) AS minutes, value
+SELECT event_id, event_type, round(minutes, 9) AS minutes, value
 FROM (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 / 60 AS minutes FROM events)
 WHERE event_type <> 'error' AND minutes < 40000 AND minutes BETWEEN 3000 AND 30000"""),
     "classify_first_match": Query(classify_first_match, """
