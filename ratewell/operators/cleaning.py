@@ -43,6 +43,12 @@ def drop_incomplete_reads(reads: DataFrame, wells: str = "wells") -> DataFrame:
     return reads.na.drop("any").where(~F.exists(wells, lambda w: w.isNull()))
 
 
+def drop_incomplete_long(df: DataFrame, read: list[str], value: str) -> DataFrame:
+    """Long form: drop all wells of a read in which any well is empty."""
+    gaps = df.where(F.col(value).isNull()).select(*read).distinct()
+    return df.join(gaps, read, "left_anti")
+
+
 def melt(df: DataFrame, ids: list[str], values: list[str], variable: str = "variable", value: str = "value") -> DataFrame:
     """Wide to long."""
     return df.unpivot(ids, values, variable, value)

@@ -32,7 +32,7 @@ def explode_wells(reads: DataFrame, keys: list[str], wells: str = "wells", out:
 def label_wells(observations: DataFrame, plate_map: DataFrame, keys: list[str]) -> DataFrame:
     """Give every observation the template label at its position; unlabelled wells drop."""
     labelled = plate_map.where(F.col("label").isNotNull()).select(*keys, "well_idx", "label")
-    return scale.join_dimension(observations, labelled, [*keys, "well_idx"])
+    return scale.join_dimension(observations, labelled, [*keys, "well_idx"], settled=True)
 
 
 def layout_check(instrument: DataFrame, template: DataFrame, keys: list[str], position: str) -> DataFrame:

@@ -43,7 +43,7 @@ def per_protein(
     if not table.groupBy(on).count().where("count > 1").isEmpty():
         raise ValueError(f"{sample} names a sample twice")
     return (
-        scale.join_dimension(rates, table, [on], "left")
+        scale.join_dimension(rates, table, [on], "left", settled=True)
         .withColumn(rate, F.try_divide(F.col(rate), F.col("_protein") / 1000))
         .drop("_protein")
     )

@@ -113,7 +113,7 @@ def quantiles(
     ranked = running_total(
         counts, keys, [value], F.col("_count"), "_upto", group_rows=group_rows, sizes=sizes)
     totals = sizes.withColumnRenamed("_rows", "_total")
-    ranked = scale.join_dimension(ranked, totals, keys, group_rows=group_rows)
+    ranked = scale.join_dimension(ranked, totals, keys, group_rows=group_rows, settled=True)
 
     def at_rank(rank: Column) -> Column:
         covers = (F.col("_upto") - F.col("_count") <= rank) & (rank < F.col("_upto"))

@@ -44,6 +44,11 @@ def byte_size(df: DataFrame) -> int:
     return int(row[0] or 0)
 
 
+def fits_broadcast(df: DataFrame, limit: int) -> bool:
+    """Whether the table may be broadcast; the row count alone rules out large ones."""
+    return df.count() <= limit // 8 and byte_size(df) <= limit
+
+
 def match_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL; keeps the left key columns."""
     other = right.withColumnsRenamed({k: f"_match_{k}" for k in keys})
@@ -100,22 +105,24 @@ def join_dimension(
     how: str = "inner",
     broadcast_bytes: int | None = None,
     group_rows: int | None = None,
+    settled: bool = False,
 ) -> DataFrame:
     """Join rows to a per-key table computed from data.
 
-    The table is settled once and broadcast if its bytes allow. Otherwise rows of
-    heavy keys meet a broadcast of just those keys, and all other rows shuffle.
+    The table is settled once (``settled`` says it is, or is a plain scan) and
+    broadcast if its bytes allow. Otherwise rows of heavy keys meet a broadcast of
+    just those keys, and all other rows shuffle.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    dimension = settle(dimension)
-    if byte_size(dimension) <= limit:
+    dimension = dimension if settled else settle(dimension)
+    if fits_broadcast(dimension, limit):
         return df.join(F.broadcast(dimension), on, how)
     split = split_heavy(df, on, group_rows)
     spread = split.light.join(dimension, on, how)
     if split.heavy is None:
         return spread
     part = settle(dimension.join(split.heavy_keys, on, "left_semi"))
-    part = F.broadcast(part) if byte_size(part) <= limit else part
+    part = F.broadcast(part) if fits_broadcast(part, limit) else part
     return split.heavy.join(part, on, how).unionByName(spread)
 
 

@@ -19,7 +19,7 @@ def per_enzyme_rate(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_extendedprice")
     amount = normalize.enzyme_nmol(F.col("l_quantity"), F.col("l_discount"), F.sqrt("p_retailprice") * 1000)
     scaled = normalize.per_enzyme(
-        scale.join_dimension(rows, parts, ["l_partkey"]), amount, divisor=120, rate="l_extendedprice")
+        scale.join_dimension(rows, parts, ["l_partkey"], settled=True), amount, divisor=120, rate="l_extendedprice")
     return scaled.withColumns(rounded({"sec_slope": 6, "nm_slope": 4})).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "sec_slope", "nm_slope")
 

@@ -95,6 +95,13 @@ def test_drop_incomplete_reads(spark):
     assert [r["read_idx"] for r in cleaning.drop_incomplete_reads(reads).collect()] == [0]
 
 
+def test_drop_incomplete_long(spark):
+    rows = [("p", 0, 1.0), ("p", 0, 2.0), ("p", 1, None), ("p", 1, 2.0), ("q", 1, 3.0)]
+    df = spark.createDataFrame(rows, "plate_id string, read_idx int, value double")
+    left = cleaning.drop_incomplete_long(df, ["plate_id", "read_idx"], "value")
+    assert sorted((r["plate_id"], r["read_idx"]) for r in left.collect()) == [("p", 0), ("p", 0), ("q", 1)]
+
+
 def test_substring_drops_ignore_case(spark):
     df = spark.createDataFrame([("Paracetamol_1",), ("urea",), ("TrimethylAcetate",)], "variable string")
     kept = cleaning.drop_labels_containing(df, "variable", ["trimethylacet", "PARACET"])

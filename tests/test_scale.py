@@ -20,7 +20,7 @@ def as_set(df):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("broadcast_bytes, group_rows", [(0, 50), (0, None), (40, 50)])
+@pytest.mark.parametrize("broadcast_bytes, group_rows", [(0, 50), (0, None), (120, 50)])
 def test_join_paths_agree(spark, how, broadcast_bytes, group_rows):
     plain = facts(spark).join(dims(spark), ["k"], how)
     got = scale.join_dimension(facts(spark), dims(spark), ["k"], how, broadcast_bytes, group_rows)
