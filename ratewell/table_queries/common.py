@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewell.functions.clock import seconds_between
+from ratewell.scale import ensure_checkpoint_dir
 
 
 class Query(NamedTuple):
@@ -23,6 +25,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, where all executors can read and write."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+
+
 def rounded(places: dict[str, int]) -> dict[str, Column]:
     """Rounded columns, so that the last bits of a sum do not count."""
     return {name: F.round(name, digits) for name, digits in places.items()}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ratewell import scale, schemas
 from ratewell.functions.text import first_match, first_number, token
 from ratewell.operators import controls, sections
-from ratewell.sources.scans import scan_provenance
-from ratewell.sources.sinks import catalogue as catalogue_of
-from ratewell.table_queries.common import Query, events, table
+from ratewell.sources import scans, sinks
+from ratewell.table_queries.common import Query, events, scratch_folder, table
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -28,7 +29,7 @@ def section_numbers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def provenance_scan(spark: SparkSession, folder: str) -> DataFrame:
-    rows = scan_provenance(spark, f"{folder}/*.parquet", include=r"\.parquet$", exclude="~|setup|Bradford|screenshot")
+    rows = scans.scan_provenance(spark, f"{folder}/*.parquet", include=r"\.parquet$", exclude="~|setup|Bradford|screenshot")
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -82,10 +83,44 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
                  F.lit("_all_data_calculated_slopes.csv")).alias("file_name"),
         F.col("l_orderkey").alias("org"), (F.col("l_extendedprice") / 7).alias("max_slope"),
         (F.col("l_partkey") / 7).alias("r2"))
-    return catalogue_of(orders.unionByName(items))
+    return sinks.catalogue(orders.unionByName(items))
+
+
+def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers written as text files in key order, read back with line numbers.
+
+    Keys are consecutive, so in every file the key minus its line number is constant.
+    """
+    path = scratch_folder(spark)
+    rows = table(spark, folder, "customer").select("c_custkey", "c_name")
+    ordered = rows.repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey")
+    ordered.write.option("header", False).csv(path)
+    lines = scans.numbered_lines(spark, path, include="csv$").withColumn(
+        "c_custkey", token("value", ",", 1).cast("bigint"))
+    starts = lines.groupBy("file_name").agg(F.min("c_custkey").alias("first"))
+    joined = scale.join_dimension(lines, starts, ["file_name"])
+    return joined.select("c_custkey", token("value", ",", 2).alias("c_name"),
+                         (F.col("c_custkey") - F.col("line_no") == F.col("first") - 1).alias("in_place"))
+
+
+def rates_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Line item prices as rates per flag: written in folders, scanned back with a schema."""
+    path = scratch_folder(spark)
+    rates = table(spark, folder, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("org"),
+        F.col("l_extendedprice").alias("max_slope"), F.col("l_discount").alias("r2"),
+        F.col("l_tax").alias("intercept"), "l_returnflag")
+    sinks.write_rates(rates, path, ["l_returnflag"])
+    schema = T.StructType([*schemas.RATES.fields, T.StructField("l_returnflag", T.StringType())])
+    back = scans.scan_table(spark, path, schema, include="csv$")
+    return back.drop("file_name")
 
 
 QUERIES = {
+    "numbered_lines": Query(numbered_lines, "SELECT c_custkey, c_name, TRUE AS in_place FROM customer"),
+    "rates_round_trip": Query(rates_round_trip, """
+SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS org, l_extendedprice AS max_slope, l_discount AS r2,
+       l_tax AS intercept, l_returnflag FROM lineitem"""),
     "section_split": Query(section_split, """
 WITH s AS (SELECT *, CAST(count(*) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS section
            FROM conversations)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratewell import scale
 from ratewell.operators import calibrate, layout
 from ratewell.operators.ordering import number_rows
 from ratewell.plans.assays import RateSettings, condition_assay, kinetic_assay, screen
@@ -25,7 +26,9 @@ RATE_SQL = "round(max_slope, 6) AS max_slope, round(intercept, 4) AS intercept,
 
 def _plate_reads(spark: SparkSession, folder: str) -> DataFrame:
     reads = table(spark, folder, "embeddings").withColumnRenamed("label", "plate")
-    timed = number_rows(reads, ["plate"], ["vec_id"], "_read").withColumn("minutes", (F.col("_read") - 1).cast("double"))
+    # A read is 64 wells wide, so fewer of them fit in one task.
+    timed = number_rows(reads, ["plate"], ["vec_id"], "_read", group_rows=scale.GROUP_ROWS // 64).withColumn(
+        "minutes", (F.col("_read") - 1).cast("double"))
     wells = timed.withColumn("wells", F.col("embedding").cast("array<double>"))
     return layout.explode_wells(wells, ["plate", "minutes"])
 
