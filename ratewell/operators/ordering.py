@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ratewell import scale
 
+MAX_SLICES = 20_000
+
 
 def running_total(
     df: DataFrame,
@@ -44,11 +46,16 @@ def running_total(
     split = scale.split_heavy(df, keys, limit, sizes)
     result = split.light.withColumn(out, total)
     if split.heavy is not None:
-        slices = max(2, math.ceil(split.heavy_rows / limit))
+        slices = slice_count(split.heavy_rows, limit)
         result = result.unionByName(_sliced_total(split.heavy, keys, order, out, slices))
     return result.drop("_amount")
 
 
+def slice_count(rows: int, group_rows: int) -> int:
+    """Slices for heavy rows: about ``group_rows`` each, but no more than one shuffle carries well."""
+    return min(MAX_SLICES, max(2, math.ceil(rows / group_rows)))
+
+
 def number_heavy(df: DataFrame, keys: list[str], order: list[str], out: str, slices: int) -> DataFrame:
     """Positions for rows already known to be in heavy groups."""
     ones = df.withColumn("_amount", F.lit(1).cast("bigint"))

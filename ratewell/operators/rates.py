@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ratewell import scale
 from ratewell.functions.clock import seconds_between, whole_minutes
-from ratewell.functions.lines import intercept, line_sums, r_squared, slope
-from ratewell.operators.ordering import number_heavy, number_rows
+from ratewell.functions.lines import SUMS, intercept, line_sums, r_squared, slope
+from ratewell.operators.ordering import number_heavy, number_rows, slice_count
 
 CHUNK_ROWS = 100_000
+# Most reads put side by side in one row; more would outgrow a generated method.
+NARROW = 8
 # Largest rank that Spark limits before a shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 GROUP_LIMIT = 1000
 
@@ -78,43 +81,143 @@ def sliding_fit(
     limit = scale.GROUP_ROWS if group_rows is None else group_rows
     reads = df.select(*dict.fromkeys([*keys, *order, x, y]))
     if longest is not None and longest <= limit:
-        return _frame_fits(reads, keys, order, x, y, window)
+        return _window_fits(reads, keys, order, x, y, window)
     split = scale.split_heavy(reads, keys, limit)
-    fits = _frame_fits(split.light, keys, order, x, y, window)
+    fits = _window_fits(split.light, keys, order, x, y, window)
     if split.heavy is None:
         return fits
     size = max(CHUNK_ROWS if chunk_rows is None else chunk_rows, window + 1)
-    slices = max(2, math.ceil(split.heavy_rows / limit))
+    slices = slice_count(split.heavy_rows, limit)
     numbered = number_heavy(split.heavy, keys, order, "_read", slices)
     chunk = F.floor((F.col("_read") - 1) / size)
     leads_in = (((F.col("_read") - 1) % size) < window) & (F.col("_read") > size)
     chunks = numbered.withColumn(
         "_chunk", F.explode(F.when(leads_in, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))))
     chunked = (
-        _frame_fits(chunks, [*keys, "_chunk"], ["_read"], x, y, window, first=F.col("_chunk") * size)
+        _window_fits(chunks, [*keys, "_chunk"], ["_read"], x, y, window, first=F.col("_chunk") * size)
         .where(F.floor((F.col("window_start") - 1) / size) == F.col("_chunk"))
         .drop("_chunk")
     )
     return fits.unionByName(chunked)
 
 
-def _frame_fits(
+def _window_fits(
     df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int, first: Column | None = None
 ) -> DataFrame:
     series = Window.partitionBy(*keys).orderBy(*order)
-    frame = series.rowsBetween(Window.currentRow, window)
     start = F.row_number().over(series).cast("bigint")
-    sums = df.select(
-        *keys,
-        (start if first is None else start + first).alias("window_start"),
-        F.count(F.lit(1)).over(frame).alias("_rows"),
-        *line_sums(F.col(x).cast("double"), F.col(y).cast("double"), frame),
-    )
-    return sums.where(F.col("_rows") == window + 1).select(
-        *keys, "window_start", "n",
+    start = (start if first is None else start + first).alias("window_start")
+    fx, fy = F.col(x).cast("double"), F.col(y).cast("double")
+    if window < NARROW:
+        runs = _runs(df, keys, order, series, start, fx, fy, [window + 1])
+        last = runs.withColumn("_last", F.lead(F.lit(1), window).over(series)).where(F.col("_last").isNotNull())
+        sums = last.select(*keys, "window_start", *[F.col(f"{name}_{window + 1}").alias(name) for name in SUMS])
+    elif window < NARROW * NARROW:
+        sums = _joined_runs(df, keys, order, series, start, fx, fy, window)
+    else:
+        frame = series.rowsBetween(Window.currentRow, window)
+        sums = df.select(
+            *keys, start, F.count(F.lit(1)).over(frame).alias("_rows"), *line_sums(fx, fy, frame),
+        ).where(F.col("_rows") == window + 1)
+    return sums.select(
+        *keys, "window_start", F.col("n").cast("bigint").alias("n"),
         slope().alias("slope"), intercept().alias("intercept"), r_squared().alias("r2"))
 
 
+def _runs(
+    df: DataFrame, keys: list[str], order: list[str], series: WindowSpec, start: Column, x: Column, y: Column,
+    lengths: list[int],
+) -> DataFrame:
+    """Line sums of the short runs of reads that start at each read, as ``n_6``, ``sxx_6``, ...
+
+    The reads of a run stand side by side in one row, so its sums are plain
+    arithmetic in generated code. Values are taken relative to the first read with
+    both numbers: a constant series has a sum of exactly 0.
+    """
+    paired = x.isNotNull() & y.isNotNull()
+    px, py = F.when(paired, x), F.when(paired, y)
+    longest = range(max(lengths))
+    kept = list(dict.fromkeys([*keys, *order]))
+    rows = df.select(
+        *kept, start,
+        *[(px if i == 0 else F.lead(px, i).over(series)).alias(f"_x{i}") for i in longest],
+        *[(py if i == 0 else F.lead(py, i).over(series)).alias(f"_y{i}") for i in longest],
+    ).withColumns({
+        "_bx": F.coalesce(*[f"_x{i}" for i in longest]),
+        "_by": F.coalesce(*[f"_y{i}" for i in longest]),
+    })
+    dx = [F.col(f"_x{i}") - F.col("_bx") for i in longest]
+    dy = [F.col(f"_y{i}") - F.col("_by") for i in longest]
+    for length in lengths:
+        rows = rows.withColumn(f"n_{length}", _total(
+            [F.when(F.col(f"_x{i}").isNotNull(), 1.0).otherwise(0.0) for i in range(length)]))
+        rows = rows.withColumns({
+            f"_mx_{length}": F.try_divide(_total(_or_zero(dx[:length])), F.col(f"n_{length}")),
+            f"_my_{length}": F.try_divide(_total(_or_zero(dy[:length])), F.col(f"n_{length}")),
+        })
+    columns = []
+    for length in lengths:
+        ex = [d - F.col(f"_mx_{length}") for d in dx[:length]]
+        ey = [d - F.col(f"_my_{length}") for d in dy[:length]]
+        sums = [
+            F.col(f"n_{length}"),
+            _total(_or_zero([e * e for e in ex])), _total(_or_zero([e * f for e, f in zip(ex, ey)])),
+            _total(_or_zero([f * f for f in ey])),
+            F.col("_bx") + F.col(f"_mx_{length}"), F.col("_by") + F.col(f"_my_{length}"),
+        ]
+        columns += [c.alias(f"{name}_{length}") for name, c in zip(SUMS, sums)]
+    return rows.select(*kept, "window_start", *columns)
+
+
+def _joined_runs(
+    df: DataFrame, keys: list[str], order: list[str], series: WindowSpec, start: Column, x: Column, y: Column,
+    window: int,
+) -> DataFrame:
+    """Line sums of a wider window from the sums of the short runs it consists of.
+
+    A window of 31 reads is five runs of 6 and one of 1. Both steps keep the same
+    partitioning and order, so the second adds neither shuffle nor sort.
+    """
+    size = window + 1
+    length = min(NARROW, round(math.sqrt(size)))
+    count, rest = divmod(size, length)
+    runs = _runs(df, keys, order, series, start, x, y, [length, rest] if rest else [length])
+    parts = [(length, j * length) for j in range(count)] + ([(rest, count * length)] if rest else [])
+    rows = runs.select(
+        *keys, "window_start", F.lead(F.lit(1), window).over(series).alias("_last"),
+        *[(F.col(f"{name}_{run}") if at == 0 else F.lead(f"{name}_{run}", at).over(series)).alias(f"_{name}_{at}")
+          for run, at in parts for name in SUMS],
+    ).where(F.col("_last").isNotNull())
+
+    def part(name: str) -> list[Column]:
+        return [F.col(f"_{name}_{at}") for _, at in parts]
+
+    based = rows.withColumns({"n": _total(part("n")), "_bx": F.coalesce(*part("x_mean")), "_by": F.coalesce(*part("y_mean"))})
+    dx = [m - F.col("_bx") for m in part("x_mean")]
+    dy = [m - F.col("_by") for m in part("y_mean")]
+    centred = based.withColumns({
+        "_mx": F.try_divide(_total(_or_zero([n * d for n, d in zip(part("n"), dx)])), F.col("n")),
+        "_my": F.try_divide(_total(_or_zero([n * d for n, d in zip(part("n"), dy)])), F.col("n")),
+    })
+    ex, ey = [d - F.col("_mx") for d in dx], [d - F.col("_my") for d in dy]
+
+    def joined(within: str, a: list[Column], b: list[Column]) -> Column:
+        between = _or_zero([n * e * f for n, e, f in zip(part("n"), a, b)])
+        return (_total(part(within)) + _total(between)).alias(within)
+
+    return centred.select(
+        *keys, "window_start", "n", joined("sxx", ex, ex), joined("sxy", ex, ey), joined("syy", ey, ey),
+        (F.col("_bx") + F.col("_mx")).alias("x_mean"), (F.col("_by") + F.col("_my")).alias("y_mean"))
+
+
+def _or_zero(terms: list[Column]) -> list[Column]:
+    return [F.coalesce(t, F.lit(0.0)) for t in terms]
+
+
+def _total(terms: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, terms)
+
+
 def sliding_fit_by(
     df: DataFrame, condition: str, windows: dict[str, int], keys: list[str], order: list[str],
     x: str, y: str, *, longest: int | None = None,

@@ -87,6 +87,39 @@ def test_constant_time_has_no_slope(spark):
     assert rates.best_window(fits, ["series"]).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 5, 7, 8, 13, 20, 30, 62])
+def test_short_runs_agree_with_frames(spark, monkeypatch, window):
+    rng = np.random.default_rng(window)
+    points = [(x, None if i % 9 == 4 else y) for i, (x, y) in enumerate(
+        zip(np.cumsum(rng.uniform(0.5, 3, 120)) + 1e6, rng.normal(0, 10, 120)))]
+    points[40:75] = [(x, None) for x, _ in points[40:75]]
+    df = frame(spark, {"s": points})
+    runs = by_series(rates.sliding_fit(df, ["series"], ["pos"], "x", "y", window, longest=120))["s"]
+    monkeypatch.setattr(rates, "NARROW", 0)
+    frames = by_series(rates.sliding_fit(df, ["series"], ["pos"], "x", "y", window, longest=120))["s"]
+    assert len(runs) == len(frames) == 120 - window
+    for a, b in zip(runs, frames):
+        assert (a["window_start"], a["n"]) == (b["window_start"], b["n"])
+        for name in ("slope", "r2"):
+            assert a[name] == (None if b[name] is None else pytest.approx(b[name], rel=1e-8, abs=1e-9))
+        assert (a["intercept"] is None) == (b["intercept"] is None)
+
+
+@pytest.mark.parametrize("window", [5, 30, 62])
+def test_constant_series_has_exactly_no_spread(spark, window):
+    df = frame(spark, {"s": [(i * 0.1, 2.1) for i in range(80)]})
+    fits = rates.sliding_fit(df, ["series"], ["pos"], "x", "y", window, longest=80).collect()
+    assert all(r["slope"] == 0 and r["r2"] is None for r in fits) and len(fits) == 80 - window
+
+
+@pytest.mark.parametrize("window", [5, 30])
+def test_fit_sorts_and_shuffles_once(spark, window):
+    df = frame(spark, {"s": [(i, i) for i in range(40)]})
+    fits = rates.sliding_fit(df, ["series"], ["pos"], "x", "y", window, longest=40)
+    plan = fits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
+
+
 def test_null_read_is_left_out_of_its_fits(spark):
     points = [(i, 2 * i) for i in range(10)]
     points[4] = (4, None)
