@@ -27,12 +27,13 @@ def running_total(
     longest: int | None = None,
     group_rows: int | None = None,
     sizes: DataFrame | None = None,
+    total: str | None = None,
 ) -> DataFrame:
     """Add ``out``: the sum of ``amount`` from the first row of the group up to this one.
 
     ``order`` must be unique within a group. ``longest`` is the caller's promise on
     the rows per group; with it no size check runs. ``sizes`` are rows per group
-    where the caller has counted them.
+    where the caller has counted them. ``total`` adds the sum of the whole group.
     """
     if not keys:
         raise ValueError("running_total needs at least one key column")
@@ -40,14 +41,18 @@ def running_total(
     df = df.withColumn("_amount", amount.cast("bigint"))
     up_to_here = (Window.partitionBy(*keys).orderBy(*order)
                   .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    total = F.sum("_amount").over(up_to_here)
+
+    def plain(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn(out, F.sum("_amount").over(up_to_here))
+        return rows if total is None else rows.withColumn(total, F.sum("_amount").over(Window.partitionBy(*keys)))
+
     if longest is not None and longest <= limit:
-        return df.withColumn(out, total).drop("_amount")
+        return plain(df).drop("_amount")
     split = scale.split_heavy(df, keys, limit, sizes)
-    result = split.light.withColumn(out, total)
+    result = plain(split.light)
     if split.heavy is not None:
         slices = slice_count(split.heavy_rows, limit)
-        result = result.unionByName(_sliced_total(split.heavy, keys, order, out, slices))
+        result = result.unionByName(_sliced_total(split.heavy, keys, order, out, slices, total))
     return result.drop("_amount")
 
 
@@ -62,7 +67,9 @@ def number_heavy(df: DataFrame, keys: list[str], order: list[str], out: str, sli
     return _sliced_total(ones, keys, order, out, slices).drop("_amount")
 
 
-def _sliced_total(df: DataFrame, keys: list[str], order: list[str], out: str, slices: int) -> DataFrame:
+def _sliced_total(
+    df: DataFrame, keys: list[str], order: list[str], out: str, slices: int, total: str | None = None
+) -> DataFrame:
     sort = [*keys, *order]
     # Settled, because slice and position must not change between the two uses below.
     spread = scale.settle(
@@ -76,6 +83,7 @@ def _sliced_total(df: DataFrame, keys: list[str], order: list[str], out: str, sl
     starts = (
         spread.groupBy(*keys, "_slice").agg(F.sum("_amount").alias("_sum"))
         .withColumn("_start", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
+        .withColumn("_all", F.sum("_sum").over(Window.partitionBy(*keys)))
         .drop("_sum")
     )
     # At most one entry per heavy key and one per slice.
@@ -84,7 +92,8 @@ def _sliced_total(df: DataFrame, keys: list[str], order: list[str], out: str, sl
                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (
         joined.withColumn(out, F.col("_start") + F.sum("_amount").over(in_slice))
-        .drop("_pos", "_slice", "_start")
+        .withColumnsRenamed({"_all": total} if total else {})
+        .drop("_pos", "_slice", "_start", "_all")
     )
 
 
@@ -101,39 +110,46 @@ def number_rows(
     return running_total(df, keys, order, F.lit(1), out, longest=longest, group_rows=group_rows)
 
 
-def quantiles(
+def quantile_table(
     df: DataFrame,
     keys: list[str],
     value: str,
     probabilities: dict[str, float],
     *,
+    mean: str | None = None,
+    count: str | None = None,
     group_rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group with linear interpolation between order statistics.
 
     Equal values are counted before any ordering, so only distinct values are
-    ranked; each wanted rank is then picked from the row that covers it.
+    ranked; each wanted rank is then picked from the row that covers it. ``mean``
+    and ``count`` name further columns taken in the same pass.
     """
     rows = df.where(F.col(value).isNotNull())
     sizes = scale.settle(scale.group_sizes(rows, keys))
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
     ranked = running_total(
-        counts, keys, [value], F.col("_count"), "_upto", group_rows=group_rows, sizes=sizes)
-    totals = sizes.withColumnRenamed("_rows", "_total")
-    ranked = scale.join_dimension(ranked, totals, keys, group_rows=group_rows, settled=True)
+        counts, keys, [value], F.col("_count"), "_upto", group_rows=group_rows, sizes=sizes, total="_total")
 
     def at_rank(rank: Column) -> Column:
         covers = (F.col("_upto") - F.col("_count") <= rank) & (rank < F.col("_upto"))
         return F.max(F.when(covers, F.col(value)))
 
-    picks = []
+    picks = [
+        F.max("_total").alias("_n"),
+        (F.sum(F.col(value) * F.col("_count")) / F.max("_total")).alias("_mean"),
+    ]
     for name, p in probabilities.items():
         place = (F.col("_total") - 1) * F.lit(float(p))
         picks += [at_rank(F.floor(place)).alias(f"_lo_{name}"),
                   at_rank(F.ceil(place)).alias(f"_hi_{name}"),
                   F.max(place - F.floor(place)).alias(f"_part_{name}")]
     picked = ranked.groupBy(*keys).agg(*picks)
-    return picked.select(*keys, *[
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n)
-        for n in probabilities
-    ])
+    return picked.select(
+        *keys,
+        *[(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n)
+          for n in probabilities],
+        *([F.col("_mean").alias(mean)] if mean else []),
+        *([F.col("_n").alias(count)] if count else []),
+    )

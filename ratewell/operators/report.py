@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell import scale
-from ratewell.operators.ordering import quantiles
+from ratewell.operators.ordering import quantile_table
 
 QUARTILES = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
 
 def five_number(df: DataFrame, keys: list[str], value: str, group_rows: int | None = None) -> DataFrame:
     """Minimum, quartiles, median, maximum, mean and count."""
-    means = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
-    spread = quantiles(df, keys, value, QUARTILES, group_rows=group_rows)
-    return scale.join_dimension(means, spread, keys)
+    return quantile_table(df, keys, value, QUARTILES, mean="mean", count="n", group_rows=group_rows)
 
 
 def frequency(df: DataFrame, by: list[str]) -> DataFrame:
@@ -24,7 +22,7 @@ def frequency(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _fenced(df: DataFrame, keys: list[str], value: str, group_rows: int | None) -> tuple[DataFrame, DataFrame]:
-    box = quantiles(df, keys, value, {k: QUARTILES[k] for k in ("q1", "median", "q3")}, group_rows=group_rows)
+    box = quantile_table(df, keys, value, {k: QUARTILES[k] for k in ("q1", "median", "q3")}, group_rows=group_rows)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     box = box.withColumn("_lower", F.col("q1") - reach).withColumn("_upper", F.col("q3") + reach)
     return box, scale.join_dimension(df.where(F.col(value).isNotNull()), box, keys, group_rows=group_rows)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratewell.operators.ordering import number_rows, quantiles, running_total
+from ratewell.operators.ordering import number_rows, quantile_table, running_total
 
 
 def skewed(spark, rows=600, seed=3):
@@ -57,7 +57,7 @@ def test_quantiles_match_linear_interpolation(spark, group_rows):
         if r["value"] is not None:
             values.setdefault(r["k"], []).append(r["value"])
     probabilities = {"min": 0, "q1": 0.25, "mid": 0.5, "q3": 0.75, "p97": 0.97, "max": 1}
-    got = {r["k"]: r for r in quantiles(df, ["k"], "value", probabilities, group_rows=group_rows).collect()}
+    got = {r["k"]: r for r in quantile_table(df, ["k"], "value", probabilities, group_rows=group_rows).collect()}
     assert set(got) == set(values)
     for k, v in values.items():
         for name, p in probabilities.items():
@@ -66,5 +66,14 @@ def test_quantiles_match_linear_interpolation(spark, group_rows):
 
 def test_quartiles_of_four_numbers(spark):
     df = spark.createDataFrame([("x", float(v)) for v in (1, 2, 4, 9)], "k string, value double")
-    row = quantiles(df, ["k"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).first()
+    row = quantile_table(df, ["k"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75}).first()
     assert (row["q1"], row["q2"], row["q3"]) == (1.75, 3.0, 5.25)
+
+
+@pytest.mark.parametrize("group_rows", [None, 40])
+def test_group_totals(spark, group_rows):
+    df = skewed(spark)
+    want = {r["k"]: r["s"] for r in df.groupBy("k").agg(F.sum("amount").alias("s")).collect()}
+    got = running_total(df, ["k"], ["pos"], F.col("amount"), "upto", group_rows=group_rows, total="all_of_it")
+    assert {r["k"]: r["all_of_it"] for r in got.collect()} == want
+    assert got.count() == df.count() and set(got.columns) == {*df.columns, "upto", "all_of_it"}
