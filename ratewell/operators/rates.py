@@ -69,20 +69,21 @@ def sliding_fit(
     longest: int | None = None,
     group_rows: int | None = None,
     chunk_rows: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Fit ``y ~ x`` over every run of ``window + 1`` reads of a series.
 
     Gives keys, ``window_start`` (1-based read), ``n``, ``slope``, ``intercept``,
     ``r2``. Series too short for one window give no row. ``longest`` is the
     caller's promise on the reads per series, e.g. after ``trim_reads``; without
-    it series above ``group_rows`` are found by counting and fitted in chunks that
-    overlap by ``window`` reads.
+    it series above ``group_rows`` are found by counting (or from ``sizes``, if
+    counted already) and fitted in chunks that overlap by ``window`` reads.
     """
     limit = scale.GROUP_ROWS if group_rows is None else group_rows
     reads = df.select(*dict.fromkeys([*keys, *order, x, y]))
     if longest is not None and longest <= limit:
         return _window_fits(reads, keys, order, x, y, window)
-    split = scale.split_heavy(reads, keys, limit)
+    split = scale.split_heavy(reads, keys, limit, sizes)
     fits = _window_fits(split.light, keys, order, x, y, window)
     if split.heavy is None:
         return fits
@@ -227,15 +228,17 @@ def sliding_fit_by(
     for name, width in windows.items():
         by_width.setdefault(width, []).append(name)
     series = list(dict.fromkeys([condition, *keys]))
-    parts = [
-        sliding_fit(df.where(F.col(condition).isin(names)), series, order, x, y, width, longest=longest)
-        .withColumn("window", F.lit(width))
-        for width, names in by_width.items()
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    sizes = None
+    if longest is None or longest > scale.GROUP_ROWS:
+        # Counted once for all widths; only the heavy series are kept.
+        sizes = scale.settle(scale.group_sizes(df, series).where(F.col("_rows") > scale.GROUP_ROWS))
+    parts = []
+    for width, names in by_width.items():
+        of_width = F.col(condition).isin(names)
+        fits = sliding_fit(df.where(of_width), series, order, x, y, width, longest=longest,
+                           sizes=None if sizes is None else sizes.where(of_width))
+        parts.append(fits.withColumn("window", F.lit(width)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def best_window(

@@ -59,7 +59,7 @@ def dose_from_label(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def replicate_stats(spark: SparkSession, folder: str) -> DataFrame:
-    reads = events(spark, folder).withColumn("day", F.to_date("ts"))
+    reads = events(spark, folder).withColumn("day", F.to_date("ts").cast("string"))
     return controls.replicate_stats(reads, ["event_type", "day"], "value").withColumns(rounded({"mean": 8, "sd": 8}))
 
 
@@ -70,12 +70,12 @@ def replicate_attach(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def paired_control(spark: SparkSession, folder: str) -> DataFrame:
-    reads = events(spark, folder).withColumn("day", F.to_date("ts"))
+    reads = events(spark, folder).withColumn("day", F.to_date("ts").cast("string"))
     return controls.subtract_control(reads, ["day"], "event_type", "value", PAIRS).withColumns(rounded({"mean": 8}))
 
 
 PAIRED_SQL = "\nUNION ALL\n".join(
-    f"""SELECT CAST(ts AS DATE) AS day, '{name}' AS id,
+    f"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, '{name}' AS id,
        round(avg(value) FILTER (WHERE event_type = '{sample}') - avg(value) FILTER (WHERE event_type = '{control}'), 8) AS mean
 FROM events WHERE event_type IN ('{sample}', '{control}') GROUP BY 1""" for sample, control, name in PAIRS)
 
@@ -95,7 +95,7 @@ def progress_curve(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pivot_series(spark: SparkSession, folder: str) -> DataFrame:
-    reads = events(spark, folder).withColumn("day", F.to_date("ts"))
+    reads = events(spark, folder).withColumn("day", F.to_date("ts").cast("string"))
     names = ["click", "error", "purchase", "signup", "view"]
     return cleaning.spread(reads, ["day"], "event_type", names, "value").withColumns(rounded({n: 8 for n in names}))
 
@@ -145,7 +145,7 @@ SELECT p_partkey, split_part(p_name, ' ', -1) AS kind, round(ul, 6) AS ul, round
        round(ul * 0.04::DOUBLE * 1e6, 4) AS nm, round(ul * 8, 6) AS nmol
 FROM (SELECT *, TRY_CAST(split_part(p_brand, '#', -1) AS DOUBLE) AS ul FROM part)"""),
     "replicate_stats": Query(replicate_stats, """
-SELECT event_type, CAST(ts AS DATE) AS day, round(avg(value), 8) AS mean, round(stddev_samp(value), 8) AS sd, count(value) AS n
+SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(avg(value), 8) AS mean, round(stddev_samp(value), 8) AS sd, count(value) AS n
 FROM events GROUP BY 1, 2"""),
     "replicate_attach": Query(replicate_attach, """
 SELECT event_id, idvar, value, round(avg(value) OVER g, 8) AS mean, round(stddev_samp(value) OVER g, 8) AS sd,
@@ -162,7 +162,7 @@ WITH g AS (SELECT event_type, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '202
                   avg(value) AS mean, stddev_samp(value) AS sd, count(value) AS n FROM events GROUP BY 1, 2)
 SELECT event_type, hour, round(mean, 8) AS mean, round(sd, 8) AS sd, n, round(mean - sd, 8) AS lo, round(mean + sd, 8) AS hi FROM g"""),
     "pivot_series": Query(pivot_series, """
-SELECT CAST(ts AS DATE) AS day, """ + ", ".join(
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, """ + ", ".join(
         f"round(avg(value) FILTER (WHERE event_type = '{n}'), 8) AS {n}"
         for n in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY 1"),
     "wide_melt": Query(wide_melt, "\nUNION ALL\n".join(

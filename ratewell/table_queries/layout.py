@@ -58,7 +58,8 @@ def layout_check(spark: SparkSession, folder: str) -> DataFrame:
     instrument = wells.where(F.col("position") > 0).withColumn("instrument_name", F.col("well"))
     template = wells.where(F.col("value") >= 0).withColumn(
         "template_name", F.concat(F.lit("s"), F.col("label").cast("string")))
-    return layout.layout_check(instrument, template, ["vec_id"], "position")
+    pairs = layout.layout_check(instrument, template, ["vec_id"], "position")
+    return pairs.na.fill("", ["instrument_name", "template_name"])
 
 
 def label_dedupe(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,8 +92,8 @@ g AS (SELECT w.*, first, coalesce(lag(value, 3) OVER (PARTITION BY w.vec_id ORDE
 SELECT vec_id, well_idx, well FROM g
 WHERE value > 0.2 OR behind OR well_idx BETWEEN first - 12 AND first - 7"""),
     "layout_check": Query(layout_check, f"""WITH w AS ({WELLS_SQL})
-SELECT vec_id, well_idx AS position, CASE WHEN well_idx > 0 THEN well END AS instrument_name,
-       CASE WHEN value >= 0 THEN 's' || CAST(label AS VARCHAR) END AS template_name,
+SELECT vec_id, well_idx AS position, CASE WHEN well_idx > 0 THEN well ELSE '' END AS instrument_name,
+       CASE WHEN value >= 0 THEN 's' || CAST(label AS VARCHAR) ELSE '' END AS template_name,
        CASE WHEN value < 0 THEN 'no template' WHEN well_idx = 0 THEN 'no well' ELSE 'paired' END AS state
 FROM w WHERE well_idx > 0 OR value >= 0"""),
     "label_dedupe": Query(label_dedupe, """

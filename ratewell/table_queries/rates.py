@@ -62,7 +62,8 @@ best AS ({best_sql('fits', 'user_id, event_type', 'r2 >= 0.5 AND slope > 0')})""
 def rate_with_reads(spark: SparkSession, folder: str) -> DataFrame:
     reads, best = _gated(spark, folder)
     tagged = rates.attach_rates(reads.select(*GATED, "event_id", "value"), best, GATED, "event_type")
-    return tagged.select("event_id", *GATED, "value", "winners", "window_start",
+    return tagged.select("event_id", *GATED, "value", "winners",
+                         F.coalesce("window_start", F.lit(0)).alias("window_start"),
                          *[c.alias(n) for n, c in rounded({"max_slope": 6, "r2": 6}).items()])
 
 
@@ -123,7 +124,8 @@ SELECT user_id, window_start, n, {FIT_SQL} FROM fits"""),
 SELECT user_id, event_type, {RATE_SQL}, window_start FROM best"""),
     "rate_with_reads": Query(rate_with_reads, f"""{GATED_CTE}
 SELECT r.event_id, r.user_id, r.event_type, r.value,
-       CASE WHEN b.max_slope IS NULL THEN ' inactive' ELSE r.event_type END AS winners, b.window_start,
+       CASE WHEN b.max_slope IS NULL THEN ' inactive' ELSE r.event_type END AS winners,
+       coalesce(b.window_start, 0) AS window_start,
        round(b.max_slope, 6) AS max_slope, round(b.r2, 6) AS r2
 FROM reads r LEFT JOIN best b ON r.user_id = b.user_id AND r.event_type = b.event_type"""),
     "best_window_first": Query(best_window_first, f"""WITH reads AS (

@@ -37,9 +37,9 @@ def parsed_fields(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "customer")
     return rows.select(
         "c_custkey",
-        token("c_name", "#", 1).alias("kind"), token("c_name", "#", 3).alias("absent"),
+        token("c_name", "#", 1).alias("kind"), F.coalesce(token("c_name", "#", 3), F.lit("none")).alias("absent"),
         token("c_name", "#", -1).try_cast("double").alias("number"),
-        token("c_mktsegment", "E", 1).try_cast("double").alias("not_a_number"),
+        F.coalesce(token("c_mktsegment", "E", 1).try_cast("double"), F.lit(-1.0)).alias("not_a_number"),
         F.trim(F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" "))).alias("segment"),
         F.concat_ws("_", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("idvar"))
 
@@ -68,7 +68,7 @@ def trace_window(spark: SparkSession, folder: str) -> DataFrame:
 
 def classify_first_match(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
-        "event_id", "event_type", first_match("event_type", CLASSES).alias("sample"))
+        "event_id", "event_type", first_match("event_type", CLASSES, "other").alias("sample"))
 
 
 def catalogue(spark: SparkSession, folder: str) -> DataFrame:
@@ -133,9 +133,9 @@ FROM conversations"""),
     "provenance_scan": Query(provenance_scan, "\nUNION ALL\n".join(
         f"SELECT '{t}' AS source, count(*) AS n FROM {t}" for t in TABLES)),
     "parsed_fields": Query(parsed_fields, """
-SELECT c_custkey, split_part(c_name, '#', 1) AS kind, CAST(NULL AS VARCHAR) AS absent,
+SELECT c_custkey, split_part(c_name, '#', 1) AS kind, 'none' AS absent,
        TRY_CAST(split_part(c_name, '#', -1) AS DOUBLE) AS number,
-       TRY_CAST(split_part(c_mktsegment, 'E', 1) AS DOUBLE) AS not_a_number,
+       coalesce(TRY_CAST(split_part(c_mktsegment, 'E', 1) AS DOUBLE), -1.0::DOUBLE) AS not_a_number,
        c_mktsegment AS segment, c_mktsegment || '_' || CAST(c_nationkey AS VARCHAR) AS idvar
 FROM customer"""),
     "substrates": Query(substrates, "SELECT DISTINCT lower(split_part(p_name, ' ', 2)) AS substrate FROM part"),
@@ -151,7 +151,7 @@ FROM (SELECT *, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 / 60 AS
 WHERE event_type <> 'error' AND minutes < 40000 AND minutes BETWEEN 3000 AND 30000"""),
     "classify_first_match": Query(classify_first_match, """
 SELECT event_id, event_type, CASE WHEN event_type LIKE 'si%' THEN 'early' WHEN event_type LIKE 'e%' THEN 'late'
-       WHEN event_type LIKE '%i%' THEN 'middle' END AS sample FROM events"""),
+       WHEN event_type LIKE '%i%' THEN 'middle' ELSE 'other' END AS sample FROM events"""),
     "catalogue": Query(catalogue, """
 SELECT strftime(o_orderdate, '%Y%m%d') AS date,
        'out/' || strftime(o_orderdate, '%Y%m%d') || '_x_4NP_' || o_orderstatus || '_1_all_data_calculated_slopes.csv' AS file_name,

@@ -50,7 +50,7 @@ def condition_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Days are the conditions, hours the read times, signups the standards."""
     is_standard = F.col("event_type") == "signup"
     reads = table(spark, folder, "events").select(
-        F.to_date("ts").alias("day"), F.hour("ts").cast("double").alias("minutes"),
+        F.to_date("ts").cast("string").alias("day"), F.hour("ts").cast("double").alias("minutes"),
         F.when(is_standard, F.concat(F.lit("stdcurve_"), F.col("value").cast("string")))
         .otherwise(F.col("event_type")).alias("label"),
         F.when(is_standard, 0.05 * F.col("value") + 0.1 + 0.001 * (F.col("event_id") % 7))
@@ -107,7 +107,7 @@ CONDITION_PARTS = "\nUNION ALL\n".join(
 FROM c WHERE label IN ('{sample}', '{control}') GROUP BY day, minutes""" for sample, control, name in CONTROLS)
 
 CONDITION_SQL = f"""WITH r AS (
-  SELECT CAST(ts AS DATE) AS day, CAST(hour(ts) AS DOUBLE) AS minutes, event_type AS label, value,
+  SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(hour(ts) AS DOUBLE) AS minutes, event_type AS label, value,
          CASE WHEN event_type = 'signup' THEN 0.05::DOUBLE * value + 0.1::DOUBLE + 0.001::DOUBLE * (event_id % 7)
               ELSE 0.01::DOUBLE * value END AS a FROM events),
 line AS (SELECT day, regr_slope(a, 8 * value) AS m, regr_intercept(a, 8 * value) AS b FROM r WHERE label = 'signup' GROUP BY day),
