@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewell import scale
@@ -95,7 +95,7 @@ def sliding_fit(
     chunks = numbered.withColumn(
         "_chunk", F.explode(F.when(leads_in, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))))
     chunked = (
-        _window_fits(chunks, [*keys, "_chunk"], ["_read"], x, y, window, first=F.col("_chunk") * size)
+        _window_fits(chunks, [*keys, "_chunk"], ["_read"], x, y, window, first=f"_chunk * {size}")
         .where(F.floor((F.col("window_start") - 1) / size) == F.col("_chunk"))
         .drop("_chunk")
     )
@@ -103,77 +103,67 @@ def sliding_fit(
 
 
 def _window_fits(
-    df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int, first: Column | None = None
+    df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int, first: str = "0"
 ) -> DataFrame:
-    series = Window.partitionBy(*keys).orderBy(*order)
-    start = F.row_number().over(series).cast("bigint")
-    start = (start if first is None else start + first).alias("window_start")
-    fx, fy = F.col(x).cast("double"), F.col(y).cast("double")
+    """Fits of all full windows; ``first`` is the read number ahead of the partition's first row.
+
+    Expressions are SQL text: a window has hundreds of terms, and text reaches Spark
+    in one call per column.
+    """
+    over = f"OVER (PARTITION BY {_names(keys)} ORDER BY {_names(order)})"
+    kept = dict.fromkeys([*keys, *order])
+    reads = df.selectExpr(
+        *[f"`{c}`" for c in kept],
+        f"CAST(row_number() {over} + {first} AS bigint) AS window_start",
+        f"CASE WHEN `{y}` IS NOT NULL THEN CAST(`{x}` AS double) END AS _x0",
+        f"CASE WHEN `{x}` IS NOT NULL THEN CAST(`{y}` AS double) END AS _y0",
+    )
     if window < NARROW:
-        runs = _runs(df, keys, order, series, start, fx, fy, [window + 1])
-        last = runs.withColumn("_last", F.lead(F.lit(1), window).over(series)).where(F.col("_last").isNotNull())
-        sums = last.select(*keys, "window_start", *[F.col(f"{name}_{window + 1}").alias(name) for name in SUMS])
+        sums = _run_sums(reads, over, [window + 1]).selectExpr(
+            "*", f"lead(1, {window}) {over} AS _last").where("_last IS NOT NULL").withColumnsRenamed(
+            {f"{name}_{window + 1}": name for name in SUMS})
     elif window < NARROW * NARROW:
-        sums = _joined_runs(df, keys, order, series, start, fx, fy, window)
+        sums = _joined_runs(reads, keys, over, window)
     else:
-        frame = series.rowsBetween(Window.currentRow, window)
-        sums = df.select(
-            *keys, start, F.count(F.lit(1)).over(frame).alias("_rows"), *line_sums(fx, fy, frame),
+        frame = (Window.partitionBy(*keys).orderBy(*order)).rowsBetween(Window.currentRow, window)
+        sums = reads.select(
+            "*", F.count(F.lit(1)).over(frame).alias("_rows"), *line_sums(F.col("_x0"), F.col("_y0"), frame),
         ).where(F.col("_rows") == window + 1)
     return sums.select(
         *keys, "window_start", F.col("n").cast("bigint").alias("n"),
         slope().alias("slope"), intercept().alias("intercept"), r_squared().alias("r2"))
 
 
-def _runs(
-    df: DataFrame, keys: list[str], order: list[str], series: WindowSpec, start: Column, x: Column, y: Column,
-    lengths: list[int],
-) -> DataFrame:
+def _run_sums(reads: DataFrame, over: str, lengths: list[int]) -> DataFrame:
     """Line sums of the short runs of reads that start at each read, as ``n_6``, ``sxx_6``, ...
 
     The reads of a run stand side by side in one row, so its sums are plain
     arithmetic in generated code. Values are taken relative to the first read with
     both numbers: a constant series has a sum of exactly 0.
     """
-    paired = x.isNotNull() & y.isNotNull()
-    px, py = F.when(paired, x), F.when(paired, y)
     longest = range(max(lengths))
-    kept = list(dict.fromkeys([*keys, *order]))
-    rows = df.select(
-        *kept, start,
-        *[(px if i == 0 else F.lead(px, i).over(series)).alias(f"_x{i}") for i in longest],
-        *[(py if i == 0 else F.lead(py, i).over(series)).alias(f"_y{i}") for i in longest],
-    ).withColumns({
-        "_bx": F.coalesce(*[f"_x{i}" for i in longest]),
-        "_by": F.coalesce(*[f"_y{i}" for i in longest]),
-    })
-    dx = [F.col(f"_x{i}") - F.col("_bx") for i in longest]
-    dy = [F.col(f"_y{i}") - F.col("_by") for i in longest]
+    rows = reads.selectExpr(
+        "*", *[f"lead(_{v}0, {i}) {over} AS _{v}{i}" for i in longest[1:] for v in "xy"],
+    ).selectExpr("*", *[f"coalesce({', '.join(f'_{v}{i}' for i in longest)}) AS _base_{v}" for v in "xy"])
     for length in lengths:
-        rows = rows.withColumn(f"n_{length}", _total(
-            [F.when(F.col(f"_x{i}").isNotNull(), 1.0).otherwise(0.0) for i in range(length)]))
-        rows = rows.withColumns({
-            f"_mx_{length}": F.try_divide(_total(_or_zero(dx[:length])), F.col(f"n_{length}")),
-            f"_my_{length}": F.try_divide(_total(_or_zero(dy[:length])), F.col(f"n_{length}")),
-        })
-    columns = []
-    for length in lengths:
-        ex = [d - F.col(f"_mx_{length}") for d in dx[:length]]
-        ey = [d - F.col(f"_my_{length}") for d in dy[:length]]
-        sums = [
-            F.col(f"n_{length}"),
-            _total(_or_zero([e * e for e in ex])), _total(_or_zero([e * f for e, f in zip(ex, ey)])),
-            _total(_or_zero([f * f for f in ey])),
-            F.col("_bx") + F.col(f"_mx_{length}"), F.col("_by") + F.col(f"_my_{length}"),
-        ]
-        columns += [c.alias(f"{name}_{length}") for name, c in zip(SUMS, sums)]
-    return rows.select(*kept, "window_start", *columns)
-
-
-def _joined_runs(
-    df: DataFrame, keys: list[str], order: list[str], series: WindowSpec, start: Column, x: Column, y: Column,
-    window: int,
-) -> DataFrame:
+        run = range(length)
+        rows = rows.selectExpr(
+            "*", _sum(f"CASE WHEN _x{i} IS NOT NULL THEN 1D ELSE 0D END" for i in run) + f" AS n_{length}")
+        rows = rows.selectExpr("*", *[
+            f"try_divide({_sum_known(f'_{v}{i} - _base_{v}' for i in run)}, n_{length}) AS _mean_{v}_{length}"
+            for v in "xy"])
+
+        def off(v: str, i: int, length: int = length) -> str:
+            return f"(_{v}{i} - _base_{v} - _mean_{v}_{length})"
+
+        rows = rows.selectExpr(
+            "*",
+            *[_sum_known(f"{off(a, i)} * {off(b, i)}" for i in run) + f" AS s{a}{b}_{length}" for a, b in PRODUCTS],
+            *[f"_base_{v} + _mean_{v}_{length} AS {v}_mean_{length}" for v in "xy"])
+    return rows
+
+
+def _joined_runs(reads: DataFrame, keys: list[str], over: str, window: int) -> DataFrame:
     """Line sums of a wider window from the sums of the short runs it consists of.
 
     A window of 31 reads is five runs of 6 and one of 1. Both steps keep the same
@@ -182,41 +172,46 @@ def _joined_runs(
     size = window + 1
     length = min(NARROW, round(math.sqrt(size)))
     count, rest = divmod(size, length)
-    runs = _runs(df, keys, order, series, start, x, y, [length, rest] if rest else [length])
     parts = [(length, j * length) for j in range(count)] + ([(rest, count * length)] if rest else [])
-    rows = runs.select(
-        *keys, "window_start", F.lead(F.lit(1), window).over(series).alias("_last"),
-        *[(F.col(f"{name}_{run}") if at == 0 else F.lead(f"{name}_{run}", at).over(series)).alias(f"_{name}_{at}")
+    runs = _run_sums(reads, over, [length, rest] if rest else [length])
+    rows = runs.selectExpr(
+        *[f"`{k}`" for k in keys], "window_start", f"lead(1, {window}) {over} AS _last",
+        *[(f"{name}_{run}" if at == 0 else f"lead({name}_{run}, {at}) {over}") + f" AS _{name}_{at}"
           for run, at in parts for name in SUMS],
-    ).where(F.col("_last").isNotNull())
+    ).where("_last IS NOT NULL")
+    places = [at for _, at in parts]
+    rows = rows.selectExpr(
+        "*", _sum(f"_n_{at}" for at in places) + " AS n",
+        *[f"coalesce({', '.join(f'_{v}_mean_{at}' for at in places)}) AS _base_{v}" for v in "xy"])
+    rows = rows.selectExpr("*", *[
+        f"try_divide({_sum_known(f'_n_{at} * (_{v}_mean_{at} - _base_{v})' for at in places)}, n) AS _mean_{v}"
+        for v in "xy"])
+
+    def off(v: str, at: int) -> str:
+        return f"(_{v}_mean_{at} - _base_{v} - _mean_{v})"
+
+    within = {a + b: _sum(f"_s{a}{b}_{at}" for at in places) for a, b in PRODUCTS}
+    between = {a + b: _sum_known(f"_n_{at} * {off(a, at)} * {off(b, at)}" for at in places) for a, b in PRODUCTS}
+    return rows.selectExpr(
+        *[f"`{k}`" for k in keys], "window_start", "n",
+        *[f"{within[ab]} + {between[ab]} AS s{ab}" for ab in within],
+        *[f"_base_{v} + _mean_{v} AS {v}_mean" for v in "xy"])
 
-    def part(name: str) -> list[Column]:
-        return [F.col(f"_{name}_{at}") for _, at in parts]
 
-    based = rows.withColumns({"n": _total(part("n")), "_bx": F.coalesce(*part("x_mean")), "_by": F.coalesce(*part("y_mean"))})
-    dx = [m - F.col("_bx") for m in part("x_mean")]
-    dy = [m - F.col("_by") for m in part("y_mean")]
-    centred = based.withColumns({
-        "_mx": F.try_divide(_total(_or_zero([n * d for n, d in zip(part("n"), dx)])), F.col("n")),
-        "_my": F.try_divide(_total(_or_zero([n * d for n, d in zip(part("n"), dy)])), F.col("n")),
-    })
-    ex, ey = [d - F.col("_mx") for d in dx], [d - F.col("_my") for d in dy]
+PRODUCTS = [("x", "x"), ("x", "y"), ("y", "y")]
 
-    def joined(within: str, a: list[Column], b: list[Column]) -> Column:
-        between = _or_zero([n * e * f for n, e, f in zip(part("n"), a, b)])
-        return (_total(part(within)) + _total(between)).alias(within)
 
-    return centred.select(
-        *keys, "window_start", "n", joined("sxx", ex, ex), joined("sxy", ex, ey), joined("syy", ey, ey),
-        (F.col("_bx") + F.col("_mx")).alias("x_mean"), (F.col("_by") + F.col("_my")).alias("y_mean"))
+def _names(columns: list[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
 
 
-def _or_zero(terms: list[Column]) -> list[Column]:
-    return [F.coalesce(t, F.lit(0.0)) for t in terms]
+def _sum(terms) -> str:
+    return "(" + " + ".join(terms) + ")"
 
 
-def _total(terms: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
+def _sum_known(terms) -> str:
+    """Sum in which NULL terms count as 0."""
+    return _sum(f"coalesce({t}, 0D)" for t in terms)
 
 
 def sliding_fit_by(
