@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewell import scale
-from ratewell.functions.text import first_number, half_unit
+from ratewell.functions.text import half_unit
 from ratewell.operators import curves, normalize
 from ratewell.table_queries.common import Query, rounded, table
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell import scale
 from ratewell.functions.text import strip_replicate
 from ratewell.operators import layout
 from ratewell.table_queries.common import Query, table

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratewell import scale, schemas
-from ratewell.functions.text import first_match, first_number, token
+from ratewell.functions.text import first_match, token
 from ratewell.operators import controls, sections
 from ratewell.sources import scans, sinks
 from ratewell.table_queries.common import Query, events, scratch_folder, table
