@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratewell.llm.common import rows_in_pieces
+from ratewell.llm.common import rows_in_pieces, share, shared_value
 from ratewell.llm.transducer import Transducer
 
 CACHE_CHUNKS = 300_000
@@ -235,10 +235,10 @@ def frequent_chunks(docs: DataFrame, bpe: Bpe, text: str, words: int) -> dict[st
     A task reports chunks that make up at least 1 / (2 * words) of its own, so it sends at most
     2 * words rows. The counts only choose what the lexicon holds; ids never depend on them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bpe)
+    shared = share(docs.sparkSession, bpe)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, bpe = Counter(), shared.value
+        counts, bpe = Counter(), shared_value(shared)
         for batch in batches:
             for t in batch["_text"]:
                 counts.update(bpe.split(t) or [] if t else [])
@@ -268,7 +268,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", words: int
 
     Columns named like an added one are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(with_lexicon(docs, path, text, words))
+    shared = share(docs.sparkSession, with_lexicon(docs, path, text, words))
     added = ("ids", "n_tokens", "decoded")
     kept = [f for f in docs.schema.fields if f.name not in added]
     schema = T.StructType([
@@ -277,7 +277,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", words: int
     ])
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = shared.value
+        bpe = shared_value(shared)
         for batch in rows_in_pieces(batches, BATCH_ROWS):
             ids = bpe.encode(batch[text])
             yield batch.assign(ids=ids, n_tokens=[len(i) // 4 for i in ids], decoded=[bpe.decode(i) for i in ids])
@@ -287,10 +287,10 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", words: int
 
 def encode_digests(docs: DataFrame, path: str, text: str = "text", words: int = 50_000) -> DataFrame:
     """``doc_id``, ``n_tokens`` and SHA-256 of the ids and of the decoded text, made in the same pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(with_lexicon(docs, path, text, words))
+    shared = share(docs.sparkSession, with_lexicon(docs, path, text, words))
 
     def digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = shared.value
+        bpe = shared_value(shared)
         for batch in rows_in_pieces(batches, BATCH_ROWS):
             ids = bpe.encode(batch["_text"])
             yield pd.DataFrame({

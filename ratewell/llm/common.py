@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of this package by value; the caller vouches for its size."""
+    return spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(value)})
+
+
+def shared_value(shared: Broadcast):
+    """The object in a worker, unpickled once and kept (with its caches) for the worker's later tasks."""
+    held = shared.value
+    if "object" not in held:
+        held["object"] = cloudpickle.loads(held["pickled"])
+    return held["object"]
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves ``part`` modulo ``parts``; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

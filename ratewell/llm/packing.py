@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell.llm.bpe import BATCH_ROWS, Bpe, vocabulary
-from ratewell.llm.common import rows_in_pieces
+from ratewell.llm.common import rows_in_pieces, share, shared_value
 
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -92,11 +92,11 @@ def pack(
     ``with_ids`` adds the piece's ids (binary, 32-bit little-endian). Extra columns of
     ``docs`` are left out. A sequence id is the partition's number and a count.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Bpe(vocabulary(path)))
+    shared = share(docs.sparkSession, Bpe(vocabulary(path)))
     end = end_id.to_bytes(4, "little")
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = shared.value
+        bpe = shared_value(shared)
         bins = Bins(capacity, TaskContext.get().partitionId() << 33)
 
         def frame() -> pd.DataFrame:

@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import bpe, packing, quality_rules, url_filter
-from ratewell.llm.common import table
+from ratewell.llm import bpe, packing, quality_gbt, quality_rules, simhash, toxicity, url_filter
+from ratewell.llm.common import held_out, table
 
 
 class Query(NamedTuple):
@@ -30,6 +30,28 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _classified(spark: SparkSession, folder: str, method, label: str, threshold: float) -> DataFrame:
+    """Fit on the labelled rows that are not held out, score every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = held_out(F.col("doc_id"), 5, 0)
+    model = method.fit(docs, table(spark, folder, "labels"), ~out, label)
+    return method.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
+    return _classified(spark, folder, toxicity, "toxic", 0.5)
+
+
+def quality_query(spark: SparkSession, folder: str) -> DataFrame:
+    return _classified(spark, folder, quality_gbt, "quality", 0.3)
+
+
+def simhash_query(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.simhash(table(spark, folder, "documents"))
+
+
 def bpe_query(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_digests(table(spark, folder, "documents"), vocabulary_path())
 
@@ -73,8 +95,11 @@ def quality_rules_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": Query(toxicity_query, None),
+    "op2_simhash": Query(simhash_query, None),
     "op3_bpe": Query(bpe_query, None),
     "op4_url_filter": Query(url_filter_query, URL_FILTER_SQL),
     "op6_packing": Query(packing_query, None),
     "op7_quality_rules": Query(quality_rules_query, None),
+    "op9_quality": Query(quality_query, None),
 }
