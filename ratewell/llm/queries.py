@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import bpe, jaccard_join, packing, quality_gbt, quality_rules, simhash, toxicity, url_filter
+from ratewell.llm import bpe, jaccard_join, line_dedup, packing, quality_gbt, quality_rules, simhash, toxicity, url_filter
 from ratewell.llm.common import held_out, table
 
 
@@ -109,17 +109,22 @@ shingles AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
   FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-overlaps AS (
+shared AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT x, y FROM overlaps JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+  SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
   WHERE 100 * common >= 75 * (p.n + q.n - common)),
 reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, least(d.doc_id, min(y)) AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id"""
 
 
+def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "removed_words", "text")
+
+
 QUERIES = {
     "op1_toxicity": Query(toxicity_query, None),
     "op2_simhash": Query(simhash_query, None),
@@ -129,4 +134,5 @@ QUERIES = {
     "op7_quality_rules": Query(quality_rules_query, None),
     "op8_jaccard": Query(jaccard_query, JACCARD_SQL),
     "op9_quality": Query(quality_query, None),
+    "op10_line_dedup": Query(line_dedup_query, None),
 }
