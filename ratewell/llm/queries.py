@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import bpe, jaccard_join, line_dedup, packing, quality_gbt, quality_rules, simhash, toxicity, url_filter
+from ratewell.llm import bpe, jaccard_join, katz, line_dedup, packing, quality_gbt, quality_rules, simhash, toxicity, url_filter
 from ratewell.llm.common import held_out, table
 
 
@@ -82,6 +82,10 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.place = 1"""
 
 
+def katz_query(spark: SparkSession, folder: str) -> DataFrame:
+    return katz.score_documents(table(spark, folder, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 def packing_query(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), vocabulary_path())
 
@@ -130,6 +134,7 @@ QUERIES = {
     "op2_simhash": Query(simhash_query, None),
     "op3_bpe": Query(bpe_query, None),
     "op4_url_filter": Query(url_filter_query, URL_FILTER_SQL),
+    "op5_katz": Query(katz_query, None),
     "op6_packing": Query(packing_query, None),
     "op7_quality_rules": Query(quality_rules_query, None),
     "op8_jaccard": Query(jaccard_query, JACCARD_SQL),
