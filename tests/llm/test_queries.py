@@ -1,0 +1,49 @@
+"""The text queries against their SQL, and the pipeline stage by stage."""
+
+import pytest
+
+import corpus_pipeline
+from compare import differences, duck
+from ratewell.llm.queries import QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def database():
+    return duck(FOLDER)
+
+
+@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql])
+def test_query_like_its_sql(spark, database, name):
+    assert differences(QUERIES[name].run(spark, FOLDER), database.sql(QUERIES[name].sql)) == []
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n != "op6_packing"])
+def test_one_row_per_input_row(spark, name):
+    table, key = ("pages", "page_id") if name == "op4_url_filter" else ("documents", "doc_id")
+    rows = [r[key] for r in QUERIES[name].run(spark, FOLDER).select(key).collect()]
+    given = [r[key] for r in spark.read.parquet(f"{FOLDER}/{table}.parquet").select(key).collect()]
+    assert sorted(rows) == sorted(given)
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns = docs.columns
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.count()
+        stage(spark, docs, FOLDER).write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert docs.columns == columns and 0 < docs.count() < before, name
+    assert docs.agg({"length": "max"}).first()[0] <= 2048
+    again = corpus_pipeline.run(spark, FOLDER)
+    key = ["doc_id", "start", "length", "ids_crc32"]
+    assert sorted(map(tuple, again.select(*key).collect())) == sorted(map(tuple, docs.select(*key).collect()))
+
+
+def test_pipeline_takes_odd_documents(spark, documents):
+    docs = documents.selectExpr("doc_id", "text", "host AS lang", "ids AS source", "CAST(length(text) AS BIGINT) AS n_chars")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, FOLDER).collect(), docs.schema)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() > 0
