@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from ratewell.llm.common import rows_in_pieces, share, shared_value
 from ratewell.llm.transducer import Transducer
 
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 400_000
 BATCH_ROWS = 256
 LONG_PIECE = 64
 NO_MERGE = np.int32(2**31 - 1)
@@ -106,9 +106,11 @@ class Bpe:
         self.pattern = regex.compile(PATTERN)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.chunks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = {c: self._number(int(self.first_ids[ord(c)])) for c in ".,"}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("pattern", "at_special", "chunks")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pattern", "at_special", "chunks", "older", "marks")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -180,15 +182,16 @@ class Bpe:
         body = word[1:] if word[:1] == " " else word
         if body.isalpha():
             return [*lead, word]
-        if body[:-1].isalpha() and body[-1] in ".,":
-            return [*lead, word[:-1], word[-1]]
         return lead + self.pattern.findall(word)
 
     def exact_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks by the merge ranks alone."""
-        cut = [self.chunk_pieces(c) for c in chunks]
+        """Ids of distinct chunks by the merge ranks alone; most are one word of letters."""
+        plain = [c.isalpha() and len(c) < LONG_PIECE // 4 for c in chunks]
+        words = iter(self.merge_many([b" " + c.encode() for c, one in zip(chunks, plain) if one]))
+        cut = [self.chunk_pieces(c) for c, one in zip(chunks, plain) if not one]
         merged = iter(self.merge_all([p.encode() for pieces in cut for p in pieces]))
-        return [b"".join(next(merged) for _ in pieces) for pieces in cut]
+        others = iter([b"".join([next(merged) for _ in pieces]) for pieces in cut])
+        return [next(words if one else others) for one in plain]
 
     def _whole(self, text: str) -> bytes:
         """Ids of a text with special tokens or unusual white space."""
@@ -205,20 +208,32 @@ class Bpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         texts = ["" if t is None else t for t in texts]
         cut = [self.split(t) if t else [] for t in texts]
+        self._learn({c for chunks in cut if chunks for c in chunks})
         known = self.chunks
-        missing = list({c for chunks in cut if chunks for c in chunks}.difference(known))
-        if len(known) + len(missing) > CACHE_CHUNKS:
-            known = self.chunks = {}
-            missing = list({c for chunks in cut if chunks for c in chunks})
+        return [
+            self._whole(text) if chunks is None else b"".join(map(known.__getitem__, chunks))[4:]
+            for text, chunks in zip(texts, cut)
+        ]
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Put all chunks into the cache; beyond its bound, those not asked for since the last turn go."""
+        if len(self.chunks) > CACHE_CHUNKS:
+            self.chunks, self.older = {}, self.chunks
+        known, older = self.chunks, self.older
+        missing = chunks.difference(known)
+        again = [c for c in missing if c in older]
+        known.update((c, older[c]) for c in again)
+        missing.difference_update(again)
+        ended = [c for c in missing if c[-1:] in self.marks and c[:-1].isalpha()]
+        missing.difference_update(ended)
+        missing.update(b for c in ended if (b := c[:-1]) not in known)
+        missing = list(missing)
         if self.lexicon is not None:
             found = self.lexicon.find([c.encode() for c in missing])
             known.update((c, ids) for c, ids in zip(missing, found) if ids is not None)
             missing = [c for c, ids in zip(missing, found) if ids is None]
         known.update(zip(missing, self.exact_chunks(missing)))
-        return [
-            self._whole(text) if chunks is None else b"".join(map(known.__getitem__, chunks))[4:]
-            for text, chunks in zip(texts, cut)
-        ]
+        known.update((c, known[c[:-1]] + self.marks[c[-1]]) for c in ended)
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that are no UTF-8 become replacement characters."""
