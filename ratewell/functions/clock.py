@@ -26,5 +26,5 @@ def clock_minutes(date_time: Column | str) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    """Seconds from ``start`` to ``end`` with microseconds kept."""
-    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(1e6)
+    """Seconds from ``start`` to ``end`` with microseconds kept; wall-clock times have no time zone."""
+    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6)

@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 SUMS = ["n", "sxx", "sxy", "syy", "x_mean", "y_mean"]
 
 
+def known(value: Column | str) -> Column:
+    """The value, with NaN as NULL: a read that is no number is missing."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.when(~F.isnan(value), value)
+
+
 def line_sums(x: Column, y: Column, frame: WindowSpec | None = None) -> list[Column]:
-    """Centred sums and means over the pairs without NULL, named as in ``SUMS``."""
+    """Centred sums and means over the pairs without NULL or NaN, named as in ``SUMS``."""
+    x, y = known(x), known(y)
     functions = [F.regr_count, F.regr_sxx, F.regr_sxy, F.regr_syy, F.regr_avgx, F.regr_avgy]
     terms = [f(y, x) for f in functions]
     return [(t if frame is None else t.over(frame)).alias(name) for t, name in zip(terms, SUMS)]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewell import scale
-from ratewell.functions.lines import intercept, inverse_prediction, line_sums, r_squared, slope
+from ratewell.functions.lines import intercept, inverse_prediction, known, line_sums, r_squared, slope
 from ratewell.functions.text import token
 
 
@@ -27,7 +27,7 @@ def fit_line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     One aggregation that combines in the map tasks. Standard errors need three
     points and are NULL below that.
     """
-    fx, fy = F.col(x).cast("double"), F.col(y).cast("double")
+    fx, fy = known(F.col(x).cast("double")), known(F.col(y).cast("double"))
     paired = fx.isNotNull() & fy.isNotNull()
     sums = df.groupBy(*keys).agg(
         *line_sums(fx, fy),
@@ -68,10 +68,10 @@ def fitted_line(fit: DataFrame, points: int = 80, t_critical: float | None = Non
 
 
 def apply_calibration(df: DataFrame, fit: DataFrame, on: list[str], value: str, out: str = "nmol") -> DataFrame:
-    """Amount from absorbance with the line of the row's own assay."""
+    """Amount from absorbance with the line of the row's own assay; NULL where the assay has none."""
     line = fit.select(*on, F.col("b").alias("_b"), F.col("m").alias("_m"))
     return (
-        scale.join_dimension(df, line, on)
+        scale.join_dimension(df, line, on, "left")
         .withColumn(out, inverse_prediction(F.col(value), F.col("_b"), F.col("_m")))
         .drop("_b", "_m")
     )

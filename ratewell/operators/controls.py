@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewell import scale
+from ratewell.functions.lines import known
 from ratewell.functions.text import token
 
 
 def replicate_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Mean, sample sd and count per key; the sd of one value is NULL."""
+    """Mean, sample sd and count per key, without NaN; the sd of one value is NULL."""
+    number = known(value)
     return df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
+        F.avg(number).alias("mean"), F.stddev_samp(number).alias("sd"), F.count(number).alias("n"))
 
 
 def attach_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -33,7 +35,7 @@ def subtract_control(
         [row for s, c, name in pairs for row in ((s, name, "sample"), (c, name, "control"))],
         f"{series} string, id string, _role string",
     )
-    sides = {r: F.avg(F.when(F.col("_role") == r, F.col(value))) for r in ("sample", "control")}
+    sides = {r: F.avg(F.when(F.col("_role") == r, known(value))) for r in ("sample", "control")}
     return (
         df.join(roles, series)
         .groupBy(*on, "id").agg((sides["sample"] - sides["control"]).alias(out))
@@ -43,7 +45,7 @@ def subtract_control(
 def subtract_blank(df: DataFrame, on: list[str], is_blank: Column, value: str, out: str = "corrected") -> DataFrame:
     """Samples minus the mean blank of their group; groups without a blank or a sample drop."""
     flagged = df.withColumn("_blank", F.coalesce(is_blank, F.lit(False)))
-    blanks = flagged.where("_blank").groupBy(*on).agg(F.avg(value).alias("_mean"))
+    blanks = flagged.where("_blank").groupBy(*on).agg(F.avg(known(value)).alias("_mean"))
     return (
         scale.join_dimension(flagged.where(~F.col("_blank")), blanks, on)
         .withColumn(out, F.col(value) - F.col("_mean"))

@@ -32,7 +32,7 @@ def explode_wells(reads: DataFrame, keys: list[str], wells: str = "wells", out:
 def label_wells(observations: DataFrame, plate_map: DataFrame, keys: list[str]) -> DataFrame:
     """Give every observation the template label at its position; unlabelled wells drop."""
     labelled = plate_map.where(F.col("label").isNotNull()).select(*keys, "well_idx", "label")
-    return scale.join_dimension(observations, labelled, [*keys, "well_idx"], settled=True)
+    return scale.join_dimension(observations, labelled, [*keys, "well_idx"])
 
 
 def layout_check(instrument: DataFrame, template: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -95,9 +95,9 @@ def tag_matching(
 
 def mask_wells(wells: DataFrame, masks: DataFrame, condition: str) -> DataFrame:
     """Drop wells in the 1-based ranges ``(condition, lo, hi)`` set for their condition."""
-    mask = masks.withColumnRenamed(condition, "_masked")
+    mask = scale.settle(masks.select(F.col(condition).alias("_masked"), "lo", "hi"))
     covered = (wells[condition] == mask["_masked"]) & (wells["well_idx"] + 1).between(mask["lo"], mask["hi"])
-    return wells.join(F.broadcast(mask), covered, "left_anti")
+    return wells.join(F.broadcast(mask) if scale.fits_broadcast(mask, scale.BROADCAST_BYTES) else mask, covered, "left_anti")
 
 
 def keep_grid_rows(wells: DataFrame, first: int, last: int, columns: int) -> DataFrame:

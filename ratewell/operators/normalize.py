@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewell import scale
+from ratewell.functions.lines import known
 
 
 def enzyme_nmol(volume_ul: Column | float, mg_per_ml: Column | float, g_per_mol: Column | float) -> Column:
@@ -51,13 +52,13 @@ def per_protein(
 
 def reference_means(df: DataFrame, by: list[str], group: str, names: list[str], value: str, out: str) -> DataFrame:
     """Mean of the named reference groups."""
-    return df.where(F.col(group).isin(names)).groupBy(*by, group).agg(F.avg(value).alias(out))
+    return df.where(F.col(group).isin(names)).groupBy(*by, group).agg(F.avg(known(value)).alias(out))
 
 
 def fold_change(
     df: DataFrame, by: list[str], is_reference: Column, value: str, reference: str = "reference_mean"
 ) -> DataFrame:
     """Value over the mean of the reference rows with the same key; NULL without a reference."""
-    means = df.where(is_reference).groupBy(*by).agg(F.avg(value).alias(reference))
+    means = df.where(is_reference).groupBy(*by).agg(F.avg(known(value)).alias(reference))
     return scale.join_dimension(df, means, by, "left").withColumn(
         "fold_change", F.try_divide(F.col(value), F.col(reference)))

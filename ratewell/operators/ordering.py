@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewell import scale
+from ratewell.functions.lines import known
 
 MAX_SLICES = 20_000
 
@@ -126,7 +127,7 @@ def quantile_table(
     ranked; each wanted rank is then picked from the row that covers it. ``mean``
     and ``count`` name further columns taken in the same pass.
     """
-    rows = df.where(F.col(value).isNotNull())
+    rows = df.where(known(value).isNotNull())
     sizes = scale.settle(scale.group_sizes(rows, keys))
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
     ranked = running_total(

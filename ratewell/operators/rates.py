@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ratewell import scale
 from ratewell.functions.clock import seconds_between, whole_minutes
-from ratewell.functions.lines import SUMS, intercept, line_sums, r_squared, slope
+from ratewell.functions.lines import SUMS, intercept, known, line_sums, r_squared, slope
 from ratewell.operators.ordering import number_heavy, number_rows, slice_count
 
 CHUNK_ROWS = 100_000
@@ -113,11 +113,13 @@ def _window_fits(
     """
     over = f"OVER (PARTITION BY {_names(keys)} ORDER BY {_names(order)})"
     kept = dict.fromkeys([*keys, *order])
+    # A pair with a NULL or NaN is missing.
+    paired = " AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in (x, y))
     reads = df.selectExpr(
         *[f"`{c}`" for c in kept],
         f"CAST(row_number() {over} + {first} AS bigint) AS window_start",
-        f"CASE WHEN `{y}` IS NOT NULL THEN CAST(`{x}` AS double) END AS _x0",
-        f"CASE WHEN `{x}` IS NOT NULL THEN CAST(`{y}` AS double) END AS _y0",
+        f"CASE WHEN {paired} THEN CAST(`{x}` AS double) END AS _x0",
+        f"CASE WHEN {paired} THEN CAST(`{y}` AS double) END AS _y0",
     )
     if window < NARROW:
         sums = _run_sums(reads, over, [window + 1]).selectExpr(
@@ -240,28 +242,40 @@ def best_window(
     min_r2: float | None = None,
     min_slope: float | None = None,
     ties: str = "all",
+    longest: int | None = None,
 ) -> DataFrame:
     """The steepest window of each series that passes the R2 gate.
 
     ``ties="all"`` keeps every window sharing the largest slope, ``"first"`` the
-    earliest. Rank 1 is also taken in the map tasks, before any shuffle.
+    earliest. ``longest`` is the caller's promise on the reads per series; with it rank 1 is taken by
+    a window, and in the map tasks before any shuffle. Without it ties may be many, so the
+    largest slope is an aggregate that is joined back.
     """
-    good = fits.where(F.col("slope").isNotNull())
+    good = fits.where(known("slope").isNotNull())
     if min_r2 is not None:
         good = good.where(F.col("r2") >= min_r2)
     if min_slope is not None:
         good = good.where(F.col("slope") > min_slope)
-    by = [F.col("slope").desc()] + ([F.col("window_start")] if ties == "first" else [])
-    return (
-        good.withColumn("_rank", F.rank().over(Window.partitionBy(*keys).orderBy(*by)))
-        .where(F.col("_rank") == 1)
-        .select(*keys, F.col("slope").alias("max_slope"), "r2", "intercept", "window_start")
-    )
+    columns = [*keys, F.col("slope").alias("max_slope"), "r2", "intercept", "window_start"]
+    if ties == "first":
+        first = F.max_by(F.struct("slope", "r2", "intercept", "window_start"), F.struct("slope", -F.col("window_start")))
+        return good.groupBy(*keys).agg(first.alias("_best")).select(*keys, "_best.*").select(*columns)
+    if longest is not None and longest <= scale.GROUP_ROWS:
+        by_slope = Window.partitionBy(*keys).orderBy(F.col("slope").desc())
+        return good.withColumn("_rank", F.rank().over(by_slope)).where(F.col("_rank") == 1).select(*columns)
+    good = scale.settle(good)
+    top = good.groupBy(*keys).agg(F.max("slope").alias("_top"))
+    return scale.join_dimension(good, top, keys).where(F.col("slope") == F.col("_top")).select(*columns)
 
 
 def attach_rates(reads: DataFrame, rates: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Give each read its series' rate; series without one are tagged inactive."""
-    return scale.join_dimension(reads, rates, keys, "left").withColumn(
+    """Give each read its series' rate, the earliest of equal ones; series without one are tagged inactive.
+
+    ``n_winners`` says how many windows share the largest slope. There is one row per read.
+    """
+    first = F.min(F.struct("window_start", "max_slope", "r2", "intercept")).alias("_first")
+    lines = rates.groupBy(*keys).agg(first, F.count(F.lit(1)).alias("n_winners")).select(*keys, "n_winners", "_first.*")
+    return scale.join_dimension(reads, lines, keys, "left").withColumn(
         "winners", F.when(F.col("max_slope").isNull(), F.lit(" inactive")).otherwise(F.col(label).cast("string"))
     )
 

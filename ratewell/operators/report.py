@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell import scale
+from ratewell.functions.lines import known
 from ratewell.operators.ordering import quantile_table
 
 QUARTILES = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
@@ -25,7 +26,7 @@ def _fenced(df: DataFrame, keys: list[str], value: str, group_rows: int | None)
     box = quantile_table(df, keys, value, {k: QUARTILES[k] for k in ("q1", "median", "q3")}, group_rows=group_rows)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     box = box.withColumn("_lower", F.col("q1") - reach).withColumn("_upper", F.col("q3") + reach)
-    return box, scale.join_dimension(df.where(F.col(value).isNotNull()), box, keys, group_rows=group_rows)
+    return box, scale.join_dimension(df.where(known(value).isNotNull()), box, keys, group_rows=group_rows)
 
 
 def box_stats(df: DataFrame, keys: list[str], value: str, group_rows: int | None = None) -> DataFrame:
@@ -51,7 +52,7 @@ def density_histogram(df: DataFrame, facet: list[str], value: str, bins: int = 3
     Bins are (max - min) / (bins - 1) wide, the first centred on the minimum, and
     hold their right edge.
     """
-    rows = df.where(F.col(value).isNotNull())
+    rows = df.where(known(value).isNotNull())
     # Two numbers for the whole table.
     low, high = rows.agg(F.min(value), F.max(value)).first()
     if low is None:

@@ -41,7 +41,7 @@ class StandardSettings:
 
 @dataclass
 class AssayResult:
-    """Tables of one analysis, all lazy."""
+    """Tables of one analysis. Small tables are settled while the plan is built; the rest is lazy."""
 
     calibration: DataFrame
     progress: DataFrame
@@ -61,15 +61,21 @@ def standard_curve(reads: DataFrame, keys: list[str], settings: StandardSettings
     return calibrate.fit_line(wells.withColumn("nmol", dose["nmol"]), keys, "nmol", "absorbance")
 
 
-def steepest(progress: DataFrame, keys: list[str], series: str, value: str, settings: RateSettings):
-    """Trimmed reads, all window fits and the best window of every series."""
+def steepest(
+    progress: DataFrame, keys: list[str], series: str, value: str, settings: RateSettings, then: tuple[str, ...] = ()
+):
+    """Trimmed reads, all window fits and the best window of every series.
+
+    Reads are in the order of minutes and then of ``then``, which must tell apart reads of
+    the same minute.
+    """
     if settings.last_minute is not None:
         progress = rates.force_last_minute(progress, keys, "minutes", settings.last_minute)
     by = [*keys, series]
-    reads = rates.trim_reads(progress, by, ["minutes"], settings.first_read, settings.last_read)
-    fits = rates.sliding_fit(reads, by, ["minutes"], "minutes", value, settings.window,
-                             longest=settings.last_read - settings.first_read + 1)
-    return reads, fits, rates.best_window(fits, by, settings.min_r2, settings.min_slope)
+    order, longest = ["minutes", *then], settings.last_read - settings.first_read + 1
+    reads = rates.trim_reads(progress, by, order, settings.first_read, settings.last_read)
+    fits = rates.sliding_fit(reads, by, order, "minutes", value, settings.window, longest=longest)
+    return reads, fits, rates.best_window(fits, by, settings.min_r2, settings.min_slope, longest=longest)
 
 
 def kinetic_assay(
@@ -125,7 +131,8 @@ def screen(
 ) -> AssayResult:
     """Directed-evolution screen: blank, calibrate, slide, normalise, fold change over a reference.
 
-    Labels read ``colony_substrate_...``. ``blank=None`` skips the blank step,
+    Labels read ``colony_substrate_...``. Reads of the same minute go by ``read_idx``, or
+    by their amount if there is no such column. ``blank=None`` skips the blank step,
     ``protein`` (sample, nm_per_od) turns rates into turnover numbers.
     """
     samples = reads.withColumns({
@@ -136,8 +143,9 @@ def screen(
         samples = controls.subtract_blank(samples, [*keys, "substrate", "minutes"], is_blank, value)
         value = "corrected"
     progress = calibrate.apply_calibration(samples, calibration, keys, value).select(
-        *keys, "label", "substrate", "colony", "minutes", "nmol")
-    trimmed, fits, best = steepest(progress, [*keys, "substrate", "colony"], "label", "nmol", settings)
+        *keys, "label", "substrate", "colony", "minutes", "nmol", *[c for c in reads.columns if c == "read_idx"])
+    then = ("read_idx", "nmol") if "read_idx" in reads.columns else ("nmol",)
+    trimmed, fits, best = steepest(progress, [*keys, "substrate", "colony"], "label", "nmol", settings, then)
     # One row per series, read four times below: cut here, or every table fits all windows again.
     best = scale.settle(best)
     result = best if protein is None else normalize.per_protein(best, protein, "colony", "sample", "nm_per_od")

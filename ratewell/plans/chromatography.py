@@ -21,15 +21,15 @@ SAMPLE_CLASSES = [
 
 def hplc_time_course(
     spark: SparkSession, paths: str | list[str], columns: int, drop_enzymes: tuple[str, ...] = ("EV",),
-    drop_ids: str | None = None,
+    drop_ids: str | None = None, markers: str = MARKERS, left_out: tuple[str, ...] = (LEFT_OUT,),
 ) -> DataFrame:
     """Concentrations of all sections with the mean and sd per enzyme, time and compound."""
     rows = scan_cells(spark, paths, columns)
     first = F.get("cells", F.lit(1))
-    cells = sections.section_table(rows.where(first.isNotNull()), ["file_name"], "line_no", "cells", first.rlike(MARKERS))
+    cells = sections.section_table(rows.where(first.isNotNull()), ["file_name"], "line_no", "cells", first.rlike(markers))
     fields = sections.hplc_fields(cells)
     kept = fields.where(~F.col("enzyme").isin(*drop_enzymes)) if drop_enzymes else fields
-    kept = kept.where(F.col("variable") != LEFT_OUT)
+    kept = kept.where(~F.col("variable").isin(*left_out)) if left_out else kept
     if drop_ids is not None:
         kept = kept.where(~F.col("idvar").rlike(drop_ids))
     return sections.time_course(kept)
@@ -38,8 +38,9 @@ def hplc_time_course(
 def chromatogram_overlay(
     spark: SparkSession, paths: str | list[str], exclude: str | None = None,
     upper: float = 10.0, shown: tuple[float, float] | None = (3.0, 10.0), skip: int = 76,
+    classes: list[tuple[str, str]] = SAMPLE_CLASSES,
 ) -> DataFrame:
     """Traces of many files, classed by file name and cut to the shown time."""
     trace = scan_after_header(spark, paths, schemas.CHROMATOGRAM, skip, exclude=exclude)
-    classed = trace.withColumn("sample", first_match("file_name", SAMPLE_CLASSES))
+    classed = trace.withColumn("sample", first_match("file_name", classes))
     return sections.trace_window(classed, "time_min", upper, shown)

@@ -13,9 +13,12 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 GROUP_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+#: Bound for lists of heavy keys, apart from that for tables so that tests may set the latter to 0.
+BROADCAST_LIST_BYTES = BROADCAST_BYTES
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -38,15 +41,40 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _leaves(kind: T.DataType) -> int:
+    """Fields that one value of a type holds, an array or map counted with one element."""
+    if isinstance(kind, T.StructType):
+        return 1 + sum(_leaves(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return 1 + _leaves(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return 1 + _leaves(kind.keyType) + _leaves(kind.valueType)
+    return 1
+
+
 def byte_size(df: DataFrame) -> int:
-    """Bytes of all rows written as JSON, an upper estimate of the broadcast size."""
-    row = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
-    return int(row[0] or 0)
+    """Upper estimate of the bytes of all rows in a hash table.
+
+    Every field takes 8 bytes whether NULL or not (decimals 16 more), and a row its null bits and a
+    table entry. Text and binary add their bytes; every character of a nested value's JSON may stand for
+    a value with all its fields.
+    """
+    fields = df.schema.fields
+    fixed = 48 + 8 * (len(fields) // 64 + 1)
+    varying = []
+    for f in fields:
+        fixed += 24 if isinstance(f.dataType, T.DecimalType) else 8
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            varying.append(F.octet_length(f"`{f.name}`") + 8)
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            varying.append((F.octet_length(F.to_json(F.struct(f"`{f.name}`"))) + 1) * 8 * _leaves(f.dataType))
+    width = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0)) for v in varying], F.lit(fixed)).cast("bigint")
+    return int(df.agg(F.sum(width)).first()[0] or 0)
 
 
 def fits_broadcast(df: DataFrame, limit: int) -> bool:
-    """Whether the table may be broadcast; the row count alone rules out large ones."""
-    return df.count() <= limit // 8 and byte_size(df) <= limit
+    """Whether the table may be broadcast: the bytes of its rows were added up."""
+    return byte_size(df) <= limit
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
@@ -87,7 +115,8 @@ def split_heavy(
     sizes = group_sizes(df, keys) if sizes is None else sizes
     large = settle(sizes.where(F.col("_rows") > limit))
     total = large.agg(F.sum("_rows")).first()[0]
-    heavy_keys = F.broadcast(large.select(*keys))
+    heavy_keys = large.select(*keys)
+    heavy_keys = F.broadcast(heavy_keys) if fits_broadcast(heavy_keys, BROADCAST_LIST_BYTES) else heavy_keys
     if total is None:
         return HeavySplit(None, df, heavy_keys, 0)
     return HeavySplit(
@@ -109,21 +138,21 @@ def join_dimension(
 ) -> DataFrame:
     """Join rows to a per-key table computed from data.
 
-    The table is settled once (``settled`` says it is, or is a plain scan) and
-    broadcast if its bytes allow. Otherwise rows of heavy keys meet a broadcast of
-    just those keys, and all other rows shuffle.
+    NULL keys match NULL keys. The table is settled once (``settled`` says it is, or is
+    a plain scan) and broadcast if its bytes allow. Otherwise rows of heavy keys meet a
+    broadcast of just those keys, and all other rows shuffle.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     dimension = dimension if settled else settle(dimension)
     if fits_broadcast(dimension, limit):
-        return df.join(F.broadcast(dimension), on, how)
+        return match_keys(df, F.broadcast(dimension), on, how)
     split = split_heavy(df, on, group_rows)
-    spread = split.light.join(dimension, on, how)
+    spread = match_keys(split.light, dimension, on, how)
     if split.heavy is None:
         return spread
-    part = settle(dimension.join(split.heavy_keys, on, "left_semi"))
+    part = settle(match_keys(dimension, split.heavy_keys, on, "left_semi"))
     part = F.broadcast(part) if fits_broadcast(part, limit) else part
-    return split.heavy.join(part, on, how).unionByName(spread)
+    return match_keys(split.heavy, part, on, how).unionByName(spread)
 
 
 def small_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:

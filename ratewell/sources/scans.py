@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,30 +51,26 @@ def scan_provenance(
 def numbered_lines(
     spark: SparkSession, paths: str | list[str], include: str | None = None, exclude: str | None = None
 ) -> DataFrame:
-    """Text lines with their 1-based line number in the file.
+    """Text lines with their 1-based line number in the file: ``file_name``, ``file_path``, ``line_no``, ``value``.
 
-    Files stay splittable: lines are numbered inside each file block and start
-    from the line count of the blocks before it.
+    Files stay splittable: ids rise by one inside a file block, which lies in one task, so
+    a line's number is the line count of the blocks before it and its distance from the
+    block's first id. Lines travel only if the table of blocks is too large to broadcast.
+    Files are filtered ahead of the ids, alike in both scans, so blocks are packed the same way.
     """
-    lines = keep_files(
-        spark.read.text(paths).select(
-            "value",
-            F.col("_metadata.file_name").alias("file_name"),
-            F.col("_metadata.file_path").alias("_path"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_pos"),
-        ), include, exclude)
+    files = spark.read.text(paths).select("value", *[
+        F.col(f"_metadata.{c}").alias(n) for c, n in (("file_name", "file_name"), ("file_path", "_path"), ("file_block_start", "_block"))])
+    lines = keep_files(files, include, exclude).withColumn("_pos", F.monotonically_increasing_id())
     earlier = (Window.partitionBy("_path").orderBy("_block")
                .rowsBetween(Window.unboundedPreceding, -1))
     starts = (
-        lines.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_lines"))
-        .withColumn("_start", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
-        .drop("_lines")
+        lines.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_lines"), F.min("_pos").alias("_first"))
+        .withColumn("_start", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)) - F.col("_first") + 1)
+        .drop("_lines", "_first")
     )
-    in_block = F.row_number().over(Window.partitionBy("_path", "_block").orderBy("_pos"))
     return (
-        scale.join_dimension(lines.withColumn("_line", in_block), starts, ["_path", "_block"])
-        .select("file_name", (F.col("_start") + F.col("_line")).alias("line_no"), "value")
+        scale.join_dimension(lines, starts, ["_path", "_block"])
+        .select("file_name", F.col("_path").alias("file_path"), (F.col("_start") + F.col("_pos")).alias("line_no"), "value")
     )
 
 
@@ -83,7 +79,7 @@ def scan_cells(
     first_line: int | None = None, last_line: int | None = None,
     include: str | None = None, exclude: str | None = None,
 ) -> DataFrame:
-    """Rectangle of a sheet export: ``file_name``, ``line_no``, ``cells`` (text)."""
+    """Rectangle of a sheet export: ``file_name``, ``file_path``, ``line_no``, ``cells`` (text)."""
     lines = numbered_lines(spark, paths, include, exclude)
     if first_line is not None:
         lines = lines.where(F.col("line_no") >= first_line)
@@ -93,22 +89,24 @@ def scan_cells(
     parsed = F.from_csv("value", F.lit(schema), {"sep": sep})
     return (
         lines.withColumn("_row", parsed)
-        .select("file_name", "line_no", F.array(*[F.col(f"_row.c{i}") for i in range(columns)]).alias("cells"))
+        .select("file_name", "file_path", "line_no", F.array(*[F.col(f"_row.c{i}") for i in range(columns)]).alias("cells"))
     )
 
 
 def scan_plate_reads(
     spark: SparkSession, paths: str | list[str], header_line: int, last_line: int, first_column: int = 1,
-    wells: int = 96, include: str | None = None, exclude: str | None = None,
+    wells: int = 96, include: str | None = None, exclude: str | None = None, plate: Column | str = "file_name",
 ) -> DataFrame:
     """Wide plate reads from a sheet export; the cell rectangle starts with its header line.
 
-    Its columns are read time, temperature and the wells in plate order.
+    Its columns are read time, temperature and the wells in plate order. ``plate``, an
+    expression on ``file_name`` and ``file_path``, names the plate.
     """
+    plate = F.col(plate) if isinstance(plate, str) else plate
     cells = scan_cells(spark, paths, first_column + 2 + wells, first_line=header_line + 1, last_line=last_line,
                        include=include, exclude=exclude)
     return cells.select(
-        F.col("file_name").alias("plate_id"),
+        plate.alias("plate_id"),
         (F.col("line_no") - header_line - 1).alias("read_idx"),
         F.get("cells", F.lit(first_column)).alias("time_text"),
         F.get("cells", F.lit(first_column + 1)).try_cast("double").alias("temperature_c"),
@@ -126,15 +124,18 @@ def scan_instrument_names(
         F.posexplode(F.slice("cells", first_column + 1, wells + 2)).alias("position", "instrument_name"))
 
 
-def scan_label_grid(spark: SparkSession, paths: str | list[str], columns: int = 12) -> DataFrame:
+def scan_label_grid(
+    spark: SparkSession, paths: str | list[str], columns: int = 12, plate: Column | str = "file_name"
+) -> DataFrame:
     """Plate template sheets: ``plate_id``, 0-based ``grid_row`` and one label column per plate column.
 
     The header line and the row-letter column go; ``NA`` and empty cells are NULL.
     """
+    plate = F.col(plate) if isinstance(plate, str) else plate
     cells = scan_cells(spark, paths, columns + 1, first_line=2)
     label = [F.get("cells", F.lit(i)) for i in range(1, columns + 1)]
     return cells.select(
-        F.col("file_name").alias("plate_id"), (F.col("line_no") - 2).alias("grid_row"),
+        plate.alias("plate_id"), (F.col("line_no") - 2).alias("grid_row"),
         *[F.when(~c.isin("NA", ""), c).alias(f"c{i}") for i, c in enumerate(label, 1)])
 
 

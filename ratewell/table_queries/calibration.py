@@ -120,7 +120,42 @@ def header_row_cleanup(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.cast_text(cleaning.cast_text(kept, ["value"]), ["event_id"], "bigint")
 
 
+def standard_curve_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """Some standards read NaN and some doses are NaN; both count as missing."""
+    rows = table(spark, folder, "lineitem").select(
+        *KEY, F.when(F.col("l_linenumber") == 5, F.lit(float("nan"))).otherwise(F.col(X)).alias(X),
+        F.when(F.col("l_orderkey") % 11 == 0, F.lit(float("nan"))).otherwise(F.col(Y)).alias(Y))
+    return calibrate.fit_line(rows, KEY, X, Y).withColumns(rounded({"b": 4, "m": 6, "r2": 8})).select(*KEY, "n", "b", "m", "r2")
+
+
+def uncalibrated_plate(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows whose key has no line keep their place, with no amount; a NULL key has a line of its own."""
+    rows = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.nullif("l_returnflag", F.lit("N")).alias("flag"), X, Y)
+    line = calibrate.fit_line(rows.where("flag IS NULL OR flag = 'A'"), ["flag"], X, Y)
+    return calibrate.apply_calibration(rows, line, ["flag"], Y).select(
+        "l_orderkey", "l_linenumber", "flag", F.round("nmol", 4).alias("nmol"))
+
+
+def attach_null_group(spark: SparkSession, folder: str) -> DataFrame:
+    """Replicate statistics reach rows whose key is NULL."""
+    reads = table(spark, folder, "events").select("event_id", F.nullif("event_type", F.lit("view")).alias("kind"), "value")
+    return controls.attach_stats(reads, ["kind"], "value").withColumns(rounded({"mean": 8, "sd": 8}))
+
+
 QUERIES = {
+    "standard_curve_nan": Query(standard_curve_nan, """
+WITH r AS (SELECT l_returnflag, l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_linenumber <> 5 AND l_orderkey % 11 <> 0)
+SELECT l_returnflag, CAST(regr_count(y, x) AS BIGINT) AS n, round(regr_intercept(y, x), 4) AS b, round(regr_slope(y, x), 6) AS m,
+       round(regr_r2(y, x), 8) AS r2 FROM r GROUP BY l_returnflag"""),
+    "uncalibrated_plate": Query(uncalibrated_plate, """
+WITH r AS (SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS flag, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+line AS (SELECT flag, regr_slope(y, x) AS m, regr_intercept(y, x) AS b FROM r WHERE flag IS NULL OR flag = 'A' GROUP BY flag)
+SELECT l_orderkey, l_linenumber, r.flag, round((y - b) / m, 4) AS nmol
+FROM r LEFT JOIN line ON r.flag IS NOT DISTINCT FROM line.flag"""),
+    "attach_null_group": Query(attach_null_group, """
+SELECT event_id, kind, value, round(avg(value) OVER g, 8) AS mean, round(stddev_samp(value) OVER g, 8) AS sd, count(value) OVER g AS n
+FROM (SELECT event_id, nullif(event_type, 'view') AS kind, value FROM events) WINDOW g AS (PARTITION BY kind)"""),
     "standard_curve": Query(standard_curve, f"""{LINE_CTE}
 SELECT l_returnflag, n, round(b, 4) AS b, round(m, 6) AS m, round(r2, 8) AS r2, round(s, 4) AS residual_se,
        round(s / sqrt(sxx), 6) AS se_m, round(s * sqrt(1.0 / n + mx * mx / sxx), 4) AS se_b,

@@ -94,7 +94,20 @@ CURVE_SQL = """round(avg(p_retailprice), 6) AS mean, round(stddev_samp(p_retailp
   round(avg(p_retailprice) - stddev_samp(p_retailprice), 6) AS lo, round(avg(p_retailprice) + stddev_samp(p_retailprice), 6) AS hi"""
 BRAND_NUMBER = "CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE)"
 
+def fold_change_null_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows with a NULL key find the reference of the NULL key."""
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey", F.nullif("o_orderpriority", F.lit("2-HIGH")).alias("priority"), "o_orderstatus", "o_totalprice")
+    changed = normalize.fold_change(rows, ["priority"], F.col("o_orderstatus") == "F", "o_totalprice")
+    return changed.withColumns(rounded({"reference_mean": 4, "fold_change": 6}))
+
+
 QUERIES = {
+    "fold_change_null_key": Query(fold_change_null_key, """
+WITH r AS (SELECT o_orderkey, nullif(o_orderpriority, '2-HIGH') AS priority, o_orderstatus, o_totalprice FROM orders),
+m AS (SELECT priority, avg(o_totalprice) AS mean FROM r WHERE o_orderstatus = 'F' GROUP BY priority)
+SELECT o_orderkey, r.priority, o_orderstatus, o_totalprice, round(mean, 4) AS reference_mean, round(o_totalprice / mean, 6) AS fold_change
+FROM r LEFT JOIN m ON r.priority IS NOT DISTINCT FROM m.priority"""),
     "per_enzyme_rate": Query(per_enzyme_rate, """
 SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, round(l_extendedprice / 120, 6) AS sec_slope,
        CASE WHEN l_discount = 0 OR l_quantity = 0 THEN NULL ELSE

@@ -29,7 +29,7 @@ def sliding_fit_all(spark: SparkSession, folder: str) -> DataFrame:
 def _max_rate(spark: SparkSession, folder: str) -> DataFrame:
     reads = rates.trim_reads(events(spark, folder), ["user_id"], ORDER, 1, 30)
     fits = rates.sliding_fit(reads, ["user_id"], ORDER, "minutes", "value", 5, longest=30)
-    return rates.best_window(fits, ["user_id"])
+    return rates.best_window(fits, ["user_id"], longest=30)
 
 
 def max_rate(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +47,7 @@ GATED = ["user_id", "event_type"]
 def _gated(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     reads = rates.trim_reads(events(spark, folder), GATED, ORDER, 2, 40)
     fits = rates.sliding_fit(reads, GATED, ORDER, "minutes", "value", 4, longest=39)
-    return reads, rates.best_window(fits, GATED, min_r2=0.5, min_slope=0.0)
+    return reads, rates.best_window(fits, GATED, min_r2=0.5, min_slope=0.0, longest=39)
 
 
 def max_rate_gated(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,6 +115,23 @@ def fitted_rate_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.col("intercept") + F.col("max_slope") * F.col("minutes"), 4).alias("line"))
 
 
+def max_rate_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh value is NaN, which counts as missing."""
+    reads = rates.trim_reads(events(spark, folder), ["user_id"], ORDER, 1, 30).withColumn(
+        "y", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    fits = rates.sliding_fit(reads, ["user_id"], ORDER, "minutes", "y", 5, longest=30)
+    best = rates.best_window(fits, ["user_id"], min_r2=0.1, min_slope=0.0, longest=30)
+    return best.withColumns(rounded(RATE))
+
+
+def rates_flat_series(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole series of equal values: every window wins, and every read still comes once."""
+    reads = events(spark, folder).withColumn("level", F.lit(1.0))
+    best = rates.best_window(rates.sliding_fit(reads, ["user_id"], ORDER, "minutes", "level", 5), ["user_id"])
+    return rates.attach_rates(reads, best, ["user_id"], "user_id").select(
+        "event_id", "user_id", "max_slope", "window_start", "n_winners")
+
+
 QUERIES = {
     "sliding_fit_all": Query(sliding_fit_all, f"""WITH reads AS ({READS_SQL}),
 fits AS ({fits_sql('reads', 'user_id', 'ts, event_id', 'minutes', 'value', 5)})
@@ -127,7 +144,8 @@ SELECT r.event_id, r.user_id, r.event_type, r.value,
        CASE WHEN b.max_slope IS NULL THEN ' inactive' ELSE r.event_type END AS winners,
        coalesce(b.window_start, 0) AS window_start,
        round(b.max_slope, 6) AS max_slope, round(b.r2, 6) AS r2
-FROM reads r LEFT JOIN best b ON r.user_id = b.user_id AND r.event_type = b.event_type"""),
+FROM reads r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY window_start) AS nth FROM best) b
+  ON r.user_id = b.user_id AND r.event_type = b.event_type AND b.nth = 1"""),
     "best_window_first": Query(best_window_first, f"""WITH reads AS (
   SELECT user_id, place, floor(value / 25) AS level FROM ({trimmed_sql('user_id', 1, 30)})),
 fits AS ({fits_sql('reads', 'user_id', 'place', 'place', 'level', 1)}),
@@ -151,5 +169,17 @@ SELECT user_id, round(max_slope, 6) AS max_slope FROM best ORDER BY best.max_slo
 fits AS ({fits_sql('reads', 'user_id', 'ts, event_id', 'minutes', 'value', 5)}),
 best AS ({best_sql('fits', 'user_id')})
 SELECT r.event_id, r.user_id, round(b.intercept + b.max_slope * r.minutes, 4) AS line
-FROM reads r JOIN best b ON r.user_id = b.user_id"""),
+FROM reads r JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY window_start) AS nth FROM best) b
+  ON r.user_id = b.user_id AND b.nth = 1"""),
+    "max_rate_nan": Query(max_rate_nan, f"""WITH reads AS (
+  SELECT user_id, ts, event_id, minutes, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS y
+  FROM ({trimmed_sql('user_id', 1, 30)})),
+fits AS ({fits_sql('reads', 'user_id', 'ts, event_id', 'minutes', 'y', 5)}),
+best AS ({best_sql('fits', 'user_id', 'r2 >= 0.1 AND slope > 0')})
+SELECT user_id, {RATE_SQL}, window_start FROM best"""),
+    "rates_flat_series": Query(rates_flat_series, """
+WITH sizes AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+SELECT event_id, e.user_id, CASE WHEN n > 5 THEN 0.0::DOUBLE END AS max_slope, CASE WHEN n > 5 THEN CAST(1 AS BIGINT) END AS window_start,
+       CASE WHEN n > 5 THEN n - 5 END AS n_winners
+FROM events e JOIN sizes s ON e.user_id = s.user_id"""),
 }

@@ -53,7 +53,36 @@ def density_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return bars.withColumns(rounded({"centre": 4, "density": 12}))
 
 
+def histogram_null_facet(spark: SparkSession, folder: str) -> DataFrame:
+    """A NULL facet has its bars; NaN values are left out."""
+    rows = table(spark, folder, "lineitem").select(
+        F.nullif("l_returnflag", F.lit("N")).alias("flag"),
+        F.when(F.col("l_linenumber") == 4, F.lit(float("nan"))).otherwise(F.col("l_extendedprice")).alias("price"))
+    return report.density_histogram(rows, ["flag"], "price").withColumns(rounded({"centre": 4, "density": 12}))
+
+
+def box_null_group(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _scaled(spark, folder).withColumn("priority", F.nullif("o_orderpriority", F.lit("2-HIGH")))
+    box = report.box_stats(rows, ["priority"], "o_totalprice")
+    return box.withColumns(rounded({c: 6 for c in ("q1", "median", "q3", "whisker_lo", "whisker_hi")}))
+
+
 QUERIES = {
+    "histogram_null_facet": Query(histogram_null_facet, """
+WITH r AS (SELECT nullif(l_returnflag, 'N') AS flag, l_extendedprice AS price FROM lineitem WHERE l_linenumber <> 4),
+g AS (SELECT min(price) AS lo, (max(price) - min(price)) / 29 AS w FROM r),
+b AS (SELECT flag, lo, w, CAST(greatest(0, least(29, ceil((price - (lo - w / 2)) / w - 1e-8) - 1)) AS INTEGER) AS bin FROM r, g),
+c AS (SELECT flag, bin, lo, w, count(*) AS "count" FROM b GROUP BY ALL)
+SELECT flag, bin, "count", round(lo + bin * w, 4) AS centre,
+       round("count" / (sum("count") OVER (PARTITION BY flag) * w), 12) AS density FROM c"""),
+    "box_null_group": Query(box_null_group, """
+WITH s AS (SELECT nullif(o_orderpriority, '2-HIGH') AS priority, power(o_totalprice / 100000, 3) AS v FROM orders),
+q AS (SELECT priority, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM s GROUP BY 1),
+r AS (SELECT s.*, q1, median, q3, v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
+      FROM s JOIN q ON s.priority IS NOT DISTINCT FROM q.priority)
+SELECT priority, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(min(v) FILTER (WHERE inside), 6) AS whisker_lo,
+       round(max(v) FILTER (WHERE inside), 6) AS whisker_hi, count(*) FILTER (WHERE NOT inside) AS n_outliers
+FROM r GROUP BY priority, q1, median, q3"""),
     "five_number": Query(five_number, """
 SELECT o_orderstatus, round(avg(o_totalprice), 4) AS mean, count(o_totalprice) AS n, round(min(o_totalprice), 4) AS min,
        round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.5), 4) AS median,

@@ -13,7 +13,8 @@ from ratewell import scale
 from ratewell.operators import calibrate, layout
 from ratewell.operators.ordering import number_rows
 from ratewell.plans.assays import RateSettings, condition_assay, kinetic_assay, screen
-from ratewell.table_queries.common import Query, best_sql, fits_sql, rounded, table
+from ratewell.plans.sheets import labelled_reads
+from ratewell.table_queries.common import Query, best_sql, fits_sql, rounded, scratch_folder, table
 from ratewell.table_queries.layout import WELLS_SQL
 
 STANDARDS = 6
@@ -137,7 +138,45 @@ ref AS (SELECT plate, substrate, avg(rate) AS mean FROM n WHERE colony = 'c0' GR
 SELECT n.plate, label, colony, n.substrate, window_start, round(rate, 5) AS max_slope, round(rate / mean, 5) AS fold_change
 FROM n LEFT JOIN ref ON n.plate = ref.plate AND n.substrate = ref.substrate"""
 
+def kinetic_from_sheets(spark: SparkSession, folder: str) -> DataFrame:
+    """Plates written as sheets of reads and of labels, scanned and fitted; the clock passes midnight.
+
+    Every tenth read has an empty well and is left out.
+    """
+    path = scratch_folder(spark)
+    wells = _plate_reads(spark, folder)
+    well, noise = F.col("well_idx"), F.col("value") * 0.01
+    absorbance = F.when(well < STANDARDS, 0.1 + 0.046 * 8 * well + noise).otherwise(
+        0.2 + 0.02 * F.col("minutes") * (1 + (well % 16) / 16) + noise)
+    minute = F.col("minutes").cast("long")
+    cell = F.when((minute % 10 == 9) & (well == 40), "").otherwise(absorbance.cast("string"))
+    clock = F.format_string(
+        "1899-12-31 %02d:%02d:00", F.floor((minute + 1430) / 60) % 24, (minute + 1430) % 60)
+    lines = wells.groupBy("plate", "minutes").agg(
+        F.sort_array(F.collect_list(F.struct("well_idx", cell.alias("cell")))).alias("cells")
+    ).select("plate", minute.alias("line"), F.concat_ws(",", F.lit(""), clock, F.lit("37"), "cells.cell").alias("value"))
+    header = wells.select("plate").distinct().select(
+        "plate", F.explode(F.array(F.lit(-2).cast("long"), F.lit(-1).cast("long"))).alias("line"), F.lit(",Time,T").alias("value"))
+    lines.unionByName(header).repartition("plate").sortWithinPartitions("plate", "line").select("plate", "value").write.partitionBy(
+        "plate").text(f"{path}/reads")
+    grid = wells.select("plate").distinct().select("plate", F.explode(F.sequence(F.lit(-1), F.lit(7))).alias("row")).select(
+        "plate", "row", F.concat_ws(",", F.col("row").cast("string"), F.transform(
+            F.sequence(F.col("row") * 8, F.col("row") * 8 + 7),
+            lambda i: F.when(i < 0, "").when(i < STANDARDS, F.concat(F.lit("stdcurve_"), i.cast("string"))).otherwise(
+                F.concat(F.lit("s"), (i % 16).cast("string"))))).alias("value"))
+    grid.repartition("plate").sortWithinPartitions("plate", "row").select("plate", "value").write.partitionBy(
+        "plate").text(f"{path}/templates")
+    plate = F.regexp_extract("file_path", "plate=([^/]+)", 1).cast("int")
+    reads = labelled_reads(spark, f"{path}/reads", f"{path}/templates", 2, 1_000_000_000, rows=8, columns=8, plate=plate)
+    rates = kinetic_assay(reads, ["plate_id"]).rates.withColumns(rounded(RATE))
+    return rates.withColumnRenamed("plate_id", "plate")
+
+
+FROM_SHEETS_SQL = KINETIC_SQL.replace(
+    f"WITH w AS ({TIMED_SQL})", f"WITH w AS (SELECT * FROM ({TIMED_SQL}) WHERE CAST(minutes AS BIGINT) % 10 <> 9)")
+
 QUERIES = {
+    "kinetic_from_sheets": Query(kinetic_from_sheets, FROM_SHEETS_SQL),
     "kinetic_rates": Query(kinetic_rates, KINETIC_SQL),
     "condition_rates": Query(condition_rates, CONDITION_SQL),
     "screen_fold_change": Query(screen_fold_change, SCREEN_SQL),

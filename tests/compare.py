@@ -27,7 +27,7 @@ def key(row):
 def normal(value):
     if isinstance(value, float):
         if math.isnan(value):
-            return None
+            return "NaN"
         return 0.0 if value == 0 else value
     return value
 

@@ -3,10 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ratewell.functions.clock import clock_minutes
-from ratewell.operators import cleaning, layout
 from ratewell.plans.assays import RateSettings, StandardSettings, condition_assay, kinetic_assay, screen
-from ratewell.sources import scans
+from ratewell.plans.sheets import labelled_reads, sheet_minutes
 
 B, M = 0.11, 0.046
 RATES = {"enzA": 1.5, "enzB": 0.4, "enzC": 3.0}
@@ -45,12 +43,7 @@ def reads(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("plates")
     for name in ("one.csv", "two.csv"):
         write_plate(folder, name)
-    wide = scans.scan_plate_reads(spark, str(folder / "reads"), 29, 60).withColumn("minutes", clock_minutes("time_text"))
-    complete = cleaning.drop_incomplete_reads(wide)
-    grid = scans.scan_label_grid(spark, str(folder / "template"))
-    template = layout.flatten_grid(grid, ["plate_id"], "grid_row", [f"c{i}" for i in range(1, 13)])
-    long = layout.explode_wells(complete, ["plate_id", "minutes"], out="absorbance")
-    return layout.label_wells(long, template, ["plate_id"]).drop("well_idx").cache()
+    return labelled_reads(spark, str(folder / "reads"), str(folder / "template"), 29, 60).cache()
 
 
 def test_kinetic_assay_finds_the_known_rates(spark, reads):
@@ -122,3 +115,26 @@ def test_screen_fold_change(spark):
         ("urea", "wt", 1.0), ("ethylurea", "wt", 1.0)}
     unblanked = screen(screen_reads(spark), ["plate"], line, settings, blank=None)
     assert unblanked.rates.where("colony = 'rfp'").where("max_slope > 1e-6").count() == 0
+
+
+def test_clock_past_midnight_and_again(spark):
+    clock = ["23:58:00", "23:59:30", "00:00:10", "12:00:00", "00:00:00"]
+    rows = [("p", i, f"1899-12-31 {t}") for i, t in enumerate(clock)] + [("q", 0, "1899-12-31 00:10:00"), ("q", 1, "1899-12-31 00:12:00")]
+    reads = spark.createDataFrame(rows, "plate_id string, read_idx long, time_text string")
+    got = {(r["plate_id"], r["read_idx"]): r["minutes"] for r in sheet_minutes(reads).collect()}
+    assert [got["p", i] for i in range(5)] == [0.0, 2.0, 2.0, 722.0, 1442.0] and [got["q", i] for i in range(2)] == [0.0, 2.0]
+
+
+def test_screen_rates_do_not_depend_on_row_order(spark):
+    """Reads of the same minute keep the order of read_idx, or of their amounts."""
+    line = spark.createDataFrame([("p", B, M)], "plate string, b double, m double")
+    rows = [("p", i, float(i // 2), "wt_urea_4np", B + M * (0.3 * i + (i * 7 % 5) * 0.1)) for i in range(60)]
+    settings = RateSettings(first_read=3, last_read=50, window=10, min_r2=None)
+    for columns in ("plate string, read_idx long, minutes double, label string, absorbance double",):
+        for indexed in (True, False):
+            found = set()
+            for order in (rows, rows[::-1], rows[1::2] + rows[::2]):
+                reads = spark.createDataFrame(order, columns)
+                reads = reads if indexed else reads.drop("read_idx")
+                found.add(tuple(tuple(r) for r in screen(reads, ["plate"], line, settings, blank=None).rates.collect()))
+            assert len(found) == 1 and found.pop()

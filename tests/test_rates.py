@@ -161,7 +161,7 @@ def test_trim_limits_before_the_shuffle(spark):
 def test_trimmed_rate_needs_one_shuffle(spark):
     df = frame(spark, {"s": [(i, i) for i in range(10)]})
     reads = rates.trim_reads(df, ["series"], ["pos"], 1, 9)
-    best = rates.best_window(rates.sliding_fit(reads, ["series"], ["pos"], "x", "y", 3, longest=9), ["series"])
+    best = rates.best_window(rates.sliding_fit(reads, ["series"], ["pos"], "x", "y", 3, longest=9), ["series"], longest=9)
     plan = best._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
 
