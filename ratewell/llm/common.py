@@ -70,16 +70,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def run_codes(codes: np.ndarray, size: int) -> np.ndarray:
-    """One code per run of ``size`` neighbouring words."""
-    n = len(codes) - size + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    total = np.zeros(n, np.uint64)
-    for i in range(size):
-        total *= np.uint64(0x9E3779B97F4A7C15)
-        total += mixed(codes[i : i + n] + np.uint64(i + 1))
-    return mixed(total)
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base and of its inverse modulo 2**64."""
+    if len(_POWERS[0]) < n:
+        for i, factor in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(2 * n, factor, np.uint64)
+            steps[0] = 1
+            _POWERS[i] = np.cumprod(steps)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def run_codes(codes: np.ndarray, size: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """One code per run of ``size`` neighbouring words, at all starts or the given ones.
+
+    Differences of running sums, weighted by powers modulo 2**64, so the cost does not grow with ``size``.
+    """
+    n = len(codes)
+    up, down = _powers(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * down[:n])])
+    if starts is None:
+        m = max(n - size + 1, 0)
+        return mixed((total[size : size + m] - total[:m]) * up[:m])
+    return mixed((total[starts + size] - total[starts]) * up[starts])
 
 
 def shingle_set(codes: np.ndarray, size: int) -> np.ndarray:

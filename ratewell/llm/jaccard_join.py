@@ -146,8 +146,27 @@ def _segments(docs: DataFrame, text: str, words: int, fragments: int) -> DataFra
     return docs.select(F.col(text).alias("_text")).mapInPandas(cut, "class long, fragment int, segment array<long>")
 
 
-def _links(pairs: DataFrame, segments: DataFrame, threshold: Threshold) -> DataFrame:
+def _likely(pairs: DataFrame, met: DataFrame, threshold: Threshold) -> DataFrame:
+    """Candidate pairs (a, b, na, nb) whose prefixes share enough.
+
+    Of two sets, let the prefix of x end first in the global order. What x has in common with the other
+    lies in both prefixes or behind the prefix of x, so their overlap is at most the
+    number of shared prefix shingles and the rest of x.
+    """
+    mine = met.select("shingle", F.col("class").alias("a"))
+    others = met.select("shingle", F.col("class").alias("b"))
+    counted = pairs.join(mine, "a").join(others, ["b", "shingle"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
+    rest = lambda n: F.ceil(F.lit(threshold.percent) * F.col(n) / 100) - 1
+    needed = F.ceil(F.lit(threshold.percent) * (F.col("na") + F.col("nb")) / (100 + threshold.percent))
+    return counted.where(F.col("shared") >= needed - F.greatest(rest("na"), rest("nb"))).drop("shared")
+
+
+def _links(pairs: DataFrame, source: Source, threshold: Threshold) -> DataFrame:
     """Of the candidate pairs (a, b, na, nb), those that link: partial overlaps per fragment, summed."""
+    pairs = settle(_likely(pairs, source.met, threshold))
+    classes = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = join_dimension(source.first_ids, classes, ["class"]).select("doc_id").distinct()
+    segments = settle(_segments(join_dimension(source.docs, wanted, ["doc_id"]), "_text", source.words, source.fragments))
     left = segments.select(F.col("class").alias("a"), "fragment", F.col("segment").alias("sa"))
     right = segments.select(F.col("class").alias("b"), "fragment", F.col("segment").alias("sb"))
     partial = (
@@ -163,6 +182,16 @@ def _links(pairs: DataFrame, segments: DataFrame, threshold: Threshold) -> DataF
     return overlap.where(100 * F.col("common") >= threshold.percent * union).select("a", "b")
 
 
+class Source(NamedTuple):
+    """What a comparison needs: documents, one id per class, prefix shingles that classes share."""
+
+    docs: DataFrame
+    first_ids: DataFrame
+    met: DataFrame
+    words: int
+    fragments: int
+
+
 def _can_link(threshold: Threshold, na: str, nb: str):
     return 100 * F.least(na, nb) >= threshold.percent * F.greatest(na, nb)
 
@@ -190,11 +219,9 @@ def jaccard_components(
         .select(F.col("c.class").alias("a"), F.col("class").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
         .where(_can_link(threshold, "na", "nb")).distinct()
     )
-    in_pairs = met.select("class").distinct()
     first_ids = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    wanted = join_dimension(first_ids, in_pairs, ["class"]).select("doc_id").distinct()
-    segments = settle(_segments(join_dimension(docs, wanted, ["doc_id"]), "_text", words, fragments))
-    links = settle(_links(star, segments, threshold))
+    source = Source(docs, first_ids, met, words, fragments)
+    links = settle(_links(star, source, threshold))
     roots = components(links, "a", "b")
 
     placed = met.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
@@ -207,7 +234,7 @@ def jaccard_components(
         .select("a", "b", "na", "nb").distinct()
     )
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = settle(_links(across.join(tested, ["a", "b"], "left_anti"), segments, threshold))
+    more = settle(_links(across.join(tested, ["a", "b"], "left_anti"), source, threshold))
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links, "a", "b")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratewell.llm.common import WordCodes, mixed, rows_in_pieces, words_of
+from ratewell.llm.common import WordCodes, mixed, rows_in_pieces, run_codes, words_of
 from ratewell.scale import ensure_checkpoint_dir, join_dimension, match_keys, settle
 
 RUN = 20
@@ -66,7 +66,7 @@ def fingerprints(texts: list[str | None], coded: LineCodes) -> tuple[np.ndarray,
     starts = starts[starts + RUN <= (first + sizes)[owner[starts]]]
     if not len(starts):
         return np.empty(0, np.int64), starts, np.empty(0, np.uint64)
-    hashes = run_hashes(codes, starts, RUN)
+    hashes = run_codes(codes, RUN, starts)
     best = np.arange(len(starts))
     ends = np.searchsorted(starts, starts + WINDOW)
     ends = np.minimum(ends, np.searchsorted(owner[starts], owner[starts], side="right"))
@@ -88,17 +88,6 @@ def anchors(codes: np.ndarray) -> np.ndarray:
     return found
 
 
-def run_hashes(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the ``size`` words from each start on: differences of weighted running sums modulo 2**64."""
-    base = np.uint64(0x9E3779B97F4A7C15)
-    inverse = np.uint64(pow(int(base), -1, 1 << 64))
-    n = len(codes)
-    down = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), inverse)]))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(codes) * down[:n])])
-    up = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base)]))
-    return mixed((total[starts + size] - total[starts]) * up[starts])
-
-
 def extend(text: list[bytes], at: int, source: list[bytes], source_at: int) -> tuple[int, int]:
     """The longest run of equal words around two places, as [start, end) in ``text``."""
     start, end = at, at

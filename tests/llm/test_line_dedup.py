@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from ratewell.llm import line_dedup
+from ratewell.llm.common import run_codes
 
 
 def cleaned(docs):
@@ -75,5 +76,5 @@ def test_odd_documents(documents, no_documents):
 def test_run_hashes_depend_on_the_words_alone():
     codes = np.random.default_rng(1).integers(0, 2**63, 200).astype(np.uint64)
     twice = np.concatenate([codes[50:90], codes])
-    hashes = line_dedup.run_hashes(twice, np.array([0, 5, 90, 95]), 20)
+    hashes = run_codes(twice, 20, np.array([0, 5, 90, 95]))
     assert hashes[0] == hashes[2] and hashes[1] == hashes[3] and hashes[0] != hashes[1]
