@@ -40,7 +40,9 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 BLOCK_DOCS = 4000
 BLOCK_TOKENS = 1_500_000
-PARTITION_TOKENS = 4_000_000
+PARTITION_TOKENS = 2_500_000
+#: Length of the list of common words, which travel as 16-bit places in it. Any list gives the same scores.
+COMMON_WORDS = 65_535
 #: A word above this share of all tokens is spread by context; at most 1 / HOT_SHARE words are.
 HOT_SHARE = 1 / 512
 TURING = 5
@@ -90,10 +92,29 @@ class Statistics(NamedTuple):
         return np.where(count > 0, self.unigram.kept(count) / max(self.tokens, 1), self.unknown)
 
 
-def _hot_words(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Codes of words above HOT_SHARE of all tokens, and the number of tokens.
+class Common(NamedTuple):
+    """Codes of common words in ascending order; ``hot`` says which are spread over partitions by context."""
 
-    A task reports the words above that share of its own tokens, at most 1 / HOT_SHARE.
+    codes: np.ndarray
+    hot: np.ndarray
+
+    def pack(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        listed = self.codes[at] == codes
+        return np.packbits(listed), at[listed].astype(np.uint16), codes[~listed]
+
+    def unpack(self, packed: tuple[np.ndarray, ...]) -> np.ndarray:
+        bits, at, others = packed
+        codes = np.empty(len(at) + len(others), np.uint64)
+        listed = np.unpackbits(bits, count=len(codes)).astype(bool)
+        codes[listed], codes[~listed] = self.codes[at], others
+        return codes
+
+
+def _common_words(docs: DataFrame) -> tuple[Common, int]:
+    """The most frequent words, and the number of tokens.
+
+    A task reports words that make up at least 1 / (4 * COMMON_WORDS) of its own tokens, which bounds its rows.
     """
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, total = Counter(), 0
@@ -103,16 +124,19 @@ def _hot_words(docs: DataFrame) -> tuple[np.ndarray, int]:
                 total += len(words) + 1
                 counts.update(words)
             if len(counts) > 1_000_000:
-                counts = Counter({w: n for w, n in counts.items() if n > total * HOT_SHARE / 8})
-        often = [(xxhash.xxh3_64_intdigest(w), n) for w, n in counts.items() if n >= total * HOT_SHARE]
+                counts = Counter({w: n for w, n in counts.items() if n > 1})
+        least = total / (4 * COMMON_WORDS)
+        often = [(xxhash.xxh3_64_intdigest(w), n) for w, n in counts.items() if n >= least]
         codes = np.array([c for c, _ in often], np.uint64).view(np.int64)
         yield pd.DataFrame({"word": [None, *codes.tolist()], "n": [total, *[n for _, n in often]]}).astype({"word": "Int64"})
 
     sums = docs.select("_text").mapInPandas(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = sums.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(1 + int(1 / HOT_SHARE)).collect()
+    rows = sums.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(COMMON_WORDS).collect()
     total = rows[0]["n"] if rows else 0
-    hot = [r["word"] for r in rows[1:] if r["n"] >= total * HOT_SHARE]
-    return np.sort(np.array([*hot, int(END.view(np.int64))], np.int64).view(np.uint64)), total
+    end = int(END.view(np.int64))
+    hot = {r["word"] for r in rows[1:] if r["n"] >= total * HOT_SHARE} | {end}
+    codes = np.sort(np.array([end, *[r["word"] for r in rows[1:]]], np.int64).view(np.uint64))
+    return Common(codes, np.isin(codes.view(np.int64), list(hot))), total
 
 
 def _least(values: np.ndarray) -> np.ndarray:
@@ -120,22 +144,23 @@ def _least(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
 
 
-def _blocks(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
+def _blocks(docs: DataFrame, common: Common, parts: int) -> DataFrame:
     """(part, block): the entries of a block of documents that belong to a partition, as pickled arrays."""
-    shared = share(docs.sparkSession, hot)
+    shared = share(docs.sparkSession, common)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coded, hot = WordCodes(), shared_value(shared)
+        coded, common = WordCodes(), shared_value(shared)
         number = TaskContext.get().partitionId() << 32
         for batch in rows_in_pieces(batches, BLOCK_DOCS):
             words = [lower_words(t) for t in batch["_text"]]
             sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
             first = 0
             for end in _block_ends(sizes):
-                yield from block(number, batch.iloc[first:end], words[first:end], sizes[first:end], coded, hot)
+                held = batch["_held"].iloc[first:end].to_numpy(bool)
+                yield block(number, words[first:end], sizes[first:end], held, coded, common)
                 first, number = end, number + 1
 
-    def block(number, batch, words, sizes, coded, hot) -> Iterator[pd.DataFrame]:
+    def block(number, words, sizes, held, coded, common) -> pd.DataFrame:
         word = np.full(int(sizes.sum()), END, np.uint64)
         ends = np.cumsum(sizes) - 1
         inner = np.ones(len(word), bool)
@@ -143,30 +168,41 @@ def _blocks(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
         word[inner] = coded.of([w for ws in words for w in ws])
         context = np.append(START, word[:-1])
         context[ends - sizes + 1] = START
-        doc = np.repeat(np.arange(len(words)), sizes)
-        spread = np.isin(word, hot)
-        part = (mixed(np.where(spread, word ^ mixed(context), word)) % np.uint64(parts)).astype(np.int64)
-        order = np.lexsort((doc, context, word, part))
-        word, context, doc, part = word[order], context[order], doc[order], part[order]
+        contexts, context = np.unique(context, return_inverse=True)
+        context = context.astype(np.int32)
+        doc = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        spread = np.isin(word, common.codes[common.hot])
+        place = mixed(word)
+        place[spread] = mixed(place[spread] ^ contexts[context[spread]])
+        # Tokens come by document, and stable sorts keep that order: by partition and word, context, document.
+        order = np.argsort(context, kind="stable")
+        order = order[np.argsort(place[order], kind="stable")]
+        word, context, doc, place = word[order], context[order], doc[order], place[order]
         new = np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (doc[1:] != doc[:-1]))
         at = np.flatnonzero(new)
         n = np.diff(np.append(at, len(word)))
-        word, context, doc, part = word[at], context[at], doc[at], part[at]
-        held = batch["_held"].to_numpy(bool)
-        bounds = np.searchsorted(part, np.arange(parts + 1))
+        word, context, doc, place = word[at], context[at], doc[at], place[at]
+        bounds = np.searchsorted(place, _part_starts(parts))
         found = []
-        for p in np.flatnonzero(np.diff(bounds)).tolist():
-            mine = slice(bounds[p], bounds[p + 1])
-            words_, runs = np.unique(word[mine], return_counts=True)
-            contexts, place = np.unique(context[mine], return_inverse=True)
-            docs_, who = np.unique(doc[mine], return_inverse=True)
-            arrays = (number, words_, _least(runs), contexts, _least(place), _least(docs_), _least(who), held[docs_], _least(n[mine]))
-            found.append((p, pickle.dumps(arrays, protocol=5)))
-        yield pd.DataFrame(found, columns=["part", "block"])
+        for p, (first, last) in enumerate(zip(bounds, [*bounds[1:], len(place)])):
+            if first < last:
+                starts = np.flatnonzero(np.append(True, word[first + 1 : last] != word[first : last - 1]))
+                used, which = np.unique(context[first:last], return_inverse=True)
+                arrays = (
+                    number, common.pack(word[first:last][starts]), _least(np.diff(np.append(starts, last - first))),
+                    common.pack(contexts[used]), _least(which), _least(doc[first:last]), held, _least(n[first:last]),
+                )
+                found.append((p, pickle.dumps(arrays, protocol=5)))
+        return pd.DataFrame(found, columns=["part", "block"])
 
     return docs.select("_text", "_held").mapInPandas(cut, "part int, block binary")
 
 
+def _part_starts(parts: int) -> np.ndarray:
+    """First hash of each partition: equal ranges of 64 bits."""
+    return np.array([(p << 64) // parts for p in range(parts)], np.uint64)
+
+
 def _block_ends(sizes: np.ndarray) -> list[int]:
     """Ends of runs of documents of at most BLOCK_TOKENS tokens, or of one longer document."""
     ends, tokens = [], 0
@@ -200,20 +236,27 @@ def _documents(docs: DataFrame) -> DataFrame:
 class Entries:
     """All entries of one partition, with training counts of words and bigrams."""
 
-    def __init__(self, batches: Iterator[pd.DataFrame]) -> None:
+    def __init__(self, batches: Iterator[pd.DataFrame], common: Common) -> None:
         loaded = [pickle.loads(b) for batch in batches for b in batch["block"]]
-        join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind)
-        word = join([np.repeat(b[1], b[2]) for b in loaded], np.uint64)
-        self.context = join([b[3][b[4]] for b in loaded], np.uint64)
-        self.block = join([np.full(len(b[4]), b[0]) for b in loaded], np.int64)
-        self.place = join([b[5][b[6]] for b in loaded], np.int32)
-        self.held = join([b[7][b[6]] for b in loaded], bool)
-        self.n = join([b[8] for b in loaded], np.int32)
-        train = np.where(self.held, 0, self.n)
-        self.words, self.word = np.unique(word, return_inverse=True)
+        join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind, copy=False)
+        sizes = [len(b[4]) for b in loaded]
+        self.words, word = np.unique(join([common.unpack(b[1]) for b in loaded], np.uint64), return_inverse=True)
+        self.word = np.repeat(word.astype(np.int32), join([b[2] for b in loaded], np.int64))
+        contexts = [common.unpack(b[3]) for b in loaded]
+        firsts = np.cumsum([0, *map(len, contexts)])
+        self.contexts, context = np.unique(join(contexts, np.uint64), return_inverse=True)
+        self.context = context.astype(np.int32)[join([b[4].astype(np.int64) + f for b, f in zip(loaded, firsts)], np.int64)]
+        self.blocks = np.array([b[0] for b in loaded], np.int64)
+        self.block = np.repeat(np.arange(len(loaded), dtype=np.int32), sizes)
+        self.place = join([b[5] for b in loaded], np.int32)
+        self.n = join([b[7] for b in loaded], np.int32)
+        train = np.where(join([b[6][b[5]] for b in loaded], bool), 0, self.n)
+        del loaded, contexts, word, context
         self.word_count = np.bincount(self.word, train, len(self.words)).astype(np.int64)
-        pair, self.first, self.pair = np.unique(word * np.uint64(0x9E3779B97F4A7C15) + mixed(self.context), return_index=True, return_inverse=True)
-        self.pair_count = np.bincount(self.pair, train, len(pair)).astype(np.int64)
+        key = self.word * np.int64(max(len(self.contexts), 1)) + self.context
+        pairs, self.first, pair = np.unique(key, return_index=True, return_inverse=True)
+        self.pair = pair.astype(np.int32)
+        self.pair_count = np.bincount(self.pair, train, len(pairs)).astype(np.int64)
 
     def know(self, hot: dict[int, int]) -> None:
         """Put in the whole counts of words that are spread over partitions."""
@@ -223,13 +266,14 @@ class Entries:
                 self.word_count[at] = count
 
 
-def _statistics(parts: DataFrame, hot: np.ndarray) -> Statistics:
+def _statistics(parts: DataFrame, common: Common) -> Statistics:
     """Counts of counts, summed on the driver: one row per distinct count and partition, and one per hot word."""
-    shared = share(parts.sparkSession, hot)
+    shared = share(parts.sparkSession, common)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entries = Entries(batches)
-        is_hot = np.isin(entries.words, shared_value(shared))
+        common = shared_value(shared)
+        entries = Entries(batches, common)
+        is_hot = np.isin(entries.words, common.codes[common.hot])
         rows = [
             ("hot", int(w.view(np.int64)), int(c)) for w, c in zip(entries.words[is_hot], entries.word_count[is_hot])
         ]
@@ -252,21 +296,23 @@ def _statistics(parts: DataFrame, hot: np.ndarray) -> Statistics:
     )
 
 
-def context_weights(parts: DataFrame, statistics: Statistics) -> DataFrame:
+def context_weights(parts: DataFrame, common: Common, statistics: Statistics) -> DataFrame:
     """(context, weight): log10 of alpha(h) * c(h) for every training context."""
-    shared = share(parts.sparkSession, statistics)
+    shared = share(parts.sparkSession, (common, statistics))
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entries, known = Entries(batches), shared_value(shared)
+        common, known = shared_value(shared)
+        entries = Entries(batches, common)
         entries.know(known.hot)
         seen = entries.pair_count > 0
-        first = entries.first[seen]
-        context, place = np.unique(entries.context[first], return_inverse=True)
-        add = lambda weight: np.bincount(place, weight, len(context))
+        first, count = entries.first[seen], entries.pair_count[seen]
+        context = entries.context[first]
+        probability = known.word_probability(entries.word_count)[entries.word[first]]
+        sums = [np.bincount(context, weight, len(entries.contexts)) for weight in (count, known.bigram.kept(count), probability)]
+        trained = sums[0] > 0
         yield pd.DataFrame({
-            "context": context.view(np.int64), "n": add(entries.pair_count[seen]).astype(np.int64),
-            "kept": add(known.bigram.kept(entries.pair_count[seen])),
-            "backoff": add(known.word_probability(entries.word_count[entries.word[first]])),
+            "context": entries.contexts[trained].view(np.int64), "n": sums[0][trained].astype(np.int64),
+            "kept": sums[1][trained], "backoff": sums[2][trained],
         })
 
     sums = parts.mapInPandas(summed, "context long, n long, kept double, backoff double").groupBy("context").agg(
@@ -276,28 +322,29 @@ def context_weights(parts: DataFrame, statistics: Statistics) -> DataFrame:
     return sums.select("context", F.log10((F.col("n") - F.col("kept")) / (1 - F.col("backoff"))).alias("weight"))
 
 
-def _document_sums(parts: DataFrame, statistics: Statistics) -> DataFrame:
+def _document_sums(parts: DataFrame, common: Common, statistics: Statistics) -> DataFrame:
     """Per block and partition the sums of its documents' entries, as arrays: place, known, base, score."""
-    shared = share(parts.sparkSession, statistics)
+    shared = share(parts.sparkSession, (common, statistics))
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entries, known = Entries(batches), shared_value(shared)
+        common, known = shared_value(shared)
+        entries = Entries(batches, common)
         entries.know(known.hot)
-        count = entries.word_count[entries.word]
-        pair = entries.pair_count[entries.pair]
-        base = np.log10((entries.word_count + 1) / (known.tokens + known.words + 1))[entries.word]
-        score = np.where(pair > 0, np.log10(np.maximum(known.bigram.kept(np.maximum(pair, 1)), 1e-300)), 0.0)
-        score = np.where(pair > 0, score, np.log10(known.word_probability(entries.word_count))[entries.word])
-        follows = (count > 0) & (entries.words[entries.word] != END)
-        score -= np.where(follows, np.log10(np.maximum(count, 1)), 0.0)
+        count, pair = entries.word_count, entries.pair_count
+        base = np.log10((count + 1) / (known.tokens + known.words + 1))
+        follows = np.where((count > 0) & (entries.words != END), np.log10(np.maximum(count, 1)), 0.0)
+        unseen = np.log10(known.word_probability(count))
+        seen = np.log10(known.bigram.kept(np.maximum(pair, 1)))
+        score = np.where(pair > 0, seen, unseen[entries.word[entries.first]])[entries.pair] - follows[entries.word]
+        known_word, base = (count > 0)[entries.word], base[entries.word]
+        ends = np.cumsum(np.bincount(entries.block, minlength=len(entries.blocks)))
         rows = []
-        blocks, which = np.unique(entries.block, return_inverse=True)
-        for i, at in enumerate(np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which))[:-1])):
-            place, who = np.unique(entries.place[at], return_inverse=True)
-            n = entries.n[at]
-            add = lambda weight: np.bincount(who, weight * n, len(place))  # noqa: E731,B023
-            arrays = (_least(place), _least(add(count[at] > 0).astype(np.int64)), add(base[at]), add(score[at]))
-            rows.append((int(blocks[i]), pickle.dumps(arrays, protocol=5)))
+        for number, first, last in zip(entries.blocks.tolist(), [0, *ends[:-1]], ends):
+            place, n = entries.place[first:last], entries.n[first:last]
+            add = lambda weight: np.bincount(place, weight[first:last] * n)  # noqa: E731,B023
+            there = np.flatnonzero(np.bincount(place))
+            arrays = (_least(there), _least(add(known_word)[there].astype(np.int64)), add(base)[there], add(score)[there])
+            rows.append((number, pickle.dumps(arrays, protocol=5)))
         yield pd.DataFrame(rows, columns=["block", "sums"])
 
     pieces = parts.mapInPandas(summed, "block long, sums binary")
@@ -321,18 +368,19 @@ def _document_sums(parts: DataFrame, statistics: Statistics) -> DataFrame:
     return pieces.repartition("block").mapInPandas(joined, "block long, place int, n_known long, base_score double, score double")
 
 
-def _unseen(parts: DataFrame) -> DataFrame:
+def _unseen(parts: DataFrame, common: Common) -> DataFrame:
     """(block, place, context, n): how often a document has an unseen bigram of a context."""
+    shared = share(parts.sparkSession, common)
+
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entries = Entries(batches)
+        entries = Entries(batches, shared_value(shared))
         at = np.flatnonzero(entries.pair_count[entries.pair] == 0)
+        at = at[np.lexsort((entries.place[at], entries.block[at], entries.context[at]))]
         context, block, place, n = entries.context[at], entries.block[at], entries.place[at], entries.n[at]
-        order = np.lexsort((place, block, context))
-        context, block, place, n = context[order], block[order], place[order], n[order]
         new = np.append(True, (context[1:] != context[:-1]) | (block[1:] != block[:-1]) | (place[1:] != place[:-1]))[: len(at)]
         first = np.flatnonzero(new)
         yield pd.DataFrame({
-            "context": context[first].view(np.int64), "block": block[first], "place": place[first],
+            "context": entries.contexts[context[first]].view(np.int64), "block": entries.blocks[block[first]], "place": place[first],
             "n": np.add.reduceat(n, first) if len(first) else n,
         })
 
@@ -348,20 +396,20 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text") -> Da
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held")
     )
-    hot, tokens = _hot_words(docs)
+    common, tokens = _common_words(docs)
     n_parts = max(4, math.ceil(tokens / PARTITION_TOKENS))
     # An RDD shuffle, because its files serve the four passes below; a DataFrame's exchange would be written again.
-    dealt = _blocks(docs, hot, n_parts).rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(n_parts, int)
+    dealt = _blocks(docs, common, n_parts).rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(n_parts, int)
     parts = spark.createDataFrame(dealt, "part int, block binary")
-    statistics = _statistics(parts, hot)
-    weights = settle(context_weights(parts, statistics))
+    statistics = _statistics(parts, common)
+    weights = settle(context_weights(parts, common, statistics))
     backoff = (
-        _unseen(parts).join(weights, "context")
+        _unseen(parts, common).join(weights, "context")
         .groupBy("block", "place").agg(F.sum(F.col("n") * F.col("weight")).alias("backoff"))
     )
     start = -math.log10(statistics.documents) if statistics.documents else 0.0
     return (
-        _documents(docs).join(_document_sums(parts, statistics), ["block", "place"]).join(backoff, ["block", "place"], "left")
+        _documents(docs).join(_document_sums(parts, common, statistics), ["block", "place"]).join(backoff, ["block", "place"], "left")
         .select(
             "doc_id", "held_out", "n_tokens", "n_known", F.lit(statistics.tokens).cast("long").alias("train_tokens"), "base_score",
             (F.col("score") + F.coalesce("backoff", F.lit(0.0)) + start).alias("score"),
