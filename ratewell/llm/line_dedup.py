@@ -7,9 +7,9 @@ begin within any WINDOW words, the one with the smallest hash is a fingerprint:
 share a run of RUN + WINDOW words and the lines in it share a fingerprint.
 
 Every fingerprint meets the first place, by (doc_id, text hash, word), that has it; the match is
-extended word by word both ways; runs of ``min_words`` words or more are deleted at the
-later place. Every place is matched with one place only, so a hash with many places makes as
-many rows, not their square.
+extended word by word both ways, unless its words go already; runs of ``min_words`` words or more are
+deleted at the later place. Every place is matched with one place only, so a hash with many places
+makes as many rows, not their square; two texts meet once, with all their matches.
 
 A null text stays null. Rows of equal id and text are one document and get the same text.
 Null ids come last. A text without words has no line. An empty table gives an empty result.
@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratewell.llm.common import WordCodes, mixed, rows_in_pieces, run_codes, words_of
-from ratewell.scale import ensure_checkpoint_dir, join_dimension, match_keys, settle
+from ratewell.scale import ensure_checkpoint_dir, join_dimension, settle
 
 RUN = 20
-WINDOW = 24
+WINDOW = 30
 BATCH_ROWS = 500
 REACH = 4
 MIN_WORDS = 50
+#: Stands for a null id; a row that has it, with the same text, is the same document.
+LAST_ID = 2**63 - 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SENTENCE_END = b".!?"
 
@@ -118,8 +120,8 @@ def _places(docs: DataFrame) -> DataFrame:
         for batch in rows_in_pieces(batches, BATCH_ROWS):
             owner, word, hashed = fingerprints(list(batch["_text"]), coded)
             yield pd.DataFrame({
-                "hash": hashed.view(np.int64), "id": batch["_id"].astype("Int64").take(owner).array,
-                "digest": batch["_digest"].to_numpy()[owner], "word": word,
+                "hash": hashed.view(np.int64), "id": batch["_id"].to_numpy()[owner], "digest": batch["_digest"].to_numpy()[owner],
+                "word": word,
             })
 
     return docs.select("_id", "_digest", "_text").mapInPandas(found, "hash long, id long, digest long, word int")
@@ -134,48 +136,61 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def runs_of(text: list[bytes], source: list[bytes], matches: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
+    """Runs of ``min_words`` words or more around the matches (word, word in the source), in order of their words.
+
+    A match whose words lie in a run found before is not extended again.
+    """
+    runs, gone = [], 0
+    for at, source_at in sorted(matches):
+        if at + RUN > gone:
+            start, end = extend(text, at, source, source_at)
+            if end - start >= min_words:
+                runs.append((start, end))
+                gone = max(gone, end)
+    return runs
+
+
 def _extended(pairs: DataFrame, min_words: int) -> DataFrame:
-    """(id, digest, start, end) of the matches that hold ``min_words`` words or more, each extended both ways."""
+    """(id, digest, start, end) of the runs of each pair of texts."""
     def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in rows_in_pieces(batches, BATCH_ROWS):
             rows = []
-            for id_, digest, shift, places, later, source in zip(
-                batch["id"].astype("Int64"), batch["digest"], batch["shift"], batch["words"], batch["later_text"], batch["source_text"]
+            for id_, digest, matches, later, source in zip(
+                batch["id"], batch["digest"], batch["matches"], batch["later_text"], batch["source_text"]
             ):
-                text, other, end = words_of(later), words_of(source), 0
-                for at in places:
-                    if at >= end:
-                        start, end = extend(text, int(at), other, int(at) - int(shift))
-                        if end - start >= min_words:
-                            rows.append((id_, digest, start, end))
-            yield pd.DataFrame(rows, columns=["id", "digest", "start", "end"]).astype({"id": "Int64"})
+                places = [(int(m["word"]), int(m["source_word"])) for m in matches]
+                rows += [(id_, digest, *run) for run in runs_of(words_of(later), words_of(source), places, min_words)]
+            yield pd.DataFrame(rows, columns=["id", "digest", "start", "end"])
 
     return pairs.mapInPandas(grown, "id long, digest long, start int, end int")
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, digest, runs) with the runs of words, as (start, end), that each text repeats; ``docs`` has _id, _digest and _text."""
+def _matches(docs: DataFrame) -> DataFrame:
+    """Per pair of a text and an earlier (or the same) one: the words at which a fingerprint of both begins."""
     places = _written(_places(docs))
-    first = (
-        places.groupBy("hash").agg(
-            F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", "word")).alias("f"), F.count("*").alias("n")
-        ).where("n > 1").select("hash", F.col("f.id").alias("source_id"), F.col("f.digest").alias("source_digest"), F.col("f.word").alias("source_word"))
-    )
-    same = F.col("id").eqNullSafe(F.col("source_id")) & (F.col("digest") == F.col("source_digest"))
-    # Fingerprints of one run have the same shift and are extended to the same run.
-    matches = settle(
-        places.join(first, "hash").where(~(same & (F.col("word") == F.col("source_word"))))
-        .groupBy("id", "digest", "source_id", "source_digest", (F.col("word") - F.col("source_word")).alias("shift"))
-        .agg(F.sort_array(F.collect_set("word")).alias("words"))
+    shared = places.groupBy("hash").agg(F.min("id").alias("source_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = settle(places.join(shared, "hash"))
+    first = met.where("id = source_id").groupBy("hash").agg(F.min(F.struct("digest", "word")).alias("first"))
+    later = met.join(first, "hash").select(
+        "id", "digest", "word", "source_id", F.col("first.digest").alias("source_digest"), F.col("first.word").alias("source_word"))
+    return (
+        later.where((F.col("id") != F.col("source_id")) | (F.col("digest") != F.col("source_digest")) | (F.col("word") != F.col("source_word")))
+        .groupBy("id", "digest", "source_id", "source_digest").agg(F.collect_list(F.struct("word", "source_word")).alias("matches"))
     )
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, digest, runs) with the runs of words, as (start, end), that each text repeats; ``docs`` has _id, _digest and _text."""
+    matches = _written(_matches(docs))
     keys = matches.select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).unionByName(
         matches.select(F.col("source_id").alias("_id"), F.col("source_digest").alias("_digest"))
     ).distinct()
-    texts = settle(join_dimension(docs, keys, ["_id", "_digest"]).dropDuplicates(["_id", "_digest"]))
+    texts = _written(join_dimension(docs, keys, ["_id", "_digest"]).dropDuplicates(["_id", "_digest"]))
     later = texts.select(F.col("_id").alias("id"), F.col("_digest").alias("digest"), F.col("_text").alias("later_text"))
     source = texts.select(F.col("_id").alias("source_id"), F.col("_digest").alias("source_digest"), F.col("_text").alias("source_text"))
-    pairs = match_keys(match_keys(matches, later, ["id", "digest"], "inner"), source, ["source_id", "source_digest"], "inner")
-    runs = _extended(pairs.select("id", "digest", "shift", "words", "later_text", "source_text"), min_words)
+    pairs = matches.join(later, ["id", "digest"]).join(source, ["source_id", "source_digest"])
+    runs = _extended(pairs.select("id", "digest", "matches", "later_text", "source_text"), min_words)
     return runs.groupBy("id", "digest").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
 
@@ -183,7 +198,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
     """All columns, the text without its repeated runs, and ``removed_words``; a column of that name is replaced."""
     names = [c for c in docs.columns if c != "removed_words"]
     tagged = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("long").alias("_id"),
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("_id"),
         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_digest"), F.col(text).alias("_text"),
     )
     runs = repeated_runs(tagged.select("_id", "_digest", "_text"), min_words)

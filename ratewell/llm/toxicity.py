@@ -150,7 +150,7 @@ def fit_weights(
 def fit(
     docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", text: str = "text",
     train_docs: int = TRAIN_DOCS, terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, counterfactual: float = 1.0,
-    min_z: float = 6.0, max_features: int = MAX_FEATURES,
+    min_z: float = 4.5, max_features: int = MAX_FEATURES,
 ) -> ToxicityModel:
     """Choose features whose count in class 1 is far from chance, then fit their weights."""
     rows = settle(training_rows(docs, labels, label, train, text, train_docs))  # read three times
@@ -161,7 +161,7 @@ def fit(
     share = positive / n
     z = (F.col("positive") - share * F.col("n")) / F.sqrt(F.lit(share * (1 - share)) * F.col("n"))
     chosen = (
-        _feature_counts(rows).where(F.col("n") >= 5).withColumn("z", F.abs(z)).where(F.col("z") >= min_z)
+        _feature_counts(rows).where(F.col("n") >= 4).withColumn("z", F.abs(z)).where(F.col("z") >= min_z)
         .orderBy(F.desc("z"), "feature").limit(max_features).collect()
     )
     place = {row["feature"]: i for i, row in enumerate(chosen)}
