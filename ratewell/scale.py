@@ -11,7 +11,7 @@ import tempfile
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,35 +41,36 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _leaves(kind: T.DataType) -> int:
-    """Fields that one value of a type holds, an array or map counted with one element."""
+def _fixed_bytes(kind: T.DataType) -> int | None:
+    """Bytes of a value whose size its type tells, NULL or not; None for the others."""
     if isinstance(kind, T.StructType):
-        return 1 + sum(_leaves(f.dataType) for f in kind.fields)
-    if isinstance(kind, T.ArrayType):
-        return 1 + _leaves(kind.elementType)
-    if isinstance(kind, T.MapType):
-        return 1 + _leaves(kind.keyType) + _leaves(kind.valueType)
-    return 1
+        parts = [_fixed_bytes(f.dataType) for f in kind.fields]
+        return None if None in parts else 24 + sum(parts)
+    if isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.VariantType)):
+        return None
+    return 24 if isinstance(kind, T.DecimalType) else 8
+
+
+def _bytes_of(value: Column, kind: T.DataType) -> Column:
+    """Upper estimate of the bytes of a value beside its 8 bytes in the row."""
+    if _fixed_bytes(kind) is not None:
+        return F.lit(_fixed_bytes(kind))
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.StructType):
+        return reduce(lambda a, b: a + b, [_bytes_of(value.getField(f.name), f.dataType) for f in kind.fields], F.lit(24))
+    if isinstance(kind, T.ArrayType) and _fixed_bytes(kind.elementType) is not None:
+        return F.coalesce(F.size(value), F.lit(0)) * (8 + _fixed_bytes(kind.elementType)) + 32
+    # Anything nested deeper: each character of its JSON may stand for a value of 64 bytes.
+    return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)) * 64 + 64
 
 
 def byte_size(df: DataFrame) -> int:
-    """Upper estimate of the bytes of all rows in a hash table.
-
-    Every field takes 8 bytes whether NULL or not (decimals 16 more), and a row its null bits and a
-    table entry. Text and binary add their bytes; every character of a nested value's JSON may stand for
-    a value with all its fields.
-    """
+    """Upper estimate of the bytes of all rows in a hash table: fields, null bits, a table entry."""
     fields = df.schema.fields
-    fixed = 48 + 8 * (len(fields) // 64 + 1)
-    varying = []
-    for f in fields:
-        fixed += 24 if isinstance(f.dataType, T.DecimalType) else 8
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            varying.append(F.octet_length(f"`{f.name}`") + 8)
-        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-            varying.append((F.octet_length(F.to_json(F.struct(f"`{f.name}`"))) + 1) * 8 * _leaves(f.dataType))
-    width = reduce(lambda a, b: a + b, [F.coalesce(v, F.lit(0)) for v in varying], F.lit(fixed)).cast("bigint")
-    return int(df.agg(F.sum(width)).first()[0] or 0)
+    fixed = F.lit(48 + 8 * (len(fields) // 64 + 1) + 8 * len(fields))
+    width = reduce(lambda a, b: a + b, [_bytes_of(F.col(f"`{f.name}`"), f.dataType) for f in fields], fixed)
+    return int(df.agg(F.sum(width.cast("bigint"))).first()[0] or 0)
 
 
 def fits_broadcast(df: DataFrame, limit: int) -> bool:

@@ -70,3 +70,29 @@ def test_match_keys_treats_null_as_a_key(spark):
     null = spark.createDataFrame([(None,)], "k string")
     assert scale.match_keys(facts(spark), null, ["k"], "left_semi").count() == 60
     assert scale.match_keys(facts(spark), null, ["k"], "left_anti").select(F.col("k")).where("k is null").count() == 0
+
+
+def test_size_of_rows_counts_null_fields(spark):
+    """Rows of NULL numbers take as much room as others."""
+    empty = spark.range(1000).select("id", *[F.lit(None).cast("double").alias(f"c{i}") for i in range(50)])
+    assert scale.byte_size(empty) >= 1000 * 51 * 8
+    assert not scale.fits_broadcast(empty, 400_000)
+    assert scale.fits_broadcast(empty, 1_000_000)
+
+
+def test_size_of_text_and_nested_values(spark):
+    rows = spark.range(10).select(
+        F.repeat(F.lit("x"), 1000).alias("text"), F.sequence(F.lit(1), F.lit(100)).alias("numbers"),
+        F.array(F.struct(F.lit(1).alias("a"), F.lit(2).alias("b"))).alias("pairs"),
+        F.array(F.array(F.lit(1))).alias("deep"), F.create_map(F.lit("k"), F.lit(1)).alias("map"), F.struct(F.lit("y").alias("z")).alias("s"))
+    assert 10 * (1000 + 100 * 8) < scale.byte_size(rows) < 10 * 8000
+    assert scale.byte_size(rows.limit(0)) == 0
+
+
+def test_null_keys_meet_on_every_path(spark, monkeypatch):
+    left = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3), (None, 4)], "k string, v int")
+    right = spark.createDataFrame([(None, 10), ("a", 20)], "k string, w int")
+    want = [("a", 2, 20), ("b", 3, None), (None, 1, 10), (None, 4, 10)]
+    for limit, rows in ((scale.BROADCAST_BYTES, scale.GROUP_ROWS), (0, scale.GROUP_ROWS), (0, 1)):
+        got = scale.join_dimension(left, right, ["k"], "left", broadcast_bytes=limit, group_rows=rows).collect()
+        assert sorted(map(tuple, got), key=lambda r: r[1]) == sorted(want, key=lambda r: r[1])
