@@ -7,13 +7,14 @@ Reads come in long form: key columns, ``label``, ``minutes``, ``absorbance``.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewell import scale
 from ratewell.functions.text import token
-from ratewell.operators import calibrate, controls, normalize, rates
+from ratewell.operators import calibrate, controls, layout, normalize, rates
 
 
 @dataclass(frozen=True)
@@ -106,17 +107,45 @@ def condition_assay(
     settings: RateSettings = RateSettings(window=4, min_r2=None, min_slope=None),
     exclude: str = r"stdcurve|Tris|emptvec",
     calibration: DataFrame | None = None,
+    condition: str | None = None,
+    by_condition: dict[str, RateSettings] | None = None,
 ) -> AssayResult:
     """Rates per condition after subtracting each sample's control series.
 
-    The condition (pH, temperature) is one of ``keys``.
+    The condition (pH, temperature) is one of ``keys``. ``by_condition`` gives values of the
+    column ``condition`` a trim, width and gates of their own; all others take
+    ``settings``. The progress curves are settled then, so the reads are scanned once.
     """
     line = standard_curve(reads, keys, standards) if calibration is None else calibration
     samples = reads.where(F.col("label").isNotNull() & ~F.col("label").rlike(exclude))
     amounts = calibrate.apply_calibration(samples, line, keys, "absorbance")
     progress = controls.subtract_control(amounts, [*keys, "minutes"], "label", "nmol", pairs)
-    trimmed, fits, best = steepest(progress, keys, "id", "mean", settings)
-    return AssayResult(line, progress, trimmed, fits, best)
+    if by_condition is None:
+        return AssayResult(line, progress, *steepest(progress, keys, "id", "mean", settings))
+    progress = scale.settle(progress)
+    named = F.coalesce(F.col(condition).isin(list(by_condition)), F.lit(False))
+    parts = [steepest(progress.where(~named), keys, "id", "mean", settings)]
+    for each in dict.fromkeys(by_condition.values()):
+        names = [name for name, own in by_condition.items() if own == each]
+        parts.append(steepest(progress.where(F.col(condition).isin(names)), keys, "id", "mean", each))
+    return AssayResult(line, progress, *[reduce(DataFrame.unionByName, tables) for tables in zip(*parts)])
+
+
+def stability_assay(
+    reads: DataFrame,
+    keys: list[str],
+    replicates: int = 3,
+    standards: StandardSettings = StandardSettings(position=-2),
+    settings: RateSettings = RateSettings(),
+    exclude: str = r"stdcurve|Tris|emptvec|buffer",
+) -> AssayResult:
+    """Rates of every replicate of heated samples; reads come with ``well_idx``.
+
+    Labels get ``_rep1`` .. ``_repN`` in turn over the wells, so replicates stay apart and the
+    dose of a standard is the last token but one.
+    """
+    tagged = reads.withColumn("label", layout.cyclic_replicate(F.col("label"), F.col("well_idx"), replicates))
+    return kinetic_assay(tagged, keys, standards, settings, exclude)
 
 
 def screen(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ratewell import scale
 from ratewell.operators import calibrate, layout
 from ratewell.operators.ordering import number_rows
-from ratewell.plans.assays import RateSettings, condition_assay, kinetic_assay, screen
+from ratewell.plans.assays import RateSettings, condition_assay, kinetic_assay, screen, stability_assay
 from ratewell.plans.sheets import labelled_reads
 from ratewell.table_queries.common import Query, best_sql, fits_sql, rounded, scratch_folder, table
 from ratewell.table_queries.layout import WELLS_SQL
@@ -138,6 +138,39 @@ ref AS (SELECT plate, substrate, avg(rate) AS mean FROM n WHERE colony = 'c0' GR
 SELECT n.plate, label, colony, n.substrate, window_start, round(rate, 5) AS max_slope, round(rate / mean, 5) AS fold_change
 FROM n LEFT JOIN ref ON n.plate = ref.plate AND n.substrate = ref.substrate"""
 
+BY_WEEKDAY = {
+    "1": RateSettings(first_read=3, last_read=12, window=3, min_r2=None, min_slope=None),
+    "2": RateSettings(first_read=1, last_read=24, window=9, min_r2=None, min_slope=0.0),
+    "3": RateSettings(first_read=3, last_read=12, window=3, min_r2=None, min_slope=None),
+}
+
+
+def condition_rates_by_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Weekdays as conditions with a trim, width and gate of their own."""
+    is_standard = F.col("event_type") == "signup"
+    reads = table(spark, folder, "events").select(
+        F.to_date("ts").cast("string").alias("day"), F.dayofweek("ts").cast("string").alias("weekday"),
+        F.hour("ts").cast("double").alias("minutes"),
+        F.when(is_standard, F.concat(F.lit("stdcurve_"), F.col("value").cast("string"))).otherwise(F.col("event_type")).alias("label"),
+        F.when(is_standard, 0.05 * F.col("value") + 0.1 + 0.001 * (F.col("event_id") % 7))
+        .otherwise(0.01 * F.col("value")).alias("absorbance"))
+    result = condition_assay(reads, ["day", "weekday"], CONTROLS, condition="weekday", by_condition=BY_WEEKDAY)
+    return result.rates.withColumns(rounded(RATE))
+
+
+def stability_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Series named by a temperature, every third well a replicate of its own."""
+    well, noise = F.col("well_idx"), F.col("value") * 0.01
+    is_standard = well < STANDARDS
+    reads = _plate_reads(spark, folder).select(
+        "plate", "minutes", "well_idx",
+        F.when(is_standard, F.concat(F.lit("stdcurve_"), well.cast("string")))
+        .otherwise(F.concat(F.lit("heat_"), (30 + 10 * (well % 4)).cast("string"))).alias("label"),
+        F.when(is_standard, 0.1 + 0.046 * 8 * well + noise)
+        .otherwise(0.2 + 0.02 * F.col("minutes") * (1 + (well % 4) / 4) + noise).alias("absorbance"))
+    return stability_assay(reads, ["plate"]).rates.withColumns(rounded(RATE))
+
+
 def kinetic_from_sheets(spark: SparkSession, folder: str) -> DataFrame:
     """Plates written as sheets of reads and of labels, scanned and fitted; the clock passes midnight.
 
@@ -175,7 +208,34 @@ def kinetic_from_sheets(spark: SparkSession, folder: str) -> DataFrame:
 FROM_SHEETS_SQL = KINETIC_SQL.replace(
     f"WITH w AS ({TIMED_SQL})", f"WITH w AS (SELECT * FROM ({TIMED_SQL}) WHERE CAST(minutes AS BIGINT) % 10 <> 9)")
 
+def _by_weekday_sql() -> str:
+    """The condition query once per settings, over the days these are for."""
+    base = CONDITION_SQL.split("t AS (")[0]
+    named = ", ".join(f"'{d}'" for d in BY_WEEKDAY)
+    parts = [(f"weekday NOT IN ({named})", RateSettings(window=4, min_r2=None, min_slope=None))]
+    parts += [(f"weekday = '{d}'", own) for d, own in BY_WEEKDAY.items()]
+    tables, picks = [], []
+    for i, (days, own) in enumerate(parts):
+        gate = "TRUE" if own.min_slope is None else f"slope > {own.min_slope}"
+        tables.append(f"""p{i} AS (SELECT * FROM (SELECT *, CAST(dayofweek(CAST(day AS DATE)) + 1 AS VARCHAR) AS weekday FROM p) WHERE {days}),
+t{i} AS ({_trim_sql(f'p{i}', 'day, weekday, id', own.first_read, own.last_read)}),
+fits{i} AS ({fits_sql(f't{i}', 'day, weekday, id', 'minutes', 'minutes', 'mean', own.window)}),
+best{i} AS ({best_sql(f'fits{i}', 'day, weekday, id', gate)})""")
+        picks.append(f"SELECT day, weekday, id, {RATE_SQL}, window_start FROM best{i}")
+    return base + ",\n".join(tables) + "\n" + "\nUNION ALL\n".join(picks)
+
+
+STABILITY_SQL = f"""WITH w AS ({TIMED_SQL}),
+r AS (SELECT plate, minutes, well_idx,
+        CASE WHEN well_idx < 6 THEN 'std' ELSE 'heat_' || CAST(30 + 10 * (well_idx % 4) AS VARCHAR) || '_rep' || CAST(well_idx % 3 + 1 AS VARCHAR) END AS label,
+        CASE WHEN well_idx < 6 THEN 0.1::DOUBLE + 0.046::DOUBLE * 8 * well_idx + value * 0.01::DOUBLE
+             ELSE 0.2::DOUBLE + 0.02::DOUBLE * minutes * (1 + (well_idx % 4) / 4::DOUBLE) + value * 0.01::DOUBLE END AS a
+      FROM w),
+""" + KINETIC_SQL[KINETIC_SQL.index("line AS ("):]
+
 QUERIES = {
+    "condition_rates_by_table": Query(condition_rates_by_table, _by_weekday_sql()),
+    "stability_rates": Query(stability_rates, STABILITY_SQL),
     "kinetic_from_sheets": Query(kinetic_from_sheets, FROM_SHEETS_SQL),
     "kinetic_rates": Query(kinetic_rates, KINETIC_SQL),
     "condition_rates": Query(condition_rates, CONDITION_SQL),

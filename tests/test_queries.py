@@ -11,7 +11,7 @@ from ratewell.operators import rates
 from ratewell.table_queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
-PLATE_QUERIES = {"kinetic_rates", "screen_fold_change", "kinetic_from_sheets"}
+PLATE_QUERIES = {"kinetic_rates", "screen_fold_change", "kinetic_from_sheets", "stability_rates"}
 driver = importlib.import_module("__spark_entry__")
 NAMES = sorted(QUERIES)
 
