@@ -111,6 +111,11 @@ def number_rows(
     return running_total(df, keys, order, F.lit(1), out, longest=longest, group_rows=group_rows)
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values per group with ``_count``, without NULL and NaN."""
+    return df.where(known(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
+
+
 def quantile_table(
     df: DataFrame,
     keys: list[str],
@@ -120,16 +125,17 @@ def quantile_table(
     mean: str | None = None,
     count: str | None = None,
     group_rows: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Exact quantiles per group with linear interpolation between order statistics.
 
     Equal values are counted before any ordering, so only distinct values are
     ranked; each wanted rank is then picked from the row that covers it. ``mean``
-    and ``count`` name further columns taken in the same pass.
+    and ``count`` name further columns taken in the same pass. ``counts`` are the settled
+    ``value_counts`` where the caller has them.
     """
-    rows = df.where(known(value).isNotNull())
-    sizes = scale.settle(scale.group_sizes(rows, keys))
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
+    counts = scale.settle(value_counts(df, keys, value)) if counts is None else counts
+    sizes = scale.group_sizes(counts, keys)
     ranked = running_total(
         counts, keys, [value], F.col("_count"), "_upto", group_rows=group_rows, sizes=sizes, total="_total")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ratewell import scale
 from ratewell.functions.lines import known
-from ratewell.operators.ordering import quantile_table
+from ratewell.operators.ordering import quantile_table, value_counts
 
 QUARTILES = {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0}
 
@@ -22,27 +22,32 @@ def frequency(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _fenced(df: DataFrame, keys: list[str], value: str, group_rows: int | None) -> tuple[DataFrame, DataFrame]:
-    box = quantile_table(df, keys, value, {k: QUARTILES[k] for k in ("q1", "median", "q3")}, group_rows=group_rows)
+def _box(counts: DataFrame, keys: list[str], value: str, group_rows: int | None) -> DataFrame:
+    box = quantile_table(
+        counts, keys, value, {k: QUARTILES[k] for k in ("q1", "median", "q3")}, group_rows=group_rows, counts=counts)
     reach = (F.col("q3") - F.col("q1")) * 1.5
-    box = box.withColumn("_lower", F.col("q1") - reach).withColumn("_upper", F.col("q3") + reach)
-    return box, scale.join_dimension(df.where(known(value).isNotNull()), box, keys, group_rows=group_rows)
+    return box.withColumn("_lower", F.col("q1") - reach).withColumn("_upper", F.col("q3") + reach)
 
 
 def box_stats(df: DataFrame, keys: list[str], value: str, group_rows: int | None = None) -> DataFrame:
-    """Box-plot table: hinges, median, whisker ends within 1.5 IQR, outlier count."""
-    _, rows = _fenced(df, keys, value, group_rows)
+    """Box-plot table: hinges, median, whisker ends within 1.5 IQR, outlier count.
+
+    All of it comes from the counts of distinct values, so the rows are read once.
+    """
+    counts = scale.settle(value_counts(df, keys, value))
+    rows = scale.join_dimension(counts, _box(counts, keys, value, group_rows), keys, group_rows=group_rows)
     inside = F.col(value).between(F.col("_lower"), F.col("_upper"))
     return rows.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_lo"),
         F.max(F.when(inside, F.col(value))).alias("whisker_hi"),
-        F.count(F.when(~inside, 1)).alias("n_outliers"),
+        F.sum(F.when(~inside, F.col("_count")).otherwise(0)).alias("n_outliers"),
     )
 
 
 def box_outliers(df: DataFrame, keys: list[str], value: str, group_rows: int | None = None) -> DataFrame:
     """Rows beyond the whiskers."""
-    _, rows = _fenced(df, keys, value, group_rows)
+    box = _box(scale.settle(value_counts(df, keys, value)), keys, value, group_rows)
+    rows = scale.join_dimension(df.where(known(value).isNotNull()), box, keys, group_rows=group_rows)
     return rows.where(~F.col(value).between(F.col("_lower"), F.col("_upper"))).select(*df.columns)
 
 
