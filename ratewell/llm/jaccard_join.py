@@ -23,7 +23,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewell.llm.common import WordCodes, lower_words, share, shared_value, shingle_set
@@ -146,24 +146,67 @@ def _segments(docs: DataFrame, text: str, words: int, fragments: int) -> DataFra
     return docs.select(F.col(text).alias("_text")).mapInPandas(cut, "class long, fragment int, segment array<long>")
 
 
-def _likely(pairs: DataFrame, met: DataFrame, threshold: Threshold) -> DataFrame:
-    """Candidate pairs (a, b, na, nb) whose prefixes share enough.
+def _can_link(threshold: Threshold, na: Column, nb: Column) -> Column:
+    return 100 * F.least(na, nb) >= threshold.percent * F.greatest(na, nb)
+
+
+def _shared_needed(threshold: Threshold, na: Column, nb: Column) -> Column:
+    """Prefix shingles that sets of these sizes must share to link.
 
     Of two sets, let the prefix of x end first in the global order. What x has in common with the other
     lies in both prefixes or behind the prefix of x, so their overlap is at most the
     number of shared prefix shingles and the rest of x.
     """
+    rest = lambda n: F.ceil(threshold.percent * n / 100) - 1
+    return F.ceil(threshold.percent * (na + nb) / (100 + threshold.percent)) - F.greatest(rest(na), rest(nb))
+
+
+def _likely(pairs: DataFrame, met: DataFrame, threshold: Threshold) -> DataFrame:
+    """Candidate pairs (a, b, na, nb) whose prefixes share enough."""
     mine = met.select("shingle", F.col("class").alias("a"))
     others = met.select("shingle", F.col("class").alias("b"))
     counted = pairs.join(mine, "a").join(others, ["b", "shingle"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared"))
-    rest = lambda n: F.ceil(F.lit(threshold.percent) * F.col(n) / 100) - 1
-    needed = F.ceil(F.lit(threshold.percent) * (F.col("na") + F.col("nb")) / (100 + threshold.percent))
-    return counted.where(F.col("shared") >= needed - F.greatest(rest("na"), rest("nb"))).drop("shared")
+    return counted.where(F.col("shared") >= _shared_needed(threshold, F.col("na"), F.col("nb"))).drop("shared")
+
+
+def _across(met: DataFrame, roots: DataFrame, degree: DataFrame, threshold: Threshold) -> DataFrame:
+    """Pairs (a, b, na, nb) of different components whose prefixes share enough.
+
+    A class whose shared prefix shingles are too few for any partner of the sizes in a bucket leaves it
+    first, so what is far from the rest of a large group is not paired with all of it.
+    """
+    placed = (
+        met.join(degree, "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
+        .withColumn("root", F.coalesce("root", "class"))
+    )
+    buckets = placed.groupBy("shingle").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least"), F.max("n").alias("most")
+    ).where("low != high")
+    n, percent = F.col("n"), threshold.percent
+    smallest = F.greatest(F.col("least"), F.ceil(percent * n / 100))
+    largest = F.least(F.col("most"), F.floor(100 * n / percent))
+    # Rising up to equal sizes and falling beyond, so least at the ends; 1 less for rounding in between.
+    reach = F.least(_shared_needed(threshold, n, smallest), _shared_needed(threshold, n, largest)) - 1
+    open_ = settle(placed.join(buckets, "shingle").where(F.col("degree") >= reach).select("shingle", "class", "n", "degree", "root"))
+    side = lambda x: open_.select(
+        "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "degree", "root")])
+    na, nb = F.col("n_a"), F.col("n_b")
+    needed = _shared_needed(threshold, na, nb)
+    left, right = side("a"), side("b")
+    meet = (
+        (left["shingle"] == right["shingle"]) & (F.col("class_a") < F.col("class_b")) & (F.col("root_a") != F.col("root_b"))
+        & _can_link(threshold, na, nb) & (F.least("degree_a", "degree_b") >= needed)
+    )
+    return (
+        left.join(right, meet).groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b"), na.alias("na"), nb.alias("nb"))
+        .agg(F.count("*").alias("shared"))
+        .where(F.col("shared") >= _shared_needed(threshold, F.col("na"), F.col("nb"))).drop("shared")
+    )
 
 
 def _links(pairs: DataFrame, source: Source, threshold: Threshold) -> DataFrame:
     """Of the candidate pairs (a, b, na, nb), those that link: partial overlaps per fragment, summed."""
-    pairs = settle(_likely(pairs, source.met, threshold))
+    pairs = settle(pairs)
     classes = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = join_dimension(source.first_ids, classes, ["class"]).select("doc_id").distinct()
     segments = settle(_segments(join_dimension(source.docs, wanted, ["doc_id"]), "_text", source.words, source.fragments))
@@ -183,19 +226,14 @@ def _links(pairs: DataFrame, source: Source, threshold: Threshold) -> DataFrame:
 
 
 class Source(NamedTuple):
-    """What a comparison needs: documents, one id per class, prefix shingles that classes share."""
+    """What a comparison needs: documents, and one id per class."""
 
     docs: DataFrame
     first_ids: DataFrame
-    met: DataFrame
     words: int
     fragments: int
 
 
-def _can_link(threshold: Threshold, na: str, nb: str):
-    return 100 * F.least(na, nb) >= threshold.percent * F.greatest(na, nb)
-
-
 def jaccard_components(
     docs: DataFrame, text: str = "text", words: int = SHINGLE_WORDS, percent: int = 75, fragments: int = FRAGMENTS,
 ) -> DataFrame:
@@ -211,29 +249,22 @@ def jaccard_components(
     last = np.sort(np.array([r["shingle"] for r in often.select("shingle").collect()], np.int64).view(np.uint64))
     met = settle(_met(_postings(docs, "_text", words, threshold, last)))
 
-    degree = met.groupBy("class").agg(F.count("*").alias("degree"))
+    degree = settle(met.groupBy("class").agg(F.count("*").alias("degree")))
     ranked = met.join(degree, "class")
     center = ranked.groupBy("shingle").agg(F.max(F.struct("degree", "class", "n")).alias("c"))
+    na, nb = F.col("c.n"), F.col("n")
+    near_enough = _can_link(threshold, na, nb) & (F.least("degree", "c.degree") >= _shared_needed(threshold, na, nb))
     star = settle(
-        ranked.join(center, "shingle").where(F.col("class") != F.col("c.class"))
-        .select(F.col("c.class").alias("a"), F.col("class").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
-        .where(_can_link(threshold, "na", "nb")).distinct()
+        ranked.join(center, "shingle").where((F.col("class") != F.col("c.class")) & near_enough)
+        .select(F.col("c.class").alias("a"), F.col("class").alias("b"), na.alias("na"), nb.alias("nb")).distinct()
     )
     first_ids = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    source = Source(docs, first_ids, met, words, fragments)
-    links = settle(_links(star, source, threshold))
+    source = Source(docs, first_ids, words, fragments)
+    links = settle(_links(_likely(star, met, threshold), source, threshold))
     roots = components(links, "a", "b")
 
-    placed = met.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
-    open_ = settle(placed.join(mixed.select("shingle"), "shingle", "left_semi").select("shingle", "class", "n", "root"))
-    other = open_.select("shingle", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("root").alias("root_b"))
-    across = (
-        open_.select("shingle", F.col("class").alias("a"), F.col("n").alias("na"), "root").join(other, "shingle")
-        .where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & _can_link(threshold, "na", "nb"))
-        .select("a", "b", "na", "nb").distinct()
-    )
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = _across(met, roots, degree, threshold)
     more = settle(_links(across.join(tested, ["a", "b"], "left_anti"), source, threshold))
     if not more.isEmpty():
         links = links.unionByName(more)
