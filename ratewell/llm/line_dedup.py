@@ -1,18 +1,16 @@
-"""Line dedup by winnowing: repeated runs of lines go, their first occurrence stays.
+"""Line dedup by winnowing: repeated runs of words go, their first occurrence stays.
 
-Lines begin at line ends, after sentence marks and at anchor words (those with the smallest code
-among REACH words on either side), so a passage set into another line is cut alike. A line's
-hash covers the RUN words from its first word on, over the following lines if it is shorter. Of the lines that
-begin within any WINDOW words, the one with the smallest hash is a fingerprint: two texts that
-share a run of RUN + WINDOW words and the lines in it share a fingerprint.
+Every run of ``min_words`` words has a fingerprint, the RUN words in it with the smallest hash (the first of
+equal ones), whatever stands around the run and wherever its lines end: of any places that share the run, all
+have the fingerprint. A run is deleted where an earlier place, by (doc_id, text hash, word), holds it.
 
-Every fingerprint meets the first place, by (doc_id, text hash, word), that has it; the match is
-extended word by word both ways, unless its words go already; runs of ``min_words`` words or more are
-deleted at the later place. Every place is matched with one place only, so a hash with many places
-makes as many rows, not their square; two texts meet once, with all their matches.
+Places that have a fingerprint with the same words around, as far as runs with it reach, hold the same runs: all
+but the first of such a class are deleted without a look at their runs. The first places of the classes of a
+fingerprint meet by the codes of their runs, so each run meets the first place that really holds it, and
+rows grow with the words of the places, not with the square of their number.
 
 A null text stays null. Rows of equal id and text are one document and get the same text.
-Null ids come last. A text without words has no line. An empty table gives an empty result.
+Null ids come last. A text with fewer than ``min_words`` words has no run. An empty table gives an empty result.
 Extra columns stay. Overlapping repeats within one text leave their first period.
 """
 
@@ -21,11 +19,10 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,72 +30,37 @@ from ratewell.llm.common import WordCodes, mixed, rows_in_pieces, run_codes, wor
 from ratewell.scale import ensure_checkpoint_dir, join_dimension, settle
 
 RUN = 20
-WINDOW = 30
 BATCH_ROWS = 500
-REACH = 4
 MIN_WORDS = 50
 #: Stands for a null id; a row that has it, with the same text, is the same document.
 LAST_ID = 2**63 - 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-SENTENCE_END = b".!?"
 
 
-class LineCodes(WordCodes):
-    """Word codes whose lowest bit says that the word ends a sentence."""
-
-    def __missing__(self, word: bytes) -> int:
-        code = super().__missing__(word) & ~1 | (word[-1] in SENTENCE_END)
-        self[word] = code
-        return code
-
-
-def fingerprints(texts: list[str | None], coded: LineCodes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, word number, hash) of the winnowed lines of all texts."""
-    words = [words_of(t) for t in texts]
+def fingerprints(texts: list[str | None], coded: WordCodes, min_words: int) -> tuple[np.ndarray, ...]:
+    """(number of the text, word number, hash, code of the words around) of the fingerprints of all texts."""
+    words = [w if len(w) >= min_words else [] for w in map(words_of, texts)]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    first = np.cumsum(sizes) - sizes
+    last = np.cumsum(sizes)
     codes = coded.of([w for ws in words for w in ws])
-    begins = np.append(True, codes[:-1] & np.uint64(1) > 0) | anchors(mixed(codes))
-    lines = [at + n for at, t in zip(first.tolist(), texts) if t for n in accumulate(len(x.split()) for x in t.split("\n"))]
-    begins = np.append(begins[: len(codes)], False)  # one place more for the end of the last line
-    begins[lines] = True
-    begins[first] = True
     owner = np.repeat(np.arange(len(words)), sizes)
-    starts = np.flatnonzero(begins[: len(codes)])
-    starts = starts[starts + RUN <= (first + sizes)[owner[starts]]]
-    if not len(starts):
-        return np.empty(0, np.int64), starts, np.empty(0, np.uint64)
-    hashes = run_codes(codes, RUN, starts)
-    best = np.arange(len(starts))
-    ends = np.searchsorted(starts, starts + WINDOW)
-    ends = np.minimum(ends, np.searchsorted(owner[starts], owner[starts], side="right"))
-    for step in range(1, int((ends - np.arange(len(starts))).max())):
-        at = np.flatnonzero(np.arange(len(starts)) + step < ends)
-        lower = hashes[at + step] < hashes[best[at]]
-        best[at[lower]] = at[lower] + step
-    chosen = np.unique(best)
-    starts = starts[chosen]
-    return owner[starts], starts - first[owner[starts]], hashes[chosen]
-
-
-def anchors(codes: np.ndarray) -> np.ndarray:
-    """Whether no word within REACH has a smaller code; equal words are anchors together."""
-    found = np.ones(len(codes), bool)
-    for step in range(1, REACH + 1):
-        found[step:] &= codes[step:] <= codes[:-step]
-        found[:-step] &= codes[:-step] <= codes[step:]
-    return found
-
-
-def extend(text: list[bytes], at: int, source: list[bytes], source_at: int) -> tuple[int, int]:
-    """The longest run of equal words around two places, as [start, end) in ``text``."""
-    start, end = at, at
-    while start > 0 and source_at - (at - start) > 0 and text[start - 1] == source[source_at - (at - start) - 1]:
-        start -= 1
-    n, m = len(text), len(source)
-    while end < n and source_at + end - at < m and text[end] == source[source_at + end - at]:
-        end += 1
-    return start, end
+    size = min(RUN, min_words)
+    hashes = run_codes(codes, size)
+    best = lowest(hashes, min_words - size + 1)
+    best = best[np.arange(len(best)) + min_words <= last[owner[: len(best)]]]
+    at = best[np.append(True, best[1:] != best[:-1])] if len(best) else best
+    start, end = np.maximum(at - (min_words - size), (last - sizes)[owner[at]]), np.minimum(at + min_words, last[owner[at]])
+    around = mixed(run_codes(codes, end - start, start) ^ (at - start).astype(np.uint64))
+    return owner[at], at - (last - sizes)[owner[at]], hashes[at], around
+
+
+def lowest(values: np.ndarray, window: int) -> np.ndarray:
+    """Place of the smallest value, by its upper 32 bits, the first of equal ones, among each ``window`` neighbours."""
+    best, span = values >> np.uint64(32) << np.uint64(32) | np.arange(len(values), dtype=np.uint64), 1
+    while span < window and len(best):
+        step = min(span, window - span)
+        best, span = np.minimum(best[:-step], best[step:]), span + step
+    return (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def without(text: str, runs: list[tuple[int, int]]) -> str:
@@ -113,18 +75,18 @@ def without(text: str, runs: list[tuple[int, int]]) -> str:
     return b"".join([*kept, data[at:]]).decode()
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """(hash, id, digest, word) of every fingerprint."""
+def _places(docs: DataFrame, min_words: int) -> DataFrame:
+    """(hash, around, id, digest, word) of every fingerprint."""
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coded = LineCodes()
+        coded = WordCodes()
         for batch in rows_in_pieces(batches, BATCH_ROWS):
-            owner, word, hashed = fingerprints(list(batch["_text"]), coded)
+            owner, word, hashed, around = fingerprints(list(batch["_text"]), coded, min_words)
             yield pd.DataFrame({
-                "hash": hashed.view(np.int64), "id": batch["_id"].to_numpy()[owner], "digest": batch["_digest"].to_numpy()[owner],
-                "word": word,
+                "hash": hashed.view(np.int64), "around": around.view(np.int64), "id": batch["_id"].to_numpy()[owner],
+                "digest": batch["_digest"].to_numpy()[owner], "word": word,
             })
 
-    return docs.select("_id", "_digest", "_text").mapInPandas(found, "hash long, id long, digest long, word int")
+    return docs.select("_id", "_digest", "_text").mapInPandas(found, "hash long, around long, id long, digest long, word int")
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -136,62 +98,77 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def runs_of(text: list[bytes], source: list[bytes], matches: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
-    """Runs of ``min_words`` words or more around the matches (word, word in the source), in order of their words.
+def _firsts(places: DataFrame, keys: list[str]) -> DataFrame:
+    """The first place of each key and the number n of its places."""
+    return places.groupBy(*keys).agg(F.min(F.struct("id", "digest", "word")).alias("first"), F.count("*").alias("n"))
 
-    A match whose words lie in a run found before is not extended again.
-    """
-    runs, gone = [], 0
-    for at, source_at in sorted(matches):
-        if at + RUN > gone:
-            start, end = extend(text, at, source, source_at)
-            if end - start >= min_words:
-                runs.append((start, end))
-                gone = max(gone, end)
-    return runs
-
-
-def _extended(pairs: DataFrame, min_words: int) -> DataFrame:
-    """(id, digest, start, end) of the runs of each pair of texts."""
-    def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _is_later() -> Column:
+    return (F.col("id") != F.col("first.id")) | (F.col("digest") != F.col("first.digest")) | (F.col("word") != F.col("first.word"))
+
+
+def _run_places(docs: DataFrame, keys: DataFrame, min_words: int) -> DataFrame:
+    """(code, id, digest, word) of the runs with one of the fingerprints that ``keys`` (_id, _digest, at) lists."""
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        coded, reach = WordCodes(), min_words - min(RUN, min_words)
         for batch in rows_in_pieces(batches, BATCH_ROWS):
-            rows = []
-            for id_, digest, matches, later, source in zip(
-                batch["id"], batch["digest"], batch["matches"], batch["later_text"], batch["source_text"]
-            ):
-                places = [(int(m["word"]), int(m["source_word"])) for m in matches]
-                rows += [(id_, digest, *run) for run in runs_of(words_of(later), words_of(source), places, min_words)]
-            yield pd.DataFrame(rows, columns=["id", "digest", "start", "end"])
-
-    return pairs.mapInPandas(grown, "id long, digest long, start int, end int")
-
-
-def _matches(docs: DataFrame) -> DataFrame:
-    """Per pair of a text and an earlier (or the same) one: the words at which a fingerprint of both begins."""
-    places = _written(_places(docs))
-    shared = places.groupBy("hash").agg(F.min("id").alias("source_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = settle(places.join(shared, "hash"))
-    first = met.where("id = source_id").groupBy("hash").agg(F.min(F.struct("digest", "word")).alias("first"))
-    later = met.join(first, "hash").select(
-        "id", "digest", "word", "source_id", F.col("first.digest").alias("source_digest"), F.col("first.word").alias("source_word"))
-    return (
-        later.where((F.col("id") != F.col("source_id")) | (F.col("digest") != F.col("source_digest")) | (F.col("word") != F.col("source_word")))
-        .groupBy("id", "digest", "source_id", "source_digest").agg(F.collect_list(F.struct("word", "source_word")).alias("matches"))
+            words = list(map(words_of, batch["_text"]))
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            last = np.cumsum(sizes)
+            codes = coded.of([w for ws in words for w in ws])
+            owner = np.repeat(np.arange(len(words)), sizes)
+            first = np.repeat(last - sizes, [len(at) for at in batch["at"]])
+            at = np.concatenate(list(batch["at"])).astype(np.int64) + first
+            steps = np.bincount(np.maximum(at - reach, first), minlength=len(codes) + 1) - np.bincount(at + 1, minlength=len(codes) + 1)
+            starts = np.flatnonzero(np.cumsum(steps) > 0)
+            starts = starts[starts + min_words <= last[owner[starts]]]
+            yield pd.DataFrame({
+                "code": run_codes(codes, min_words, starts).view(np.int64), "id": batch["_id"].to_numpy()[owner[starts]],
+                "digest": batch["_digest"].to_numpy()[owner[starts]], "word": starts - (last - sizes)[owner[starts]],
+            })
+
+    return join_dimension(docs, keys, ["_id", "_digest"]).select("_id", "_digest", "_text", "at").mapInPandas(
+        listed, "code long, id long, digest long, word int"
     )
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, digest, runs) with the runs of words, as (start, end), that each text repeats; ``docs`` has _id, _digest and _text."""
-    matches = _written(_matches(docs))
-    keys = matches.select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).unionByName(
-        matches.select(F.col("source_id").alias("_id"), F.col("source_digest").alias("_digest"))
-    ).distinct()
-    texts = _written(join_dimension(docs, keys, ["_id", "_digest"]).dropDuplicates(["_id", "_digest"]))
-    later = texts.select(F.col("_id").alias("id"), F.col("_digest").alias("digest"), F.col("_text").alias("later_text"))
-    source = texts.select(F.col("_id").alias("source_id"), F.col("_digest").alias("source_digest"), F.col("_text").alias("source_text"))
-    pairs = matches.join(later, ["id", "digest"]).join(source, ["source_id", "source_digest"])
-    runs = _extended(pairs.select("id", "digest", "matches", "later_text", "source_text"), min_words)
-    return runs.groupBy("id", "digest").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
+    """(id, digest, runs) with what each text repeats; ``docs`` has _id, _digest and _text.
+
+    A run of words, from start to before end, is start * 2**32 + end; an end may lie beyond the text. Runs do not touch.
+    """
+    reach = min_words - min(RUN, min_words)
+    places = _written(_places(docs, min_words))
+    met = _written(places.join(_shared(places, "hash"), "hash"))
+    classes = _written(_firsts(met, ["hash", "around"]))
+    copies = (
+        met.join(classes.where("n > 1").drop("n"), ["hash", "around"]).where(_is_later())
+        .select("id", "digest", F.greatest(F.col("word") - reach, F.lit(0)).alias("start"), (F.col("word") + min_words).alias("end"))
+    )
+    open_places = (
+        classes.join(_shared(classes, "hash"), "hash").groupBy(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"))
+        .agg(F.collect_list("first.word").alias("at"))
+    )
+    runs = _written(_run_places(docs, open_places, min_words))
+    met_runs = _written(runs.join(_shared(runs, "code"), "code"))
+    repeats = (
+        met_runs.join(_firsts(met_runs, ["code"]).drop("n"), "code").where(_is_later())
+        .select("id", "digest", F.col("word").alias("start"), (F.col("word") + min_words).alias("end"))
+    )
+    run = F.shiftleft(F.col("start").cast("long"), 32) + F.col("end")
+
+    def united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["runs"] = [merged(r) for r in batch["runs"]]
+            yield batch
+
+    found = copies.unionByName(repeats).groupBy("id", "digest").agg(F.collect_list(run).alias("runs"))
+    return found.mapInPandas(united, "id long, digest long, runs array<long>")
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The keys of two rows or more."""
+    return rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -210,9 +187,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
 
     def cleaned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            runs = [[] if r is None else [(int(x["start"]), int(x["end"])) for x in r] for r in batch["runs"]]
-            batch["removed_words"] = [covered(r) for r in runs]
-            batch["_text"] = [without(t, r) if r else t for t, r in zip(batch["_text"], runs)]
+            runs = [within(r, len(words_of(t))) for t, r in zip(batch["_text"], batch["runs"])]
+            batch["removed_words"] = [sum(end - start for start, end in r) for r in runs]
+            batch["_text"] = [without(t, r) for t, r in zip(batch["_text"], runs)]
             yield batch[["_row", "_text", "removed_words"]]
 
     plain = joined.where("runs IS NULL").select("_row", "_text", F.lit(0).cast("long").alias("removed_words"))
@@ -222,10 +199,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
     )
 
 
-def covered(runs: list[tuple[int, int]]) -> int:
-    """Words in the union of the runs."""
-    total, reached = 0, 0
-    for start, end in sorted(runs):
-        total += max(0, end - max(start, reached))
-        reached = max(reached, end)
-    return total
+def merged(runs: np.ndarray) -> np.ndarray:
+    """The union of runs (start * 2**32 + end) as runs that do not touch, in ascending order."""
+    runs = np.sort(np.asarray(runs, np.int64))
+    start, end = runs >> 32, np.maximum.accumulate(runs & 0xFFFFFFFF)
+    new = np.append(True, start[1:] > end[:-1])
+    return start[new] << 32 | end[np.append(new[1:], True)]
+
+
+def within(runs: np.ndarray, n_words: int) -> list[tuple[int, int]]:
+    """(start, end) of runs (start * 2**32 + end), cut at the end of the text."""
+    return [(run >> 32, min(run & 0xFFFFFFFF, n_words)) for run in runs.tolist()]

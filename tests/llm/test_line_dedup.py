@@ -78,3 +78,37 @@ def test_run_hashes_depend_on_the_words_alone():
     twice = np.concatenate([codes[50:90], codes])
     hashes = run_codes(twice, 20, np.array([0, 5, 90, 95]))
     assert hashes[0] == hashes[2] and hashes[1] == hashes[3] and hashes[0] != hashes[1]
+
+
+def later_runs(texts, size):
+    """Words of each text that lie in runs of ``size`` words with an earlier place, by brute force."""
+    first, gone = {}, {i: set() for i in texts}
+    for i in sorted(texts):
+        words = texts[i].split()
+        for k in range(len(words) - size + 1):
+            if first.setdefault(tuple(words[k : k + size]), (i, k)) != (i, k):
+                gone[i].update(range(k, k + size))
+    return gone
+
+
+def test_first_text_with_a_part_of_the_passage_only(spark):
+    pick = random.Random(7)
+    words = [f"{a}{b}{c}" for a in "bcdfgklmnprst" for b in "aeiou" for c in "bdgklmnrst"]
+    plain = lambda n: " ".join(pick.choices(words, k=n))
+    texts = {}
+    for k, n in enumerate([50, 51, 52, 55, 60, 70] * 10):
+        passage = plain(n)
+        part = " ".join(passage.split()[:40])
+        texts |= {3 * k: f"{plain(60)} {part} {plain(60)}", 3 * k + 1: f"{plain(60)}\n{passage} {plain(60)}", 3 * k + 2: f"{plain(60)} {passage}\n{plain(60)}"}
+    got = cleaned(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {i: n for i, (_, n) in got.items()} == {i: len(g) for i, g in later_runs(texts, 50).items()}
+    assert sum(n > 0 for _, n in got.values()) == 60
+
+
+def test_like_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got, gone = cleaned(docs), later_runs(texts, 50)
+    for i, text in texts.items():
+        assert got[i][1] == len(gone[i])
+        assert got[i][0].split() == [w for k, w in enumerate(text.split()) if k not in gone[i]]
