@@ -145,7 +145,10 @@ def _least(values: np.ndarray) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, common: Common, parts: int) -> DataFrame:
-    """(part, block): the entries of a block of documents that belong to a partition, as pickled arrays."""
+    """(part, block): the entries of a block of documents that belong to a partition, as pickled arrays.
+
+    A block's number is that of its first row, so a row's number, block + place, does not depend on where blocks are cut.
+    """
     shared = share(docs.sparkSession, common)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,7 +161,7 @@ def _blocks(docs: DataFrame, common: Common, parts: int) -> DataFrame:
             for end in _block_ends(sizes):
                 held = batch["_held"].iloc[first:end].to_numpy(bool)
                 yield block(number, words[first:end], sizes[first:end], held, coded, common)
-                first, number = end, number + 1
+                first, number = end, number + end - first
 
     def block(number, words, sizes, held, coded, common) -> pd.DataFrame:
         word = np.full(int(sizes.sum()), END, np.uint64)
@@ -215,22 +218,17 @@ def _block_ends(sizes: np.ndarray) -> list[int]:
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """(block, place, doc_id, held_out, n_tokens) by the same cut into blocks."""
+    """(row, doc_id, held_out, n_tokens), rows numbered as in the blocks."""
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32
         for batch in rows_in_pieces(batches, BLOCK_DOCS):
-            sizes = np.fromiter((len(lower_words(t)) + 1 for t in batch["_text"]), np.int64, len(batch))
-            first = 0
-            for end in _block_ends(sizes):
-                yield pd.DataFrame({
-                    "block": number, "place": np.arange(end - first), "doc_id": batch["doc_id"].iloc[first:end].astype("Int64").array,
-                    "held_out": batch["_held"].iloc[first:end].to_numpy(bool), "n_tokens": sizes[first:end],
-                })
-                first, number = end, number + 1
-
-    return docs.select("doc_id", "_text", "_held").mapInPandas(
-        listed, "block long, place int, doc_id long, held_out boolean, n_tokens long"
-    )
+            yield pd.DataFrame({
+                "row": number + np.arange(len(batch)), "doc_id": batch["doc_id"].astype("Int64").array,
+                "held_out": batch["_held"].to_numpy(bool), "n_tokens": [len(lower_words(t)) + 1 for t in batch["_text"]],
+            })
+            number += len(batch)
+
+    return docs.select("doc_id", "_text", "_held").mapInPandas(listed, "row long, doc_id long, held_out boolean, n_tokens long")
 
 
 class Entries:
@@ -403,13 +401,15 @@ def score_documents(docs: DataFrame, held_out: Column, text: str = "text") -> Da
     parts = spark.createDataFrame(dealt, "part int, block binary")
     statistics = _statistics(parts, common)
     weights = settle(context_weights(parts, common, statistics))
+    row = (F.col("block") + F.col("place")).alias("row")
     backoff = (
         _unseen(parts, common).join(weights, "context")
-        .groupBy("block", "place").agg(F.sum(F.col("n") * F.col("weight")).alias("backoff"))
+        .groupBy(row).agg(F.sum(F.col("n") * F.col("weight")).alias("backoff"))
     )
+    sums = _document_sums(parts, common, statistics).select(row, "n_known", "base_score", "score")
     start = -math.log10(statistics.documents) if statistics.documents else 0.0
     return (
-        _documents(docs).join(_document_sums(parts, common, statistics), ["block", "place"]).join(backoff, ["block", "place"], "left")
+        _documents(docs).join(sums, "row").join(backoff, "row", "left")
         .select(
             "doc_id", "held_out", "n_tokens", "n_known", F.lit(statistics.tokens).cast("long").alias("train_tokens"), "base_score",
             (F.col("score") + F.coalesce("backoff", F.lit(0.0)) + start).alias("score"),

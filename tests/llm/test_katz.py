@@ -97,3 +97,21 @@ def test_discounts_leave_something_over():
         d = katz.good_turing(values, np.array([counts[c] for c in sorted(counts)], np.int64))
         kept = d.kept(np.arange(1, 1000))
         assert (0 < kept).all() and (kept < np.arange(1, 1000)).all()
+
+
+def test_each_document_has_its_own_score_where_batches_end_by_bytes(spark):
+    texts = {i: " ".join(f"w{(i * k) % 97}" for k in range(1, 4 + i % 9)) for i in range(3000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    score = lambda: {r["doc_id"]: r for r in katz.score_documents(docs, held_out(F.col("doc_id"), 7, 2)).collect()}
+    whole = score()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20000")
+    try:
+        cut = score()
+    finally:
+        spark.conf.set(name, before)
+    assert len(cut) == len(texts)
+    for i, r in cut.items():
+        assert r["n_tokens"] == len(tokens_of(texts[i]))
+        assert (r["n_known"], r["score"]) == (whole[i]["n_known"], pytest.approx(whole[i]["score"]))
