@@ -187,7 +187,8 @@ def nearby(queries: DataFrame, all_prints: DataFrame, radius: int) -> DataFrame:
 def simhash(docs: DataFrame, text: str = "text", radius: int = 4) -> DataFrame:
     """Fingerprints, likenesses and, for ids divisible by 100, ``n_near``: other documents within ``radius`` bits.
 
-    Copies share a fingerprint and are counted, not paired.
+    Copies share a fingerprint and are counted, not paired. By theory 4 bits are a cosine of 0.995 between term counts, about one
+    changed word in 1,000; texts with a Jaccard similarity of 0.75 are about 22 bits apart and not counted.
     """
     found = settle(edited_documents(docs, text))
     prints = found.groupBy("f1", "f2").agg(F.count("*").alias("n_docs"))
