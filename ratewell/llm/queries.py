@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm import bpe, jaccard_join, katz, line_dedup, packing, quality_gbt, quality_rules, simhash, toxicity, url_filter
+from ratewell.llm import (
+    bpe, jaccard_join, katz, line_dedup, merkle, packing, quality_gbt, quality_rules, simhash, toxicity, url_filter,
+)
+from ratewell.llm.check_sql import MERKLE_SQL
 from ratewell.llm.common import held_out, table
 
 
@@ -129,6 +132,10 @@ def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "removed_words", "text")
 
 
+def merkle_query(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, folder, "documents"), held_out(F.col("doc_id"), 5, 0))
+
+
 QUERIES = {
     "op1_toxicity": Query(toxicity_query, None),
     "op2_simhash": Query(simhash_query, None),
@@ -140,4 +147,5 @@ QUERIES = {
     "op8_jaccard": Query(jaccard_query, JACCARD_SQL),
     "op9_quality": Query(quality_query, None),
     "op10_line_dedup": Query(line_dedup_query, None),
+    "op11_merkle": Query(merkle_query, MERKLE_SQL),
 }
