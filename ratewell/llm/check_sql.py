@@ -62,3 +62,28 @@ begun AS (SELECT p.doc_id, p.source, p.leaf, p.seen, p.rank, s.digest AS subroot
 {_fold('top', 'one', 's.place', f'low{HEIGHTS - 1}', TOP_HEIGHTS, 'high')}
 SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, seen AS folded_root, seen = t.digest AS verified
 FROM high{TOP_HEIGHTS - 1}, top_roots t"""
+
+TRIE_SQL = f"""WITH own AS (
+  SELECT conv_id, list({{'id': md5(CAST(strlen(role) AS VARCHAR) || ':' || role || text), 'words': len(regexp_extract_all(text, {WORDS}))}}
+                       ORDER BY turn NULLS FIRST, md5(CAST(strlen(role) AS VARCHAR) || ':' || role || text)) AS t
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+  GROUP BY conv_id),
+heads AS (SELECT o.conv_id, o.t, {crc32_sql('o.conv_id')} % 4 AS h, b.t AS base
+  FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+built AS (SELECT conv_id, list_concat(coalesce(base[1 : h], []), t[h + 1 :]) AS t FROM heads),
+ids AS (SELECT conv_id, len(t) AS d, array_to_string(list_transform(t, lambda x: x.id), '') AS ids,
+               list_transform(t, lambda x: x.words) AS words FROM built),
+steps AS (SELECT conv_id, d, unnest(range(0, d + 1)) AS depth, ids, words FROM ids),
+nodes AS (SELECT left(ids, 32 * depth) AS key, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 any_value(CASE WHEN depth = 0 THEN 0 ELSE words[depth] END) AS words,
+                 sha256(coalesce(string_agg(CASE WHEN d = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM steps GROUP BY 1, 2),
+kids AS (SELECT left(key, length(key) - 32) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+own_parts AS (SELECT m.key, m.depth, CASE WHEN k.n IS NULL THEN 1 ELSE 0 END AS leaf, (m.n_convs - 1) * m.words AS saved
+  FROM nodes m LEFT JOIN kids k ON k.key = m.key),
+ups AS (SELECT left(key, 32 * up) AS key, sum(leaf) AS leaves, sum(saved) AS saved
+  FROM (SELECT key, leaf, saved, unnest(range(0, depth + 1)) AS up FROM own_parts) GROUP BY 1)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, coalesce(k.n, 0) AS n_children,
+       CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, m.ends_sha256
+FROM nodes m JOIN ups u ON u.key = m.key LEFT JOIN kids k ON k.key = m.key
+LEFT JOIN nodes p ON m.depth > 0 AND p.key = left(m.key, length(m.key) - 32)"""

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewell.llm import (
-    bpe, jaccard_join, katz, line_dedup, merkle, packing, quality_gbt, quality_rules, simhash, toxicity, url_filter,
+    bpe, conversation_trie, jaccard_join, katz, line_dedup, merkle, packing, quality_gbt, quality_rules, simhash, token_counts, toxicity,
+    url_filter,
 )
-from ratewell.llm.check_sql import MERKLE_SQL
+from ratewell.llm.check_sql import MERKLE_SQL, TRIE_SQL
 from ratewell.llm.common import held_out, table
 
 
@@ -33,6 +34,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_vocabulary() -> str:
+    return bpe.vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def _classified(spark: SparkSession, folder: str, method, label: str, threshold: float) -> DataFrame:
     """Fit on the labelled rows that are not held out, score every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -136,6 +141,18 @@ def merkle_query(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.document_manifest(table(spark, folder, "documents"), held_out(F.col("doc_id"), 5, 0))
 
 
+def token_counts_query(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    counted = token_counts.count_tokens(docs, word_vocabulary(), ["doc_id", "n_bytes"])
+    return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def conversation_trie_query(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    return conversation_trie.prefix_nodes(conversation_trie.with_family_heads(turns))
+
+
 QUERIES = {
     "op1_toxicity": Query(toxicity_query, None),
     "op2_simhash": Query(simhash_query, None),
@@ -148,4 +165,6 @@ QUERIES = {
     "op9_quality": Query(quality_query, None),
     "op10_line_dedup": Query(line_dedup_query, None),
     "op11_merkle": Query(merkle_query, MERKLE_SQL),
+    "op12_token_counts": Query(token_counts_query, None),
+    "op13_conversation_trie": Query(conversation_trie_query, TRIE_SQL),
 }
