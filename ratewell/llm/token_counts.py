@@ -1,6 +1,6 @@
 """Token counts of whole texts; huge texts in overlapping chunks that are spliced where both sides agree.
 
-A text of up to ``chunk`` characters is encoded at once. A longer one is cut into chunks that overlap;
+A text of up to ``chunk`` characters is counted at once, as the sum over its words: no token holds white space. A longer one is cut into chunks that overlap;
 chunks go to tasks of their own, so one huge text is not the work of one task. Each chunk is encoded with
 offsets and lists, inside its overlaps, the stable boundaries: places where one token ends and the next begins
 and where the tokenizer's splitting cannot look across (``STABLE``), so that what lies left and right
@@ -34,6 +34,11 @@ WIDEN = 4
 BATCH_ROWS = 256
 #: Stable boundaries listed per overlap, those nearest to its middle.
 LISTED = 24
+#: Words kept with their counts in a worker, and the longest of them.
+KNOWN_WORDS, KNOWN_CHARS = 200_000, 64
+# str.split() takes these four for white space, the tokenizer does not.
+SEPARATORS = regex.compile("[\x1c-\x1f]")
+OTHER_SPACE = regex.compile(r"\p{White_Space}+")
 # No pre-token and no special token of the word-end tokenizer has white space, a digit beside anything else, or one of these
 # marks behind a letter; a combining mark may join what stands before it, so none may follow.
 STABLE = (
@@ -44,12 +49,13 @@ STABLE = (
 class TokenCounter:
     """The tokenizer in a worker: no truncation, no padding, no added tokens."""
 
-    def __init__(self, vocabulary: str, stable: str = STABLE):
-        self.vocabulary, self.stable = vocabulary, stable
+    def __init__(self, vocabulary: str, stable: str = STABLE, by_word: bool = True):
+        self.vocabulary, self.stable, self.by_word = vocabulary, stable, by_word
         self._tokenizer = self._stable = None
+        self._known: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
-        return {"vocabulary": self.vocabulary, "stable": self.stable, "_tokenizer": None, "_stable": None}
+        return {**self.__dict__, "_tokenizer": None, "_stable": None, "_known": {}}
 
     def tokenizer(self):
         if self._tokenizer is None:
@@ -63,9 +69,25 @@ class TokenCounter:
             self._stable = regex.compile(self.stable)
         return self._tokenizer
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def _encoded(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer().encode_batch_fast(texts, add_special_tokens=False)]
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """Token counts of short texts; where white space belongs to no token, the sum over their words, each encoded once."""
+        if not self.by_word:
+            return self._encoded(texts)
+        split = [OTHER_SPACE.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
+        new = [w for w in set().union(*split) if w not in self._known]
+        if len(self._known) + len(new) > KNOWN_WORDS:
+            self._known = {}
+            new = list(set().union(*split))
+        self._known.update(zip(new, self._encoded(new)))
+        totals = [sum(map(self._known.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > KNOWN_CHARS:
+                del self._known[word]
+        return totals
+
     def chunk(self, text: str, start: int, left: int, right: int) -> tuple[int, list, list, list, list]:
         """Token count of a chunk, and per overlap the stable boundaries: places in the whole text, tokens before them.
 
@@ -175,12 +197,15 @@ def long_counts(texts: DataFrame, shared, chunk: int = CHUNK, overlap: int = OVE
 
 def count_tokens(
     docs: DataFrame, vocabulary: str, keep: list[str], text: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP,
-    stable: str = STABLE,
+    stable: str = STABLE, by_word: bool = True,
 ) -> DataFrame:
-    """Columns ``keep`` and the ``n_tokens`` of each row's text; ``vocabulary`` is the tokenizer's JSON."""
+    """Columns ``keep`` and the ``n_tokens`` of each row's text; ``vocabulary`` is the tokenizer's JSON.
+
+    ``stable`` and ``by_word`` (white space belongs to no token) state what holds for the tokenizer.
+    """
     if chunk < 2 * overlap:
         raise ValueError("the two overlaps of a chunk must not meet")
-    shared = share(docs.sparkSession, TokenCounter(vocabulary, stable))
+    shared = share(docs.sparkSession, TokenCounter(vocabulary, stable, by_word))
     rows = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     is_long = F.length("_text") > chunk
     short = rows.where(~is_long)
