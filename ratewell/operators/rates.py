@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewell import scale
 from ratewell.functions.clock import seconds_between, whole_minutes
-from ratewell.functions.lines import SUMS, intercept, known, line_sums, r_squared, slope
+from ratewell.functions.lines import intercept, known, r_squared, slope
 from ratewell.operators.ordering import number_heavy, number_rows, slice_count
 
 CHUNK_ROWS = 100_000
@@ -65,8 +64,9 @@ def sliding_fit(
     order: list[str],
     x: str,
     y: str,
-    window: int,
+    window: int | str,
     *,
+    widest: int | None = None,
     longest: int | None = None,
     group_rows: int | None = None,
     chunk_rows: int | None = None,
@@ -75,28 +75,37 @@ def sliding_fit(
     """Fit ``y ~ x`` over every run of ``window + 1`` reads of a series.
 
     Gives keys, ``window_start`` (1-based read), ``n``, ``slope``, ``intercept``,
-    ``r2``. Series too short for one window give no row. ``longest`` is the
+    ``r2``. Series too short for one window give no row. ``window`` may name a column that
+    holds the width of the row's series, at most ``widest``; it stays in the result. Windows with the same
+    known reads have the same line, to the last bit. ``longest`` is the
     caller's promise on the reads per series, e.g. after ``trim_reads``; without
     it series above ``group_rows`` are found by counting (or from ``sizes``, if
     counted already) and fitted in chunks that overlap by ``window`` reads.
     """
+    if isinstance(window, int):
+        widest, width = window, []
+    elif widest is None:
+        raise ValueError("a width per series needs the widest of them")
+    else:
+        width = [window]
     limit = scale.GROUP_ROWS if group_rows is None else group_rows
-    reads = df.select(*dict.fromkeys([*keys, *order, x, y]))
+    reads = df.select(*dict.fromkeys([*keys, *width, *order, x, y]))
     if longest is not None and longest <= limit:
-        return _window_fits(reads, keys, order, x, y, window)
+        return _window_fits(reads, keys, order, x, y, window, widest)
     split = scale.split_heavy(reads, keys, limit, sizes)
-    fits = _window_fits(split.light, keys, order, x, y, window)
+    fits = _window_fits(split.light, keys, order, x, y, window, widest)
     if split.heavy is None:
         return fits
-    size = max(CHUNK_ROWS if chunk_rows is None else chunk_rows, window + 1)
+    size = max(CHUNK_ROWS if chunk_rows is None else chunk_rows, widest + 1)
     slices = slice_count(split.heavy_rows, limit)
     numbered = number_heavy(split.heavy, keys, order, "_read", slices)
-    chunk = F.floor((F.col("_read") - 1) / size)
-    leads_in = (((F.col("_read") - 1) % size) < window) & (F.col("_read") > size)
-    chunks = numbered.withColumn(
-        "_chunk", F.explode(F.when(leads_in, F.array(chunk, chunk - 1)).otherwise(F.array(chunk))))
+    chunk, place = F.floor((F.col("_read") - 1) / size), (F.col("_read") - 1) % size
+    # The reads ahead of a chunk tell whether its first windows know the same reads as the last of the chunk before.
+    leads_in, follows = (place < widest) & (F.col("_read") > size), place >= size - widest
+    chunks = numbered.withColumn("_chunk", F.explode(F.array_compact(F.array(
+        chunk, F.when(leads_in, chunk - 1), F.when(follows, chunk + 1)))))
     chunked = (
-        _window_fits(chunks, [*keys, "_chunk"], ["_read"], x, y, window, first=f"_chunk * {size}")
+        _window_fits(chunks, [*keys, "_chunk"], ["_read"], x, y, window, widest, numbered="_read")
         .where(F.floor((F.col("window_start") - 1) / size) == F.col("_chunk"))
         .drop("_chunk")
     )
@@ -104,101 +113,125 @@ def sliding_fit(
 
 
 def _window_fits(
-    df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int, first: str = "0"
+    df: DataFrame, keys: list[str], order: list[str], x: str, y: str, window: int | str, widest: int, numbered: str | None = None,
 ) -> DataFrame:
-    """Fits of all full windows; ``first`` is the read number ahead of the partition's first row.
+    """Fits of all full windows; ``numbered`` names the read number where it is known.
 
     Expressions are SQL text: a window has hundreds of terms, and text reaches Spark
     in one call per column.
     """
     over = f"OVER (PARTITION BY {_names(keys)} ORDER BY {_names(order)})"
-    kept = dict.fromkeys([*keys, *order])
+    width = [] if isinstance(window, int) else [window]
+    kept = dict.fromkeys([*keys, *width, *order])
     # A pair with a NULL or NaN is missing.
     paired = " AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in (x, y))
     reads = df.selectExpr(
         *[f"`{c}`" for c in kept],
-        f"CAST(row_number() {over} + {first} AS bigint) AS window_start",
+        f"CAST({f'`{numbered}`' if numbered else f'row_number() {over}'} AS bigint) AS window_start",
         f"CASE WHEN {paired} THEN CAST(`{x}` AS double) END AS _x0",
         f"CASE WHEN {paired} THEN CAST(`{y}` AS double) END AS _y0",
     )
-    if window < NARROW:
-        sums = _run_sums(reads, over, [window + 1]).selectExpr(
-            "*", f"lead(1, {window}) {over} AS _last").where("_last IS NOT NULL").withColumnsRenamed(
-            {f"{name}_{window + 1}": name for name in SUMS})
-    elif window < NARROW * NARROW:
-        sums = _joined_runs(reads, keys, over, window)
-    else:
-        frame = (Window.partitionBy(*keys).orderBy(*order)).rowsBetween(Window.currentRow, window)
-        sums = reads.select(
-            "*", F.count(F.lit(1)).over(frame).alias("_rows"), *line_sums(F.col("_x0"), F.col("_y0"), frame),
-        ).where(F.col("_rows") == window + 1)
-    return sums.select(
-        *keys, "window_start", F.col("n").cast("bigint").alias("n"),
-        slope().alias("slope"), intercept().alias("intercept"), r_squared().alias("r2"))
+    sums = _side_by_side(reads, over, window + 1) if widest < NARROW and not width else _doubled(reads, over, window, widest)
+    lines = sums.selectExpr(
+        *[f"`{c}`" for c in kept], "window_start", "n", "_same",
+        "n * _sxx - _sx * _sx AS sxx", "n * _sxy - _sx * _sy AS sxy", "n * _syy - _sy * _sy AS syy",
+        "_bx + try_divide(_sx, n) AS x_mean", "_by + try_divide(_sy, n) AS y_mean",
+    ).withColumns({"slope": slope(), "intercept": intercept(), "r2": r_squared(), "n": F.col("n").cast("bigint")})
+    found = [*keys, *width, "window_start", "n"]
+    if widest < NARROW and not width:
+        return lines.select(*found, "slope", "intercept", "r2")
+    up_to_here = f"{over[:-1]} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    line = f"last(CASE WHEN NOT _same THEN struct(slope, intercept, r2) END, true) {up_to_here} AS _line"
+    return lines.selectExpr(*[f"`{c}`" for c in found], line).select(*found, "_line.*")
+
+
+# Sums over a run of reads, of distances from its first known read (_bx, _by): what lies in a window bounds
+# their size, so little cancels, and whole numbers stay whole.
+RUN = ["n", "_bx", "_by", "_sx", "_sy", "_sxx", "_sxy", "_syy"]
 
 
-def _run_sums(reads: DataFrame, over: str, lengths: list[int]) -> DataFrame:
-    """Line sums of the short runs of reads that start at each read, as ``n_6``, ``sxx_6``, ...
+def _side_by_side(reads: DataFrame, over: str, size: int) -> DataFrame:
+    """Sums of short windows: their reads stand in one row, so a sum is plain arithmetic in generated code.
 
-    The reads of a run stand side by side in one row, so its sums are plain
-    arithmetic in generated code. Values are taken relative to the first read with
-    both numbers: a constant series has a sum of exactly 0.
+    Missing reads add exactly 0, so windows with the same known reads have the same sums.
     """
-    longest = range(max(lengths))
+    run = range(size)
     rows = reads.selectExpr(
-        "*", *[f"lead(_{v}0, {i}) {over} AS _{v}{i}" for i in longest[1:] for v in "xy"],
-    ).selectExpr("*", *[f"coalesce({', '.join(f'_{v}{i}' for i in longest)}) AS _base_{v}" for v in "xy"])
-    for length in lengths:
-        run = range(length)
-        rows = rows.selectExpr(
-            "*", _sum(f"CASE WHEN _x{i} IS NOT NULL THEN 1D ELSE 0D END" for i in run) + f" AS n_{length}")
-        rows = rows.selectExpr("*", *[
-            f"try_divide({_sum_known(f'_{v}{i} - _base_{v}' for i in run)}, n_{length}) AS _mean_{v}_{length}"
-            for v in "xy"])
+        "*", *[f"lead(_{v}0, {i}) {over} AS _{v}{i}" for i in run[1:] for v in "xy"],
+        f"lead(1, {size - 1}) {over} AS _last",
+    ).where("_last IS NOT NULL").selectExpr(
+        "*", *[f"coalesce({', '.join(f'_{v}{i}' for i in run)}) AS _b{v}" for v in "xy"])
+    return rows.selectExpr(
+        "*", _sum(f"CASE WHEN _x{i} IS NOT NULL THEN 1D ELSE 0D END" for i in run) + " AS n",
+        *[_sum_known(f"_{v}{i} - _b{v}" for i in run) + f" AS _s{v}" for v in "xy"],
+        *[_sum_known(f"(_{a}{i} - _b{a}) * (_{b}{i} - _b{b})" for i in run) + f" AS _s{a}{b}" for a, b in PRODUCTS],
+        "false AS _same")
 
-        def off(v: str, i: int, length: int = length) -> str:
-            return f"(_{v}{i} - _base_{v} - _mean_{v}_{length})"
 
+def _doubled(reads: DataFrame, over: str, window: int | str, widest: int) -> DataFrame:
+    """Sums of windows of any widths from sums of 1, 2, 4, ... reads.
+
+    Sums of twice as many reads are those of a read and of the read that far ahead. A window is
+    put together from the powers of two in its size, the smallest last, while these sums grow: its last
+    part so far is always the window's end. All steps keep the partitioning and order, so there is one
+    shuffle and one sort, however many widths there are. ``_same`` marks a window that knows the same reads as
+    the one before: it lost a missing read and got a missing one.
+    """
+    size = f"({widest} + 1)" if isinstance(window, int) else f"(`{window}` + 1)"
+    rows = reads.selectExpr(
+        "*", "CASE WHEN _x0 IS NULL THEN 0D ELSE 1D END AS _r_n", "_x0 AS _r_bx", "_y0 AS _r_by",
+        *[f"0D AS _r{name}" for name in RUN[3:]], "_x0 IS NULL AS _r_tail",
+        f"coalesce(lag(_x0 IS NULL) {over}, false) AS _head",
+        *[f"CAST(NULL AS double) AS _w{_own(name)}" for name in RUN], "CAST(NULL AS boolean) AS _w_tail")
+    kept = [c for c in reads.columns if c not in ("_x0", "_y0")]
+    parts = [_own(name) for name in RUN] + ["_tail"]
+    length = 1
+    while length <= widest + 1:
+        constant = isinstance(window, int)
+        has = (widest + 1) & length if constant else None
+        grows = length * 2 <= widest + 1
+        low = (widest + 1) % length if constant else None
+        leads = []
+        if grows:
+            leads += [f"lead(_r{p}, {length}) {over} AS _next_r{p}" for p in parts]
+        if length > 1 and (not constant or (has and low)):
+            leads += [f"lead(_w{p}, {length}) {over} AS _next_w{p}" for p in parts]
+        if leads:
+            rows = rows.selectExpr(*[f"`{c}`" for c in kept], "_head", *[f"_r{p}" for p in parts], *[f"_w{p}" for p in parts], *leads)
+        joined = _joined("_r", "_next_w") if length > 1 else {}
+        window_now = {}
+        for p in parts:
+            if constant:
+                window_now[p] = f"_w{p}" if not has else (joined[p] if low else f"_r{p}")
+            else:
+                whole = f"CASE WHEN {size} % {length} = 0 THEN _r{p} ELSE {joined[p]} END" if length > 1 else f"_r{p}"
+                window_now[p] = f"CASE WHEN {size} & {length} != 0 THEN {whole} ELSE _w{p} END"
+        runs_now = _joined("_r", "_next_r") if grows else {p: f"_r{p}" for p in parts}
         rows = rows.selectExpr(
-            "*",
-            *[_sum_known(f"{off(a, i)} * {off(b, i)}" for i in run) + f" AS s{a}{b}_{length}" for a, b in PRODUCTS],
-            *[f"_base_{v} + _mean_{v}_{length} AS {v}_mean_{length}" for v in "xy"])
-    return rows
+            *[f"`{c}`" for c in kept], "_head",
+            *[f"{runs_now[p]} AS _r{p}" for p in parts if grows], *[f"{window_now[p]} AS _w{p}" for p in parts])
+        length *= 2
+    return rows.selectExpr(
+        *[f"`{c}`" for c in kept], "_head AND _w_tail AS _same", *[f"_w{_own(name)} AS {name}" for name in RUN]).where("n IS NOT NULL")
 
 
-def _joined_runs(reads: DataFrame, keys: list[str], over: str, window: int) -> DataFrame:
-    """Line sums of a wider window from the sums of the short runs it consists of.
+def _own(name: str) -> str:
+    return name if name.startswith("_") else f"_{name}"
 
-    A window of 31 reads is five runs of 6 and one of 1. Both steps keep the same
-    partitioning and order, so the second adds neither shuffle nor sort.
-    """
-    size = window + 1
-    length = min(NARROW, round(math.sqrt(size)))
-    count, rest = divmod(size, length)
-    parts = [(length, j * length) for j in range(count)] + ([(rest, count * length)] if rest else [])
-    runs = _run_sums(reads, over, [length, rest] if rest else [length])
-    rows = runs.selectExpr(
-        *[f"`{k}`" for k in keys], "window_start", f"lead(1, {window}) {over} AS _last",
-        *[(f"{name}_{run}" if at == 0 else f"lead({name}_{run}, {at}) {over}") + f" AS _{name}_{at}"
-          for run, at in parts for name in SUMS],
-    ).where("_last IS NOT NULL")
-    places = [at for _, at in parts]
-    rows = rows.selectExpr(
-        "*", _sum(f"_n_{at}" for at in places) + " AS n",
-        *[f"coalesce({', '.join(f'_{v}_mean_{at}' for at in places)}) AS _base_{v}" for v in "xy"])
-    rows = rows.selectExpr("*", *[
-        f"try_divide({_sum_known(f'_n_{at} * (_{v}_mean_{at} - _base_{v})' for at in places)}, n) AS _mean_{v}"
-        for v in "xy"])
-
-    def off(v: str, at: int) -> str:
-        return f"(_{v}_mean_{at} - _base_{v} - _mean_{v})"
-
-    within = {a + b: _sum(f"_s{a}{b}_{at}" for at in places) for a, b in PRODUCTS}
-    between = {a + b: _sum_known(f"_n_{at} * {off(a, at)} * {off(b, at)}" for at in places) for a, b in PRODUCTS}
-    return rows.selectExpr(
-        *[f"`{k}`" for k in keys], "window_start", "n",
-        *[f"{within[ab]} + {between[ab]} AS s{ab}" for ab in within],
-        *[f"_base_{v} + _mean_{v} AS {v}_mean" for v in "xy"])
+
+def _joined(a: str, b: str) -> dict[str, str]:
+    """Sums over two runs, one behind the other, from theirs; NULL where the second does not exist."""
+    dx, dy = (f"coalesce({b}_b{v} - {a}_b{v}, 0D)" for v in "xy")
+    n = f"{b}_n"
+    return {
+        "_n": f"{a}_n + {n}",
+        "_bx": f"coalesce({a}_bx, {b}_bx)", "_by": f"coalesce({a}_by, {b}_by)",
+        "_sx": f"{a}_sx + {b}_sx + {n} * {dx}", "_sy": f"{a}_sy + {b}_sy + {n} * {dy}",
+        "_sxx": f"{a}_sxx + {b}_sxx + {dx} * (2D * {b}_sx + {n} * {dx})",
+        "_sxy": f"{a}_sxy + {b}_sxy + {dx} * {b}_sy + {dy} * {b}_sx + {n} * {dx} * {dy}",
+        "_syy": f"{a}_syy + {b}_syy + {dy} * (2D * {b}_sy + {n} * {dy})",
+        "_tail": f"{b}_tail",
+    }
 
 
 def _names(columns: list[str]) -> str:
@@ -214,26 +247,23 @@ def _sum_known(terms) -> str:
     return _sum(f"coalesce({t}, 0D)" for t in terms)
 
 
+def by_condition(condition: str, values: dict[str, object], otherwise: object = None) -> Column:
+    """A setting that depends on the value of a column."""
+    names: dict[object, list[str]] = {}
+    for name, value in values.items():
+        names.setdefault(value, []).append(name)
+    rest = F.lit(otherwise)
+    return reduce(lambda rest, one: F.when(F.col(condition).isin(one[1]), F.lit(one[0])).otherwise(rest), names.items(), rest)
+
+
 def sliding_fit_by(
     df: DataFrame, condition: str, windows: dict[str, int], keys: list[str], order: list[str],
     x: str, y: str, *, longest: int | None = None,
 ) -> DataFrame:
-    """Sliding fits whose width depends on a condition: one fit per distinct width."""
-    by_width: dict[int, list[str]] = {}
-    for name, width in windows.items():
-        by_width.setdefault(width, []).append(name)
+    """Sliding fits whose width (``window`` in the result) depends on a condition, all in one pass over the reads."""
+    reads = df.where(F.col(condition).isin(list(windows))).withColumn("window", by_condition(condition, windows))
     series = list(dict.fromkeys([condition, *keys]))
-    sizes = None
-    if longest is None or longest > scale.GROUP_ROWS:
-        # Counted once for all widths; only the heavy series are kept.
-        sizes = scale.settle(scale.group_sizes(df, series).where(F.col("_rows") > scale.GROUP_ROWS))
-    parts = []
-    for width, names in by_width.items():
-        of_width = F.col(condition).isin(names)
-        fits = sliding_fit(df.where(of_width), series, order, x, y, width, longest=longest,
-                           sizes=None if sizes is None else sizes.where(of_width))
-        parts.append(fits.withColumn("window", F.lit(width)))
-    return reduce(DataFrame.unionByName, parts)
+    return sliding_fit(reads, series, order, x, y, "window", widest=max(windows.values()), longest=longest)
 
 
 def best_window(

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ratewell.functions.clock import clock_minutes, whole_minutes
+from ratewell.functions.lines import intercept, line_sums, r_squared, slope
 from ratewell.operators import rates
 
 SCHEMA = "series string, pos int, x double, y double"
@@ -87,24 +89,80 @@ def test_constant_time_has_no_slope(spark):
     assert rates.best_window(fits, ["series"]).count() == 0
 
 
-@pytest.mark.parametrize("window", [1, 5, 7, 8, 13, 20, 30, 62])
-def test_short_runs_agree_with_frames(spark, monkeypatch, window):
-    rng = np.random.default_rng(window)
-    points = [(x, None if i % 9 == 4 else y) for i, (x, y) in enumerate(
-        zip(np.cumsum(rng.uniform(0.5, 3, 120)) + 1e6, rng.normal(0, 10, 120)))]
-    points[40:75] = [(x, None) for x, _ in points[40:75]]
-    df = frame(spark, {"s": points})
-    runs = by_series(rates.sliding_fit(df, ["series"], ["pos"], "x", "y", window, longest=120))["s"]
-    monkeypatch.setattr(rates, "NARROW", 0)
-    frames = by_series(rates.sliding_fit(df, ["series"], ["pos"], "x", "y", window, longest=120))["s"]
-    assert len(runs) == len(frames) == 120 - window
-    for a, b in zip(runs, frames):
-        assert (a["window_start"], a["n"]) == (b["window_start"], b["n"])
+def with_gaps(seed, length=120, whole=False):
+    rng = np.random.default_rng(seed)
+    y = rng.integers(0, 9, length) if whole else rng.normal(0, 10, length)
+    x = np.cumsum(rng.integers(1, 4, length)) if whole else np.cumsum(rng.uniform(0.5, 3, length)) + 1e6
+    points = [(a, None if i % 9 == 4 else b) for i, (a, b) in enumerate(zip(x, y))]
+    points[40:75] = [(a, None) for a, _ in points[40:75]]
+    return points
+
+
+def fits_of(spark, points, window, **options):
+    return by_series(rates.sliding_fit(frame(spark, {"s": points}), ["series"], ["pos"], "x", "y", window, **options))["s"]
+
+
+@pytest.mark.parametrize("window", [1, 5, 7, 8, 13, 20, 30, 62, 100])
+def test_sums_agree_with_frames(spark, window):
+    df = frame(spark, {"s": with_gaps(window)})
+    ours = by_series(rates.sliding_fit(df, ["series"], ["pos"], "x", "y", window, longest=120))["s"]
+    over = Window.partitionBy("series").orderBy("pos").rowsBetween(0, window)
+    frames = df.select("pos", *line_sums(F.col("x"), F.col("y"), over)).select(
+        "pos", "n", slope().alias("slope"), r_squared().alias("r2"), intercept().alias("intercept")).orderBy("pos").collect()
+    assert len(ours) == 120 - window
+    for a, b in zip(ours, frames):
+        assert (a["window_start"], a["n"]) == (b["pos"] + 1, b["n"])
         for name in ("slope", "r2"):
             assert a[name] == (None if b[name] is None else pytest.approx(b[name], rel=1e-8, abs=1e-9))
         assert (a["intercept"] is None) == (b["intercept"] is None)
 
 
+@pytest.mark.parametrize("window", [3, 5, 9, 20, 70])
+@pytest.mark.parametrize("options", [{"longest": 120}, {"group_rows": 50, "chunk_rows": 25}])
+def test_same_known_reads_give_the_same_bits(spark, window, options):
+    points, lines, ties = with_gaps(window), {}, 0
+    # A window that loses a missing read and gets one; 24 and 49 lie where a chunk ends.
+    for lost in (2, 24, 35, 48, 49):
+        for i in (lost, lost + window + 1):
+            points[i : i + 1] = [(x, None) for x, _ in points[i : i + 1]]
+    for r in fits_of(spark, points, window, **options):
+        start = r["window_start"] - 1
+        reads = tuple(p for p in points[start : start + window + 1] if p[1] is not None)
+        line = (r["slope"], r["intercept"], r["r2"])
+        ties += len(reads) > 1 and reads in lines
+        assert lines.setdefault(reads, line) == line
+    assert ties > 0
+
+
+@pytest.mark.parametrize("window", [3, 5, 7])
+def test_whole_numbers_are_exact_on_every_path(spark, monkeypatch, window):
+    points = with_gaps(window, whole=True)
+    beside = fits_of(spark, points, window, longest=120)
+    monkeypatch.setattr(rates, "NARROW", 0)
+    assert [r.asDict() for r in fits_of(spark, points, window, longest=120)] == [r.asDict() for r in beside]
+    assert [r.asDict() for r in fits_of(spark, points, window, group_rows=50, chunk_rows=25)] == [r.asDict() for r in beside]
+    for r in beside:
+        reads = [p for p in points[r["window_start"] - 1 : r["window_start"] + window] if p[1] is not None]
+        n, sx, sy = len(reads), sum(int(x) for x, _ in reads), sum(int(y) for _, y in reads)
+        below = n * sum(int(x) ** 2 for x, _ in reads) - sx * sx
+        above = n * sum(int(x) * int(y) for x, y in reads) - sx * sy
+        assert r["slope"] == (above / below if below else None)
+
+
+def test_widths_by_condition_in_one_shuffle(spark):
+    df = frame(spark, {s: with_gaps(i) for i, s in enumerate("abcd")})
+    widths = {"a": 1, "b": 6, "c": 17, "d": 40}
+    fits = rates.sliding_fit_by(df, "series", widths, ["series"], ["pos"], "x", "y", longest=120)
+    plan = fits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and plan.count("Scan") == 1
+    got = by_series(fits)
+    for i, s in enumerate("abcd"):
+        alone = by_series(rates.sliding_fit(df, ["series"], ["pos"], "x", "y", widths[s], longest=120))[s]
+        assert [(r["window_start"], r["n"], r["window"]) for r in got[s]] == [(r["window_start"], r["n"], widths[s]) for r in alone]
+        for a, b in zip(got[s], alone):
+            assert a["slope"] == (None if b["slope"] is None else pytest.approx(b["slope"], rel=1e-9))
+
+
 @pytest.mark.parametrize("window", [5, 30, 62])
 def test_constant_series_has_exactly_no_spread(spark, window):
     df = frame(spark, {"s": [(i * 0.1, 2.1) for i in range(80)]})
@@ -112,7 +170,7 @@ def test_constant_series_has_exactly_no_spread(spark, window):
     assert all(r["slope"] == 0 and r["r2"] is None for r in fits) and len(fits) == 80 - window
 
 
-@pytest.mark.parametrize("window", [5, 30])
+@pytest.mark.parametrize("window", [5, 30, 100])
 def test_fit_sorts_and_shuffles_once(spark, window):
     df = frame(spark, {"s": [(i, i) for i in range(40)]})
     fits = rates.sliding_fit(df, ["series"], ["pos"], "x", "y", window, longest=40)
