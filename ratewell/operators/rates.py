@@ -30,12 +30,14 @@ def elapsed_minutes(df: DataFrame, keys: list[str], time: str, out: str = "minut
     )
 
 
-def force_last_minute(df: DataFrame, keys: list[str], minutes: str = "minutes", value: float = 60.0) -> DataFrame:
-    """Set the last read time of an assay to a fixed minute."""
+def force_last_minute(
+    df: DataFrame, keys: list[str], minutes: str = "minutes", value: float | Column = 60.0
+) -> DataFrame:
+    """Set the last read time of an assay to a fixed minute; where that is NULL it stays."""
     last = df.groupBy(*keys).agg(F.max(minutes).alias("_last"))
     return (
         scale.join_dimension(df, last, keys)
-        .withColumn(minutes, F.when(F.col(minutes) == F.col("_last"), F.lit(value)).otherwise(F.col(minutes)))
+        .withColumn(minutes, F.coalesce(F.when(F.col(minutes) == F.col("_last"), value), F.col(minutes)))
         .drop("_last")
     )
 

@@ -7,7 +7,6 @@ Reads come in long form: key columns, ``label``, ``minutes``, ``absorbance``.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +78,33 @@ def steepest(
     return reads, fits, rates.best_window(fits, by, settings.min_r2, settings.min_slope, longest=longest)
 
 
+def steepest_by(
+    progress: DataFrame, keys: list[str], series: str, value: str, condition: str, own: dict[str, RateSettings],
+    rest: RateSettings,
+):
+    """As ``steepest``, with settings by the value of ``condition``, one of ``keys``; all in one pass over the reads."""
+    every = [rest, *own.values()]
+
+    def setting(name: str, kind: str) -> Column:
+        values = {of: getattr(each, name) for of, each in own.items()}
+        return rates.by_condition(condition, values, getattr(rest, name)).cast(kind)
+
+    if any(each.last_minute is not None for each in every):
+        progress = rates.force_last_minute(progress, keys, "minutes", setting("last_minute", "double"))
+    by, order = [*keys, series], ["minutes"]
+    first, last = min(each.first_read for each in every), max(each.last_read for each in every)
+    reads = rates.trim_reads(progress, by, order, first, last, out="_place").where(
+        F.col("_place").between(setting("first_read", "bigint"), setting("last_read", "bigint"))).drop("_place")
+    widths, longest = {each.window for each in every}, last - first + 1
+    window = "_window" if len(widths) > 1 else widths.pop()
+    fits = rates.sliding_fit(
+        reads.withColumn("_window", setting("window", "int")), by, order, "minutes", value, window,
+        widest=max(each.window for each in every), longest=longest).drop("_window")
+    min_r2, min_slope = setting("min_r2", "double"), setting("min_slope", "double")
+    good = fits.where((min_r2.isNull() | (F.col("r2") >= min_r2)) & (min_slope.isNull() | (F.col("slope") > min_slope)))
+    return reads, fits, rates.best_window(good, by, longest=longest)
+
+
 def kinetic_assay(
     reads: DataFrame,
     keys: list[str],
@@ -114,7 +140,7 @@ def condition_assay(
 
     The condition (pH, temperature) is one of ``keys``. ``by_condition`` gives values of the
     column ``condition`` a trim, width and gates of their own; all others take
-    ``settings``. The progress curves are settled then, so the reads are scanned once.
+    ``settings``.
     """
     line = standard_curve(reads, keys, standards) if calibration is None else calibration
     samples = reads.where(F.col("label").isNotNull() & ~F.col("label").rlike(exclude))
@@ -122,13 +148,7 @@ def condition_assay(
     progress = controls.subtract_control(amounts, [*keys, "minutes"], "label", "nmol", pairs)
     if by_condition is None:
         return AssayResult(line, progress, *steepest(progress, keys, "id", "mean", settings))
-    progress = scale.settle(progress)
-    named = F.coalesce(F.col(condition).isin(list(by_condition)), F.lit(False))
-    parts = [steepest(progress.where(~named), keys, "id", "mean", settings)]
-    for each in dict.fromkeys(by_condition.values()):
-        names = [name for name, own in by_condition.items() if own == each]
-        parts.append(steepest(progress.where(F.col(condition).isin(names)), keys, "id", "mean", each))
-    return AssayResult(line, progress, *[reduce(DataFrame.unionByName, tables) for tables in zip(*parts)])
+    return AssayResult(line, progress, *steepest_by(progress, keys, "id", "mean", condition, by_condition, settings))
 
 
 def stability_assay(
