@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratewell import scale
+from ratewell.functions import distributions
 from ratewell.functions.lines import intercept, inverse_prediction, known, line_sums, r_squared, slope
 from ratewell.functions.text import token
 
@@ -25,7 +26,7 @@ def fit_line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Least-squares line of ``y`` on ``x`` per key, with its summary statistics.
 
     One aggregation that combines in the map tasks. Standard errors need three
-    points and are NULL below that.
+    points and are NULL below that. ``with_p_values`` adds probabilities.
     """
     fx, fy = known(F.col(x).cast("double")), known(F.col(y).cast("double"))
     paired = fx.isNotNull() & fy.isNotNull()
@@ -52,19 +53,41 @@ def fit_line(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     )
 
 
-def fitted_line(fit: DataFrame, points: int = 80, t_critical: float | None = None) -> DataFrame:
-    """Fitted values on an even grid over the fitted range, with a band if ``t_critical`` is given."""
+def with_p_values(fit: DataFrame) -> DataFrame:
+    """Lines with ``p_m``, ``p_b``, ``p_f``: how probable t and F at least as extreme are without a slope, intercept or line.
+
+    NULL where there are no degrees of freedom or the line leaves nothing over.
+    """
+    freedom = F.when(F.col("n") > 2, F.col("n") - 2)
+    return fit.withColumns({
+        "p_m": distributions.t_two_sided(F.col("t_m"), freedom),
+        "p_b": distributions.t_two_sided(F.col("t_b"), freedom),
+        "p_f": distributions.f_upper(F.col("f"), freedom)})
+
+
+def fitted_line(
+    fit: DataFrame, points: int = 80, t_critical: float | None = None, level: float | None = None
+) -> DataFrame:
+    """Fitted values on an even grid over the fitted range, with a confidence band for the line.
+
+    ``level`` (0.95) asks for a band by each line's own degrees of freedom, ``t_critical`` gives the critical value.
+    """
+    if t_critical is not None and level is not None:
+        raise ValueError("give a level or a critical value, not both")
+    if level is not None:
+        fit = fit.withColumn("_critical", distributions.t_critical(level, F.when(F.col("n") > 2, F.col("n") - 2)))
     step = (F.col("x_max") - F.col("x_min")) / (points - 1)
     grid = (
         fit.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", F.col("x_min") + step * F.col("point"))
         .withColumn("fit", F.col("b") + F.col("m") * F.col("x"))
     )
-    if t_critical is None:
+    if t_critical is None and level is None:
         return grid
+    critical = F.lit(t_critical) if level is None else F.col("_critical")
     off = F.col("x") - F.col("x_mean")
-    half = F.lit(t_critical) * F.col("residual_se") * F.sqrt(1 / F.col("n") + F.try_divide(off * off, F.col("sxx")))
-    return grid.withColumn("lower", F.col("fit") - half).withColumn("upper", F.col("fit") + half)
+    half = critical * F.col("residual_se") * F.sqrt(1 / F.col("n") + F.try_divide(off * off, F.col("sxx")))
+    return grid.withColumn("lower", F.col("fit") - half).withColumn("upper", F.col("fit") + half).drop("_critical")
 
 
 def apply_calibration(df: DataFrame, fit: DataFrame, on: list[str], value: str, out: str = "nmol") -> DataFrame:

@@ -41,6 +41,51 @@ def fitted_line(spark: SparkSession, folder: str) -> DataFrame:
     return band.withColumns(rounded(digits)).select(*KEY, "point", *digits)
 
 
+def _small_fits(spark: SparkSession, folder: str) -> DataFrame:
+    """One line per order, of those with 3, 4 or 6 items: 1, 2 or 4 degrees of freedom have closed forms."""
+    fits = calibrate.fit_line(table(spark, folder, "lineitem"), ["l_orderkey"], X, Y)
+    return fits.where(F.col("n").isin(3, 4, 6) & F.col("t_m").isNotNull())
+
+
+def fit_p_values(spark: SparkSession, folder: str) -> DataFrame:
+    return calibrate.with_p_values(_small_fits(spark, folder)).select("l_orderkey", "n", *[F.round(c, 9).alias(c) for c in ("p_m", "p_b", "p_f")])
+
+
+def fitted_band(spark: SparkSession, folder: str) -> DataFrame:
+    """95 % band of each order's line at both ends of its range."""
+    band = calibrate.fitted_line(_small_fits(spark, folder), points=2, level=0.95)
+    return band.select("l_orderkey", "point", *[F.round(c, 3).alias(c) for c in ("lower", "upper")])
+
+
+SMALL_CTE = """WITH s AS (
+  SELECT l_orderkey, regr_slope(l_extendedprice, l_quantity) AS m, regr_intercept(l_extendedprice, l_quantity) AS b,
+         CAST(count(*) AS BIGINT) AS n, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy,
+         regr_sxy(l_extendedprice, l_quantity) AS sxy, avg(l_quantity) AS mx, min(l_quantity) AS x_min, max(l_quantity) AS x_max
+  FROM lineitem GROUP BY l_orderkey HAVING count(*) IN (3, 4, 6) AND regr_sxx(l_extendedprice, l_quantity) > 0),
+line AS (SELECT *, sqrt((syy - m * sxy) / (n - 2)) AS s FROM s WHERE syy - m * sxy > 0),
+t AS (SELECT *, abs(m) / (s / sqrt(sxx)) AS t_m, abs(b) / (s * sqrt(1 / n + mx * mx / sxx)) AS t_b FROM line)"""
+
+
+def _tail_sql(t: str) -> str:
+    """Two-sided tails in closed form for 1, 2 and 4 degrees of freedom."""
+    return f"""CASE n WHEN 3 THEN 2 / pi() * atan2(1, {t}) WHEN 4 THEN 1 - {t} / sqrt(2 + {t} * {t})
+  ELSE 1 - {t} / sqrt(4 + {t} * {t}) * (1 + 2 / (4 + {t} * {t})) END"""
+
+
+# 95 % critical values from the quantile functions for 1, 2 and 4 degrees of freedom.
+CRITICAL_SQL = """CASE n WHEN 3 THEN tan(pi() * 0.475::DOUBLE) WHEN 4 THEN 0.95::DOUBLE * sqrt(2 / (1 - 0.95::DOUBLE * 0.95))
+  ELSE 2 * sqrt(cos(acos(sqrt(4 * 0.025::DOUBLE * 0.975)) / 3) / sqrt(4 * 0.025::DOUBLE * 0.975) - 1) END"""
+
+P_VALUES_SQL = f"""{SMALL_CTE}
+SELECT l_orderkey, n, round({_tail_sql('t_m')}, 9) AS p_m, round({_tail_sql('t_b')}, 9) AS p_b, round({_tail_sql('t_m')}, 9) AS p_f FROM t"""
+
+BAND_SQL = f"""{SMALL_CTE},
+grid AS (SELECT *, CAST(unnest([0, 1]) AS INTEGER) AS point, {CRITICAL_SQL} AS c FROM line),
+x AS (SELECT *, CASE point WHEN 0 THEN x_min ELSE x_max END AS x FROM grid),
+h AS (SELECT *, b + m * x AS fit, c * s * sqrt(1 / n + (x - mx) * (x - mx) / sxx) AS half FROM x)
+SELECT l_orderkey, point, round(fit - half, 3) AS lower, round(fit + half, 3) AS upper FROM h"""
+
+
 def calibrated(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", *KEY, Y)
     return calibrate.apply_calibration(rows, _fit(spark, folder), KEY, Y).withColumns(rounded({"nmol": 4}))
@@ -144,6 +189,8 @@ def attach_null_group(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "fit_p_values": Query(fit_p_values, P_VALUES_SQL),
+    "fitted_band": Query(fitted_band, BAND_SQL),
     "standard_curve_nan": Query(standard_curve_nan, """
 WITH r AS (SELECT l_returnflag, l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_linenumber <> 5 AND l_orderkey % 11 <> 0)
 SELECT l_returnflag, CAST(regr_count(y, x) AS BIGINT) AS n, round(regr_intercept(y, x), 4) AS b, round(regr_slope(y, x), 6) AS m,
