@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratewell import scale
+from ratewell.functions.lines import known
 from ratewell.functions.text import clean_names, contains_any
 
 
@@ -29,8 +31,9 @@ def drop_labels_containing(df: DataFrame, label: str, needles: list[str]) -> Dat
 
 
 def cast_text(df: DataFrame, columns: list[str], to: str = "double") -> DataFrame:
-    """Cast text columns; what is not a number becomes NULL."""
-    return df.withColumns({c: F.col(c).try_cast(to) for c in columns})
+    """Cast text columns; what is not a number becomes NULL, and so does the text NaN."""
+    numbers = {c: F.col(c).try_cast(to) for c in columns}
+    return df.withColumns({c: known(v) if to in ("double", "float") else v for c, v in numbers.items()})
 
 
 def drop_header_rows(df: DataFrame, column: str, header: str) -> DataFrame:
@@ -44,9 +47,9 @@ def drop_incomplete_reads(reads: DataFrame, wells: str = "wells") -> DataFrame:
 
 
 def drop_incomplete_long(df: DataFrame, read: list[str], value: str) -> DataFrame:
-    """Long form: drop all wells of a read in which any well is empty."""
+    """Long form: drop all wells of a read in which any well is empty; a NULL in ``read`` is a value like others."""
     gaps = df.where(F.col(value).isNull()).select(*read).distinct()
-    return df.join(gaps, read, "left_anti")
+    return scale.join_dimension(df, gaps, read, "left_anti")
 
 
 def melt(df: DataFrame, ids: list[str], values: list[str], variable: str = "variable", value: str = "value") -> DataFrame:
@@ -55,5 +58,5 @@ def melt(df: DataFrame, ids: list[str], values: list[str], variable: str = "vari
 
 
 def spread(df: DataFrame, ids: list[str], variable: str, names: list, value: str) -> DataFrame:
-    """Long to wide for a known list of series, averaging repeats."""
-    return df.groupBy(*ids).pivot(variable, names).agg(F.avg(value))
+    """Long to wide for a known list of series, averaging the repeats that are numbers."""
+    return df.groupBy(*ids).pivot(variable, names).agg(F.avg(known(value)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratewell import scale
+from ratewell.functions.lines import known
 from ratewell.functions.text import first_number, half_unit
 from ratewell.operators.cleaning import cast_text, drop_header_rows
 
@@ -17,10 +18,11 @@ def clean_rates(rates: DataFrame, rate: str = "max_slope", drop: tuple[str, ...]
 
 
 def response_curve(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Curve points: mean, sample sd, mean - sd, mean + sd, count."""
+    """Curve points: mean, sample sd, mean - sd, mean + sd, count, over the values that are neither NULL nor NaN."""
+    number = known(value)
     return (
         df.groupBy(*keys).agg(
-            F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
+            F.avg(number).alias("mean"), F.stddev_samp(number).alias("sd"), F.count(number).alias("n"))
         .withColumn("lo", F.col("mean") - F.col("sd"))
         .withColumn("hi", F.col("mean") + F.col("sd"))
     )

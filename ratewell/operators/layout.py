@@ -36,12 +36,12 @@ def label_wells(observations: DataFrame, plate_map: DataFrame, keys: list[str])
 
 
 def layout_check(instrument: DataFrame, template: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Pair instrument and template names by position and say what has no partner."""
+    """Pair instrument and template names by position and say what has no partner; NULL keys match NULL keys."""
     left = instrument.select(*keys, position, "instrument_name")
     right = template.select(*keys, position, "template_name")
     state = (F.when(F.col("template_name").isNull(), "no template")
              .when(F.col("instrument_name").isNull(), "no well").otherwise("paired"))
-    return left.join(right, [*keys, position], "full").withColumn("state", state)
+    return scale.match_keys(left, right, [*keys, position], "full").withColumn("state", state)
 
 
 def unique_labels(
@@ -111,16 +111,16 @@ def wells_near_match(
     """Wells picked relative to a label match.
 
     Keeps the matching wells, the wells ``before[0]``..``before[1]`` places ahead of
-    the first match, and the wells ``after`` places behind each match.
+    the first match, and the wells ``after`` places behind each match. NULL keys are a plate
+    like others; a well may have any number of rows.
     """
     flagged = wells.withColumn("_match", F.coalesce(is_match, F.lit(False)))
     matches = flagged.where("_match")
     first = matches.groupBy(*keys).agg(F.min("well_idx").alias("_first"))
-    behind = matches.select(*keys, (F.col("well_idx") + after).alias("well_idx"), F.lit(True).alias("_behind"))
+    behind = matches.select(*keys, (F.col("well_idx") + after).alias("well_idx"), F.lit(True).alias("_behind")).distinct()
     ahead = F.col("well_idx").between(F.col("_first") - before[0], F.col("_first") - before[1])
     return (
-        scale.join_dimension(flagged, first, keys)
-        .join(behind, [*keys, "well_idx"], "left")
+        scale.join_dimension(scale.join_dimension(flagged, first, keys), behind, [*keys, "well_idx"], "left")
         .where(F.col("_match") | ahead | F.coalesce("_behind", F.lit(False)))
         .drop("_match", "_behind", "_first")
     )

@@ -79,14 +79,19 @@ def fits_broadcast(df: DataFrame, limit: int) -> bool:
 
 
 def match_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equi-join on ``keys`` where NULL matches NULL; keeps the left key columns."""
+    """Equi-join on ``keys`` where NULL matches NULL; keeps one set of key columns, in a full or right join of either side."""
     other = right.withColumnsRenamed({k: f"_match_{k}" for k in keys})
     same = reduce(
         lambda a, b: a & b,
         [left[k].eqNullSafe(other[f"_match_{k}"]) for k in keys],
     )
     joined = left.join(other, same, how)
-    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_match_{k}" for k in keys])
+    if how in ("left_semi", "left_anti"):
+        return joined
+    if how in ("full", "right"):
+        # A row of the right side alone has NULL in the left keys.
+        joined = joined.withColumns({k: F.coalesce(left[k], other[f"_match_{k}"]) for k in keys})
+    return joined.drop(*[f"_match_{k}" for k in keys])
 
 
 class HeavySplit(NamedTuple):

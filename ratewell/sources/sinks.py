@@ -12,7 +12,8 @@ def write_rates(rates: DataFrame, path: str, partition_by: list[str] | None = No
     """Rates from fast to slow, in folders per assay if asked.
 
     With folders the rows are grouped by folder and rate by a range shuffle, so a
-    large assay is written by several tasks.
+    large assay is written by several tasks. Only folders that the rates have rows for are replaced, once
+    all tasks are done; folders of other assays or amounts stay. Without folders the whole path is replaced.
     """
     fastest = F.col("max_slope").desc()
     ordered = (rates.orderBy(fastest) if not partition_by else
@@ -20,11 +21,13 @@ def write_rates(rates: DataFrame, path: str, partition_by: list[str] | None = No
     writer = ordered.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
-    (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
+    if partition_by:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
+    writer.save(path)
 
 
 def write_normalised(rates: DataFrame, path: str, amount: str = "enzyme_ul") -> None:
-    """Normalised rates in one folder per enzyme amount."""
+    """Normalised rates in one folder per enzyme amount; amounts written before stay."""
     write_rates(rates, path, [amount])
 
 

@@ -158,6 +158,22 @@ def drop_incomplete(spark: SparkSession, folder: str) -> DataFrame:
     return joined.na.drop("any").select("event_id", "user_id", "value", "quality", "toxic")
 
 
+def drop_incomplete_long(spark: SparkSession, folder: str) -> DataFrame:
+    """Reads of an hour and user go if one of them has no value; some hours are unknown."""
+    reads = events(spark, folder).select(
+        "event_id", F.when(F.hour("ts") > 2, F.hour("ts")).alias("hour"), F.col("user_id") % 50,
+        F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("value")).toDF("event_id", "hour", "plate", "value")
+    return cleaning.drop_incomplete_long(reads, ["hour", "plate"], "value").select("event_id", "hour", "plate")
+
+
+def pivot_series_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fifth value is NaN, which counts as missing."""
+    reads = events(spark, folder).withColumn("day", F.to_date("ts").cast("string")).withColumn(
+        "y", F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    names = ["click", "error"]
+    return cleaning.spread(reads, ["day"], "event_type", names, "y").withColumns(rounded({n: 8 for n in names}))
+
+
 def header_row_cleanup(spark: SparkSession, folder: str) -> DataFrame:
     text = table(spark, folder, "events").select(*[F.col(c).cast("string").alias(c) for c in ("event_id", "event_type", "value")])
     header = spark.createDataFrame([("event_id", "event_type", "value")], text.schema)
@@ -254,5 +270,14 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, """ + ", ".join(
 SELECT event_id, user_id, value, quality, toxic FROM events JOIN labels ON event_id = doc_id
 WHERE value IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL AND props IS NOT NULL
   AND event_type IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL"""),
+    "drop_incomplete_long": Query(drop_incomplete_long, """WITH r AS (
+  SELECT event_id, CAST(CASE WHEN hour(ts) > 2 THEN hour(ts) END AS INTEGER) AS hour, user_id % 50 AS plate,
+         CASE WHEN event_id % 97 <> 0 THEN value END AS value FROM events)
+SELECT event_id, hour, plate FROM (SELECT *, count(*) OVER w = count(value) OVER w AS whole FROM r WINDOW w AS (PARTITION BY hour, plate))
+WHERE whole"""),
+    "pivot_series_nan": Query(pivot_series_nan, """
+SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
+       round(avg(value) FILTER (WHERE event_type = 'click' AND event_id % 5 <> 0), 8) AS click,
+       round(avg(value) FILTER (WHERE event_type = 'error' AND event_id % 5 <> 0), 8) AS error FROM events GROUP BY 1"""),
     "header_row_cleanup": Query(header_row_cleanup, "SELECT event_id, event_type, value FROM events"),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ratewell import scale
 from ratewell.functions.text import half_unit
 from ratewell.operators import curves, normalize
+from ratewell.operators.cleaning import cast_text
 from ratewell.table_queries.common import Query, rounded, table
 
 PER_NMOL = 27.02703
@@ -65,6 +66,13 @@ def response_curve(spark: SparkSession, folder: str) -> DataFrame:
     return curves.temperature_curve(table(spark, folder, "part"), "p_brand", "p_retailprice").withColumns(rounded(CURVE))
 
 
+def response_curve_nan(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices come as text, every eleventh as the text NaN."""
+    text = F.when(F.col("p_partkey") % 11 == 0, F.lit("NaN")).otherwise(F.col("p_retailprice").cast("string"))
+    parts = cast_text(table(spark, folder, "part").withColumn("price", text), ["price"])
+    return curves.temperature_curve(parts, "p_brand", "price").withColumns(rounded(CURVE))
+
+
 def half_unit_repair(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part").select("p_partkey", "p_size", half_unit("p_size").alias("ph"))
 
@@ -132,6 +140,9 @@ WITH ref AS (SELECT o_orderpriority, avg(o_totalprice) AS r FROM orders WHERE o_
 SELECT o.o_orderpriority, o_orderstatus, round(avg(o_totalprice), 4) AS mean_slope, round(avg(o_totalprice / r), 6) AS mean_fc
 FROM orders o JOIN ref ON o.o_orderpriority = ref.o_orderpriority WHERE o_orderstatus IN ('F', 'O') GROUP BY 1, 2"""),
     "response_curve": Query(response_curve, f"SELECT {BRAND_NUMBER} AS temperature, {CURVE_SQL} FROM part GROUP BY 1"),
+    "response_curve_nan": Query(response_curve_nan, f"""
+SELECT {BRAND_NUMBER} AS temperature, {CURVE_SQL.replace('p_retailprice', 'price').replace('count(*)', 'count(price)')}
+FROM (SELECT p_brand, CASE WHEN p_partkey % 11 <> 0 THEN p_retailprice END AS price FROM part) GROUP BY 1"""),
     "half_unit_repair": Query(half_unit_repair, """
 SELECT p_partkey, p_size, CASE WHEN p_size BETWEEN 10 AND 99 AND p_size % 10 = 5 THEN p_size / 10.0::DOUBLE
        ELSE CAST(p_size AS DOUBLE) END AS ph FROM part"""),

@@ -61,6 +61,28 @@ def layout_check(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.na.fill("", ["instrument_name", "template_name"])
 
 
+def _wells_without_plate(spark: SparkSession, folder: str) -> DataFrame:
+    """Wells in which every seventh plate has no id, which makes one more plate of all of these."""
+    wells = _wells(spark, folder)
+    return wells.groupBy(F.when(F.col("vec_id") % 7 != 0, F.col("vec_id")).alias("plate"), "well_idx").agg(F.max("value").alias("value"))
+
+
+def layout_check_null_plate(spark: SparkSession, folder: str) -> DataFrame:
+    wells = _wells_without_plate(spark, folder).withColumnRenamed("well_idx", "position").withColumn("name", F.col("position").cast("string"))
+    instrument = wells.where(F.col("position") > 0).withColumnRenamed("name", "instrument_name")
+    template = wells.where(F.col("value") >= 0).withColumnRenamed("name", "template_name")
+    return layout.layout_check(instrument, template, ["plate"], "position").select("plate", "position", "state")
+
+
+def wells_near_match_null_plate(spark: SparkSession, folder: str) -> DataFrame:
+    near = layout.wells_near_match(_wells_without_plate(spark, folder), ["plate"], F.col("value") > 0.3)
+    return near.select("plate", "well_idx")
+
+
+NULL_PLATE_SQL = f"""w AS (SELECT CASE WHEN vec_id % 7 <> 0 THEN vec_id END AS plate, well_idx, max(value) AS value
+  FROM ({WELLS_SQL}) GROUP BY ALL)"""
+
+
 def label_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "part").select("p_partkey", "p_type", "p_name")
     numbered = layout.unique_labels(parts, ["p_type"], "p_name", ["p_partkey"])
@@ -95,6 +117,15 @@ SELECT vec_id, well_idx AS position, CASE WHEN well_idx > 0 THEN well ELSE '' EN
        CASE WHEN value >= 0 THEN 's' || CAST(label AS VARCHAR) ELSE '' END AS template_name,
        CASE WHEN value < 0 THEN 'no template' WHEN well_idx = 0 THEN 'no well' ELSE 'paired' END AS state
 FROM w WHERE well_idx > 0 OR value >= 0"""),
+    "layout_check_null_plate": Query(layout_check_null_plate, f"""WITH {NULL_PLATE_SQL}
+SELECT plate, well_idx AS position,
+       CASE WHEN value < 0 THEN 'no template' WHEN well_idx = 0 THEN 'no well' ELSE 'paired' END AS state
+FROM w WHERE well_idx > 0 OR value >= 0"""),
+    "wells_near_match_null_plate": Query(wells_near_match_null_plate, f"""WITH {NULL_PLATE_SQL},
+g AS (SELECT *, min(CASE WHEN value > 0.3 THEN well_idx END) OVER (PARTITION BY plate) AS first,
+             coalesce(lag(value, 3) OVER (PARTITION BY plate ORDER BY well_idx) > 0.3, FALSE) AS behind FROM w)
+SELECT plate, well_idx FROM g
+WHERE first IS NOT NULL AND (value > 0.3 OR behind OR well_idx BETWEEN first - 12 AND first - 7)"""),
     "label_dedupe": Query(label_dedupe, """
 SELECT p_partkey, p_type, unique_label, regexp_replace(unique_label, '\\.[0-9]', '', 'g') AS collapsed
 FROM (SELECT p_partkey, p_type, CASE WHEN k = 1 THEN p_name ELSE p_name || '.' || CAST(k - 1 AS VARCHAR) END AS unique_label

@@ -44,6 +44,12 @@ def test_enzyme_amount(spark):
     assert spark.range(1).select(amount).first()[0] == pytest.approx(0.08356673458996179, rel=1e-12)
 
 
+def test_nan_is_left_out_of_a_curve(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", float("nan")), ("a", None)], "k string, rate double")
+    row = curves.response_curve(df, ["k"], "rate").first()
+    assert (row["mean"], row["n"]) == (2.0, 2) and row["lo"] == pytest.approx(2 - 2 ** 0.5)
+
+
 def test_ph_curve(spark):
     rows = [(f"{c}.csv", f"mean_{i}", str(v), c) for c, values in PH_RATES.items() for i, v in enumerate(values, 1)]
     rows += [(f"{c}.csv", "org", "max_slope", "pH") for c in PH_RATES]

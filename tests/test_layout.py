@@ -64,6 +64,14 @@ def test_layout_check_shows_both_sides(spark):
     assert {(r["position"], r["state"]) for r in got} == {(0, "no template"), (1, "paired"), (2, "no well")}
 
 
+def test_layout_check_of_a_plate_without_id(spark):
+    instrument = spark.createDataFrame([(None, 0, "A1"), (None, 1, "A2")], "plate_id string, position int, instrument_name string")
+    template = spark.createDataFrame([(None, 1, "x"), ("q", None, "y")], "plate_id string, position int, template_name string")
+    got = layout.layout_check(instrument, template, ["plate_id"], "position").collect()
+    assert {(r["plate_id"], r["position"], r["state"]) for r in got} == {
+        (None, 0, "no template"), (None, 1, "paired"), ("q", None, "no well")}
+
+
 def test_cyclic_tags(spark):
     wells = labels(spark, ["wt", "mutant", "x", "mutant", "mutant", "mutant"])
     rep = wells.select(layout.cyclic_replicate(F.col("label"), F.col("well_idx"))).collect()
@@ -89,6 +97,17 @@ def test_wells_near_match(spark):
     assert sorted(r["well_idx"] for r in got.collect()) == [*range(8, 14), 20, 21, 22, 23, 24, 25]
 
 
+def test_wells_near_match_of_a_plate_without_id(spark):
+    wells = labels(spark, ["hit" if i == 14 else "other" for i in range(20)])
+    both = wells.unionByName(wells.withColumn("plate_id", F.lit(None).cast("string")))
+    both = both.unionByName(both.where("well_idx = 17"))
+    got = [(r["plate_id"], r["well_idx"]) for r in layout.wells_near_match(both, ["plate_id"], F.col("label") == "hit").collect()]
+    expected = [*range(2, 8), 14, 17, 17]
+    for plate in {p for p, _ in got}:
+        assert sorted(w for p, w in got if p == plate) == expected
+    assert None in {p for p, _ in got}
+
+
 def test_drop_incomplete_reads(spark):
     reads = spark.createDataFrame(
         [(0, "t", [1.0, 2.0]), (1, "t", [1.0, None]), (2, None, [1.0, 2.0])], "read_idx int, time_text string, wells array<double>")
@@ -102,6 +121,21 @@ def test_drop_incomplete_long(spark):
     assert sorted((r["plate_id"], r["read_idx"]) for r in left.collect()) == [("p", 0), ("p", 0), ("q", 1)]
 
 
+def test_drop_incomplete_long_with_unknown_reads(spark):
+    rows = [(None, 0, 1.0), (None, 0, None), (None, 1, 2.0), ("p", None, None), ("p", None, 1.0)]
+    df = spark.createDataFrame(rows, "plate_id string, read_idx int, value double")
+    left = cleaning.drop_incomplete_long(df, ["plate_id", "read_idx"], "value")
+    assert [tuple(r) for r in left.collect()] == [(None, 1, 2.0)]
+
+
+def test_the_text_nan_is_missing(spark):
+    df = spark.createDataFrame([("k", "NaN", "7"), ("k", "1.5", "NaN"), ("k", "x", "8")], "k string, a string, b string")
+    got = cleaning.cast_text(cleaning.cast_text(df, ["a"]), ["b"], "bigint")
+    assert [(r["a"], r["b"]) for r in got.collect()] == [(None, 7), (1.5, None), (None, 8)]
+    numbers = df.select(F.lit(1).alias("id"), "k", F.col("a").try_cast("double").alias("v"))
+    assert cleaning.spread(numbers, ["id"], "k", ["k"], "v").first()["k"] == 1.5
+
+
 def test_substring_drops_ignore_case(spark):
     df = spark.createDataFrame([("Paracetamol_1",), ("urea",), ("TrimethylAcetate",)], "variable string")
     kept = cleaning.drop_labels_containing(df, "variable", ["trimethylacet", "PARACET"])

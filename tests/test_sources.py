@@ -114,6 +114,17 @@ def test_rates_round_trip_per_assay(spark, tmp_path):
     assert [p.name for p in (tmp_path / "norm").glob("enzyme_ul=*")] == ["enzyme_ul=2.0"]
 
 
+def test_normalised_rates_keep_other_amounts(spark, tmp_path):
+    rates = spark.createDataFrame([("a", 1.0, 20), ("b", 2.0, 2), ("c", 3.0, 2)], "org string, max_slope double, enzyme_ul int")
+    path = str(tmp_path / "norm")
+    sinks.write_normalised(rates.where("enzyme_ul = 20"), path)
+    sinks.write_normalised(rates.where("enzyme_ul = 2"), path)
+    back = spark.read.option("header", True).csv(path)
+    assert {(r["org"], int(r["enzyme_ul"])) for r in back.collect()} == {("a", 20), ("b", 2), ("c", 2)}
+    sinks.write_normalised(rates.where("org = 'b'"), path)
+    assert {r["org"] for r in spark.read.option("header", True).csv(path).collect()} == {"a", "b"}
+
+
 def test_catalogue(spark, tmp_path):
     rows = spark.createDataFrame(
         [("output//20230421_64DHH_4NP_butyrate_1_all_data_calculated_slopes.csv", "p", 0.123456, 0.99996),
