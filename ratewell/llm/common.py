@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,15 +25,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def share(spark: SparkSession, value: object) -> Broadcast:
     """Broadcast an object of this package by value; the caller vouches for its size."""
-    return spark.sparkContext.broadcast({"pickled": cloudpickle.dumps(value)})
+    return spark.sparkContext.broadcast({"name": uuid.uuid4().hex, "pickled": cloudpickle.dumps(value)})
+
+
+#: The one shared object a worker holds, by the name it was shared under.
+_HELD: dict[str, object] = {}
 
 
 def shared_value(shared: Broadcast):
-    """The object in a worker, unpickled once and kept (with its caches) for the worker's later tasks."""
+    """The object in a worker, unpickled once and kept (with its caches) until the worker needs another one.
+
+    Workers outlive stages, so what an earlier stage shared is given back here.
+    """
     held = shared.value
-    if "object" not in held:
-        held["object"] = cloudpickle.loads(held["pickled"])
-    return held["object"]
+    if held["name"] not in _HELD:
+        _HELD.clear()
+        release_memory()
+        _HELD[held["name"]] = cloudpickle.loads(held["pickled"])
+    return _HELD[held["name"]]
+
+
+def release_memory() -> None:
+    """Give freed memory of this worker back to the system: workers are reused and the peaks of their tasks would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
