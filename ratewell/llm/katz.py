@@ -39,10 +39,12 @@ from ratewell.scale import settle
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 BLOCK_DOCS = 4000
-BLOCK_TOKENS = 1_500_000
-PARTITION_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_000_000
+PARTITION_TOKENS = 1_000_000
 #: Length of the list of common words, which travel as 16-bit places in it. Any list gives the same scores.
 COMMON_WORDS = 65_535
+#: Words a task counts for the list before it forgets those seen once.
+COUNTED_WORDS = 250_000
 #: A word above this share of all tokens is spread by context; at most 1 / HOT_SHARE words are.
 HOT_SHARE = 1 / 512
 TURING = 5
@@ -123,7 +125,7 @@ def _common_words(docs: DataFrame) -> tuple[Common, int]:
                 words = lower_words(t)
                 total += len(words) + 1
                 counts.update(words)
-            if len(counts) > 1_000_000:
+            if len(counts) > COUNTED_WORDS:
                 counts = Counter({w: n for w, n in counts.items() if n > 1})
         least = total / (4 * COMMON_WORDS)
         often = [(xxhash.xxh3_64_intdigest(w), n) for w, n in counts.items() if n >= least]
