@@ -68,17 +68,58 @@ def number_heavy(df: DataFrame, keys: list[str], order: list[str], out: str, sli
     return _sliced_total(ones, keys, order, out, slices).drop("_amount")
 
 
-def _sliced_total(
-    df: DataFrame, keys: list[str], order: list[str], out: str, slices: int, total: str | None = None
+def previous_value(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    value: str,
+    out: str,
+    *,
+    longest: int | None = None,
+    group_rows: int | None = None,
 ) -> DataFrame:
-    sort = [*keys, *order]
-    # Settled, because slice and position must not change between the two uses below.
-    spread = scale.settle(
+    """Add ``out``: the value of the row before in its group, NULL for the first.
+
+    ``order`` must be unique within a group. In a heavy group the first row of a slice gets the last
+    value of the slice before, from a table of one row per group and slice.
+    """
+    limit = scale.GROUP_ROWS if group_rows is None else group_rows
+    by_key = Window.partitionBy(*keys).orderBy(*order)
+    if longest is not None and longest <= limit:
+        return df.withColumn(out, F.lag(value).over(by_key))
+    split = scale.split_heavy(df, keys, limit)
+    result = split.light.withColumn(out, F.lag(value).over(by_key))
+    if split.heavy is None:
+        return result
+    spread = _slices(split.heavy, [*keys, *order], slice_count(split.heavy_rows, limit))
+    borders = spread.groupBy(*keys, "_slice").agg(F.max_by(F.struct(F.col(value).alias("last")), "_pos").alias("_last"))
+    carried = F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))
+    # At most one entry per heavy key and one per slice.
+    borders = F.broadcast(scale.settle(borders.withColumn("_carried", carried).drop("_last")))
+    in_slice = Window.partitionBy("_slice", *keys).orderBy("_pos")
+    heavy = (
+        scale.match_keys(spread, borders, [*keys, "_slice"], "inner")
+        .withColumn("_nth", F.row_number().over(in_slice))
+        .withColumn(out, F.when(F.col("_nth") == 1, F.col("_carried.last")).otherwise(F.lag(value).over(in_slice)))
+        .drop("_pos", "_slice", "_carried", "_nth")
+    )
+    return result.unionByName(heavy)
+
+
+def _slices(df: DataFrame, sort: list[str], slices: int) -> DataFrame:
+    """Sorted ranges of rows with ``_slice`` and ``_pos``; settled, because these must not change between two uses."""
+    return scale.settle(
         df.repartitionByRange(slices, *sort)
         .sortWithinPartitions(*sort)
         .withColumn("_pos", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_pos", 33))
     )
+
+
+def _sliced_total(
+    df: DataFrame, keys: list[str], order: list[str], out: str, slices: int, total: str | None = None
+) -> DataFrame:
+    spread = _slices(df, [*keys, *order], slices)
     earlier = (Window.partitionBy(*keys).orderBy("_slice")
                .rowsBetween(Window.unboundedPreceding, -1))
     starts = (

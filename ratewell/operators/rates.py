@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,15 +44,19 @@ def force_last_minute(
 
 
 def trim_reads(
-    df: DataFrame, keys: list[str], order: list[str], lo: int, hi: int, out: str | None = None
+    df: DataFrame, keys: list[str], order: list[str], lo: int, hi: int, out: str | None = None, spread_over: int | None = None
 ) -> DataFrame:
     """Keep reads ``lo``..``hi`` of each series.
 
     The upper bound lets Spark drop later reads in every map task, before the
-    shuffle, so a long series sends only its first ``hi`` reads per input split.
+    shuffle, so a long series sends only its first ``hi`` reads per input split. ``spread_over`` says
+    how many splits one series may lie in (as many as a shuffle has, if not given); where their first reads
+    together are more than a window should sort, groups of splits find theirs first.
     Beyond Spark's limit for that, reads are numbered in slices instead.
     """
     place = out or "_place"
+    if hi <= GROUP_LIMIT:
+        df = _first_of_splits(df, keys, order, hi, spread_over)
     if hi > GROUP_LIMIT:
         numbered = number_rows(df, keys, order, place)
     else:
@@ -60,6 +65,17 @@ def trim_reads(
     return kept if out else kept.drop(place)
 
 
+def _first_of_splits(df: DataFrame, keys: list[str], order: list[str], hi: int, spread_over: int | None) -> DataFrame:
+    """Reads among the first ``hi`` of a group of splits; a task then gets those of about the root of all splits."""
+    splits = spread_over or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if hi * splits <= scale.GROUP_ROWS:
+        return df
+    group = F.floor(F.spark_partition_id() / math.ceil(math.sqrt(splits)))
+    first = Window.partitionBy(*keys, "_splits").orderBy(*order)
+    return df.withColumn("_splits", group).withColumn("_nth", F.row_number().over(first)).where(
+        F.col("_nth") <= hi).drop("_splits", "_nth")
+
+
 def sliding_fit(
     df: DataFrame,
     keys: list[str],

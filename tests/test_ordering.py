@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ratewell.operators.ordering import number_rows, quantile_table, running_total
+from ratewell.operators.ordering import number_rows, previous_value, quantile_table, running_total
 
 
 def skewed(spark, rows=600, seed=3):
@@ -26,6 +26,15 @@ def expected_total(rows, amount):
     return out
 
 
+@pytest.mark.parametrize("group_rows_of", [10_000, 7])
+def test_previous_value(spark, group_rows_of):
+    rows = [(k, i, None if i % 5 == 0 else i * 1.5) for k, n in (("a", 60), ("b", 3), (None, 41)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, pos int, v double").repartition(5)
+    got = {(r["k"], r["pos"]): r["before"] for r in previous_value(
+        df, ["k"], ["pos"], "v", "before", group_rows=group_rows_of).collect()}
+    assert got == {(k, i): None if i == 0 or (i - 1) % 5 == 0 else (i - 1) * 1.5 for k, i, _ in rows}
+
+
 @pytest.mark.parametrize("group_rows", [None, 150, 40])
 def test_running_total_any_group_size(spark, group_rows):
     df = skewed(spark)

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ratewell import scale
 from ratewell.functions.clock import clock_minutes, whole_minutes
 from ratewell.functions.lines import intercept, line_sums, r_squared, slope
 from ratewell.operators import rates
@@ -216,6 +217,19 @@ def test_trim_limits_before_the_shuffle(spark):
     assert "Partial" in plan.split("Exchange hashpartitioning")[1]
 
 
+def test_trim_of_a_series_in_many_splits(spark, monkeypatch):
+    """64 splits of 500 reads of one series: no task gets more than 8 times 30 of them."""
+    df = spark.range(0, 32_000, 1, 64).select(F.lit("s").alias("series"), ((F.col("id") * 7919) % 32_000).alias("pos"))
+    monkeypatch.setattr(scale, "GROUP_ROWS", 1000)
+    few = rates._first_of_splits(df, ["series"], ["pos"], 30, 64)
+    per_group = few.groupBy(F.spark_partition_id()).count().collect()
+    assert few.count() == 8 * 30 and max(r["count"] for r in per_group) <= 8 * 30
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan.split("Exchange hashpartitioning")[1]
+    kept = rates.trim_reads(df, ["series"], ["pos"], 5, 30, spread_over=64)
+    assert sorted(r["pos"] for r in kept.collect()) == list(range(4, 30)) and kept.columns == df.columns
+
+
 def test_trimmed_rate_needs_one_shuffle(spark):
     df = frame(spark, {"s": [(i, i) for i in range(10)]})
     reads = rates.trim_reads(df, ["series"], ["pos"], 1, 9)
