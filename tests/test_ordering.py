@@ -86,3 +86,18 @@ def test_group_totals(spark, group_rows):
     got = running_total(df, ["k"], ["pos"], F.col("amount"), "upto", group_rows=group_rows, total="all_of_it")
     assert {r["k"]: r["all_of_it"] for r in got.collect()} == want
     assert got.count() == df.count() and set(got.columns) == {*df.columns, "upto", "all_of_it"}
+
+
+def test_narrowed_quantiles_of_odd_values(spark):
+    """Values over all magnitudes, neighbours in the last bit, whole numbers beyond 2 ** 53, one value, none."""
+    tight = [1.0 + i * 2.0 ** -52 for i in range(40)]
+    wide = [s * 10.0 ** e for s in (-1, 1) for e in range(-300, 301, 20)] + [0.0, float("inf"), float("nan")]
+    rows = [("tight", v) for v in tight] + [("wide", v) for v in wide] + [(None, 5.0)] * 30 + [("none", None)] * 30
+    df = spark.createDataFrame(rows, "k string, value double")
+    probabilities = {"min": 0, "q1": 0.25, "mid": 0.5, "p9": 0.9, "max": 1}
+    got = {r["k"]: r for r in quantile_table(df, ["k"], "value", probabilities, group_rows=0, count="n").collect()}
+    want = {r["k"]: r for r in quantile_table(df, ["k"], "value", probabilities, count="n").collect()}
+    assert got == want and set(got) == {"tight", "wide", None}
+    whole = spark.createDataFrame([("w", 2**60 + i) for i in range(50)], "k string, value long")
+    row = quantile_table(whole, ["k"], "value", {"min": 0, "max": 1}, group_rows=0).first()
+    assert (row["min"], row["max"]) == (float(2**60), float(2**60 + 49))
