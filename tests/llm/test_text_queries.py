@@ -47,3 +47,14 @@ def test_pipeline_takes_odd_documents(spark, documents):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = spark.createDataFrame(stage(spark, docs, FOLDER).collect(), docs.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() > 0
+
+
+def test_near_copies_with_repeated_and_missing_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(3, text), (7, text.replace("w30", "new")), (7, other), (9, "x y z"), (9, "x y z"), (None, text), (None, "lonely words here"),
+            (None, ""), (11, None), (11, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()]
+    assert sorted(map(str, left)) == sorted(map(str, [
+        (3, text), (7, other), (9, "x y z"), (None, "lonely words here"), (None, ""), (11, None), (11, None)]))
