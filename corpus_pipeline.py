@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ratewell.llm import jaccard_join, line_dedup, packing, quality_gbt, toxicity
 from ratewell.llm.common import held_out, table
 from ratewell.llm.queries import Query, vocabulary_path
-from ratewell.scale import ensure_checkpoint_dir, join_dimension
+from ratewell.scale import ensure_checkpoint_dir, join_dimension, settle
 
 MAX_TOXICITY = 0.5
 MIN_QUALITY = 0.3
@@ -44,10 +44,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; rows without an id stay."""
-    found = jaccard_join.jaccard_components(docs)
-    others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return join_dimension(docs, others, ["doc_id"], "left_anti").select(*docs.columns)
+    """Of each group of near copies the document with the smallest id, no id last; one of rows with the same id and text.
+
+    A row is known by a code of its id and text, so what repeats an id is decided by its own text. Texts without words
+    are linked with nothing and stay.
+    """
+    coded = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = jaccard_join.jaccard_components(coded.select(F.col("_row").alias("doc_id"), "text")).where("n_shingles > 0")
+    rows = settle(found.select(F.col("doc_id").alias("_row"), "component_id").join(
+        coded.groupBy("_row").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_n")), "_row").distinct())
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "_n")).alias("_first")
+    stay = settle(rows.groupBy("component_id").agg(first).select("_first.*"))
+    others = join_dimension(rows, stay.select("_row"), ["_row"], "left_anti", settled=True).select("_row")
+    repeated = stay.where("_n > 1").select("_row")
+    kept = join_dimension(coded, others, ["_row"], "left_anti")
+    once = join_dimension(kept, repeated, ["_row"], "left_anti", settled=True)
+    one_each = join_dimension(kept, repeated, ["_row"], "left_semi", settled=True).dropDuplicates(["_row"])
+    return once.unionByName(one_each).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
