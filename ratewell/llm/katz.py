@@ -29,6 +29,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,7 +148,7 @@ def _least(values: np.ndarray) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, common: Common, parts: int) -> DataFrame:
-    """(part, block): the entries of a block of documents that belong to a partition, as pickled arrays.
+    """(part, block): the entries of a block of documents that belong to a partition, as pickled and packed arrays.
 
     A block's number is that of its first row, so a row's number, block + place, does not depend on where blocks are cut.
     """
@@ -188,7 +189,7 @@ def _blocks(docs: DataFrame, common: Common, parts: int) -> DataFrame:
         n = np.diff(np.append(at, len(word)))
         word, context, doc, place = word[at], context[at], doc[at], place[at]
         bounds = np.searchsorted(place, _part_starts(parts))
-        found = []
+        found, packed = [], zstandard.ZstdCompressor(level=1)
         for p, (first, last) in enumerate(zip(bounds, [*bounds[1:], len(place)])):
             if first < last:
                 starts = np.flatnonzero(np.append(True, word[first + 1 : last] != word[first : last - 1]))
@@ -197,7 +198,7 @@ def _blocks(docs: DataFrame, common: Common, parts: int) -> DataFrame:
                     number, common.pack(word[first:last][starts]), _least(np.diff(np.append(starts, last - first))),
                     common.pack(contexts[used]), _least(which), _least(doc[first:last]), held, _least(n[first:last]),
                 )
-                found.append((p, pickle.dumps(arrays, protocol=5)))
+                found.append((p, packed.compress(pickle.dumps(arrays, protocol=5))))
         return pd.DataFrame(found, columns=["part", "block"])
 
     return docs.select("_text", "_held").mapInPandas(cut, "part int, block binary")
@@ -237,7 +238,8 @@ class Entries:
     """All entries of one partition, with training counts of words and bigrams."""
 
     def __init__(self, batches: Iterator[pd.DataFrame], common: Common) -> None:
-        loaded = [pickle.loads(b) for batch in batches for b in batch["block"]]
+        unpacked = zstandard.ZstdDecompressor()
+        loaded = [pickle.loads(unpacked.decompress(b)) for batch in batches for b in batch["block"]]
         join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind, copy=False)
         sizes = [len(b[4]) for b in loaded]
         self.words, word = np.unique(join([common.unpack(b[1]) for b in loaded], np.uint64), return_inverse=True)
