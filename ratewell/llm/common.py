@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +53,14 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def giving_back(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task function; once a task is through, its worker, which may idle for a while, gives its memory back."""
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        release_memory()
+    return run
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     """Whether crc32 of the id as text leaves ``part`` modulo ``parts``; a null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import WordCodes, lower_words, share, shared_value, shingle_set
+from ratewell.llm.common import WordCodes, giving_back, lower_words, share, shared_value, shingle_set
 from ratewell.llm.components import components
 from ratewell.scale import join_dimension, settle
 
@@ -82,7 +82,7 @@ def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
             yield frame.reindex(columns=names).astype(dict.fromkeys(names, "Int64"))
 
     schema = ", ".join(f"{n} long" for n in names)
-    return docs.select("doc_id", F.col(text).alias("_text")).mapInPandas(complete, schema)
+    return docs.select("doc_id", F.col(text).alias("_text")).mapInPandas(giving_back(complete), schema)
 
 
 def _postings(docs: DataFrame, text: str, words: int, threshold: Threshold, last: np.ndarray) -> DataFrame:
@@ -111,7 +111,7 @@ def _postings(docs: DataFrame, text: str, words: int, threshold: Threshold, last
                 "n": np.repeat(np.array(sizes, np.int32), lengths),
             })
 
-    return docs.select(F.col(text).alias("_text")).mapInPandas(posted, "shingle long, class long, n int")
+    return docs.select(F.col(text).alias("_text")).mapInPandas(giving_back(posted), "shingle long, class long, n int")
 
 
 def _met(postings: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _met(postings: DataFrame) -> DataFrame:
             group = np.cumsum(start) - 1
             yield rows[np.bincount(group)[group] > 1]
 
-    return postings.repartition("shingle").mapInPandas(met, postings.schema)
+    return postings.repartition("shingle").mapInPandas(giving_back(met), postings.schema)
 
 
 def _segments(docs: DataFrame, text: str, words: int, fragments: int) -> DataFrame:
@@ -143,7 +143,7 @@ def _segments(docs: DataFrame, text: str, words: int, fragments: int) -> DataFra
                 rows += [(c, f, part.view(np.int64)) for f, part in enumerate(np.split(s, np.searchsorted(s, bounds))) if len(part)]
             yield pd.DataFrame(rows, columns=["class", "fragment", "segment"])
 
-    return docs.select(F.col(text).alias("_text")).mapInPandas(cut, "class long, fragment int, segment array<long>")
+    return docs.select(F.col(text).alias("_text")).mapInPandas(giving_back(cut), "class long, fragment int, segment array<long>")
 
 
 def _can_link(threshold: Threshold, na: Column, nb: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratewell.llm.common import WordCodes, mixed, rows_in_pieces, run_codes, words_of
+from ratewell.llm.common import WordCodes, giving_back, mixed, rows_in_pieces, run_codes, words_of
 from ratewell.scale import ensure_checkpoint_dir, join_dimension, settle
 
 RUN = 20
@@ -86,7 +86,7 @@ def _places(docs: DataFrame, min_words: int) -> DataFrame:
                 "digest": batch["_digest"].to_numpy()[owner], "word": word,
             })
 
-    return docs.select("_id", "_digest", "_text").mapInPandas(found, "hash long, around long, id long, digest long, word int")
+    return docs.select("_id", "_digest", "_text").mapInPandas(giving_back(found), "hash long, around long, id long, digest long, word int")
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield batch
 
     found = copies.unionByName(repeats).groupBy("id", "digest").agg(F.collect_list(run).alias("runs"))
-    return found.mapInPandas(united, "id long, digest long, runs array<long>")
+    return found.mapInPandas(giving_back(united), "id long, digest long, runs array<long>")
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -193,7 +193,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS)
             yield batch[["_row", "_text", "removed_words"]]
 
     plain = joined.where("runs IS NULL").select("_row", "_text", F.lit(0).cast("long").alias("removed_words"))
-    changed = joined.where("runs IS NOT NULL").mapInPandas(cleaned, schema)
+    changed = joined.where("runs IS NOT NULL").mapInPandas(giving_back(cleaned), schema)
     return plain.unionByName(changed).select(
         *[F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`").alias(c) for c in names], "removed_words"
     )
