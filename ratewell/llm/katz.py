@@ -41,7 +41,7 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 BLOCK_DOCS = 4000
 BLOCK_TOKENS = 1_500_000
-PARTITION_TOKENS = 1_600_000
+PARTITION_TOKENS = 2_000_000
 #: Length of the list of common words, which travel as 16-bit places in it. Any list gives the same scores.
 COMMON_WORDS = 65_535
 #: Words a task counts for the list before it forgets those seen once.
