@@ -6,8 +6,9 @@ link to, which gives candidates. Codes are cut into ranges, the fragments; a
 pair's overlap is counted per fragment and summed. Equal sets are one class, joined once.
 
 Where many classes share a shingle, they are first compared with the one that shares most; what
-is linked then forms a component, and only pairs across components go on. No link is lost:
-every pair that shares a prefix shingle is compared or already connected.
+is linked then forms a component, and only pairs across components go on. These must meet at the first shingle
+they have in common, early enough in both, and the parity marks of their sets must allow the overlap they need before
+it is counted. No link is lost: every pair that can link is compared or already connected.
 
 A null text, or one without words, has no shingle and no link. A text of fewer words than a
 shingle is one shingle. Repeated rows are documents of one class. A null id takes part and gets
@@ -18,6 +19,7 @@ are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -35,6 +37,9 @@ FRAGMENTS = 8
 #: Length of the list of shared shingles that the order puts last. Any list gives the same links.
 SHARED_SHINGLES = 100_000
 SHARED_FROM = 20
+#: Bits of the parity marks of a set, 64 to a column.
+MARK_BITS = 256
+MARKS = [f"m{i}" for i in range(MARK_BITS // 64)]
 
 
 class Threshold(NamedTuple):
@@ -52,8 +57,17 @@ def set_class(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
 
 
+def parity_marks(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of MARK_BITS places.
+
+    Sets differ by a shingle or more wherever their marks differ, which bounds what they have in common.
+    """
+    odd = np.bincount((shingles % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """doc_id, n and class of every document, and the shingles that documents of a task share, with counts.
+    """doc_id, n, class and marks of every document, and the shingles that documents of a task share, with counts.
 
     Rows of the second kind have ``shingle`` set. Counts leave out what one task sees once, so
     they are low for scattered shingles; they only order shingles.
@@ -63,7 +77,10 @@ def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
         for batch in batches:
             sets = [shingle_set(codes.of(lower_words(t)), words) for t in batch["_text"]]
             classes = [set_class(s) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "class": classes})
+            marks = np.array([parity_marks(s) for s in sets], np.int64).reshape(-1, len(MARKS))
+            yield pd.DataFrame({
+                "doc_id": batch["doc_id"], "n": [len(s) for s in sets], "class": classes, **dict(zip(MARKS, marks.T)),
+            })
             fresh = [s for s, c in zip(sets, classes) if c not in seen]
             seen.update(classes)
             shingle, count = np.unique(np.concatenate([np.empty(0, np.uint64), *fresh]), return_counts=True)
@@ -75,7 +92,7 @@ def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
             "shared_by": np.fromiter(counts.values(), np.int64, len(counts)),
         })
 
-    names = ["doc_id", "n", "class", "shingle", "shared_by"]
+    names = ["doc_id", "n", "class", *MARKS, "shingle", "shared_by"]
 
     def complete(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in measured(batches):
@@ -86,7 +103,7 @@ def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, text: str, words: int, threshold: Threshold, last: np.ndarray) -> DataFrame:
-    """(shingle, class, n) for the prefix of every set, once per class and task."""
+    """(shingle, class, n, place) for the prefix of every set, once per class and task; ``place`` counts from 0 in the global order."""
     shared = share(docs.sparkSession, last)
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,9 +126,10 @@ def _postings(docs: DataFrame, text: str, words: int, threshold: Threshold, last
                 "shingle": np.concatenate(shingles).view(np.int64),
                 "class": np.repeat(np.array([c for c, _ in classes], np.int64), lengths),
                 "n": np.repeat(np.array(sizes, np.int32), lengths),
+                "place": np.concatenate([np.empty(0, np.int32), *[np.arange(k, dtype=np.int32) for k in lengths]]),
             })
 
-    return docs.select(F.col(text).alias("_text")).mapInPandas(giving_back(posted), "shingle long, class long, n int")
+    return docs.select(F.col(text).alias("_text")).mapInPandas(giving_back(posted), "shingle long, class long, n int, place int")
 
 
 def _met(postings: DataFrame) -> DataFrame:
@@ -150,6 +168,11 @@ def _can_link(threshold: Threshold, na: Column, nb: Column) -> Column:
     return 100 * F.least(na, nb) >= threshold.percent * F.greatest(na, nb)
 
 
+def _overlap_needed(threshold: Threshold, na: Column, nb: Column) -> Column:
+    """Shingles that sets of these sizes must have in common to link."""
+    return F.ceil(threshold.percent * (na + nb) / (100 + threshold.percent))
+
+
 def _shared_needed(threshold: Threshold, na: Column, nb: Column) -> Column:
     """Prefix shingles that sets of these sizes must share to link.
 
@@ -158,7 +181,20 @@ def _shared_needed(threshold: Threshold, na: Column, nb: Column) -> Column:
     number of shared prefix shingles and the rest of x.
     """
     rest = lambda n: F.ceil(threshold.percent * n / 100) - 1
-    return F.ceil(threshold.percent * (na + nb) / (100 + threshold.percent)) - F.greatest(rest(na), rest(nb))
+    return _overlap_needed(threshold, na, nb) - F.greatest(rest(na), rest(nb))
+
+
+def _alike(pairs: DataFrame, marks: DataFrame, threshold: Threshold) -> DataFrame:
+    """Candidate pairs (a, b, na, nb) whose marks allow the overlap they need; ``marks`` has one row per class.
+
+    Sets of n shingles in common and d in one of them alone have na + nb = 2 n + d, and d is at least the number of
+    marks that differ. Large sets differ in half of the marks and pass.
+    """
+    of = lambda x: marks.select(F.col("class").alias(x), *[F.col(m).alias(f"{m}{x}") for m in MARKS])
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b"))) for m in MARKS])
+    na, nb = F.col("na"), F.col("nb")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(
+        na + nb - differ >= 2 * _overlap_needed(threshold, na, nb)).select("a", "b", "na", "nb")
 
 
 def _likely(pairs: DataFrame, met: DataFrame, threshold: Threshold) -> DataFrame:
@@ -170,10 +206,12 @@ def _likely(pairs: DataFrame, met: DataFrame, threshold: Threshold) -> DataFrame
 
 
 def _across(met: DataFrame, roots: DataFrame, degree: DataFrame, threshold: Threshold) -> DataFrame:
-    """Pairs (a, b, na, nb) of different components whose prefixes share enough.
+    """Pairs (a, b, na, nb) of different components that may link.
 
-    A class whose shared prefix shingles are too few for any partner of the sizes in a bucket leaves it
-    first, so what is far from the rest of a large group is not paired with all of it.
+    The first shingle that two sets have in common has all others behind it in both, so in neither
+    it stands later than the overlap they need allows: pairs meet there alone. What is too far from the rest of a
+    large group has its own shingles in these first places, and meets nobody of it. A class leaves a bucket where it stands too
+    late, or shares too few prefix shingles, for any partner of the sizes in it.
     """
     placed = (
         met.join(degree, "class").join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -187,21 +225,21 @@ def _across(met: DataFrame, roots: DataFrame, degree: DataFrame, threshold: Thre
     largest = F.least(F.col("most"), F.floor(100 * n / percent))
     # Rising up to equal sizes and falling beyond, so least at the ends; 1 less for rounding in between.
     reach = F.least(_shared_needed(threshold, n, smallest), _shared_needed(threshold, n, largest)) - 1
-    open_ = settle(placed.join(buckets, "shingle").where(F.col("degree") >= reach).select("shingle", "class", "n", "degree", "root"))
+    early = F.col("place") <= n - _overlap_needed(threshold, n, smallest)
+    open_ = settle(placed.join(buckets, "shingle").where(early & (F.col("degree") >= reach)).select(
+        "shingle", "class", "n", "place", "degree", "root"))
     side = lambda x: open_.select(
-        "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "degree", "root")])
+        "shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("class", "n", "place", "degree", "root")])
     na, nb = F.col("n_a"), F.col("n_b")
-    needed = _shared_needed(threshold, na, nb)
+    common = _overlap_needed(threshold, na, nb)
     left, right = side("a"), side("b")
     meet = (
         (left["shingle"] == right["shingle"]) & (F.col("class_a") < F.col("class_b")) & (F.col("root_a") != F.col("root_b"))
-        & _can_link(threshold, na, nb) & (F.least("degree_a", "degree_b") >= needed)
-    )
-    return (
-        left.join(right, meet).groupBy(F.col("class_a").alias("a"), F.col("class_b").alias("b"), na.alias("na"), nb.alias("nb"))
-        .agg(F.count("*").alias("shared"))
-        .where(F.col("shared") >= _shared_needed(threshold, F.col("na"), F.col("nb"))).drop("shared")
+        & _can_link(threshold, na, nb) & (F.least("degree_a", "degree_b") >= _shared_needed(threshold, na, nb))
+        & (F.col("place_a") <= na - common) & (F.col("place_b") <= nb - common)
     )
+    return left.join(right, meet).select(
+        F.col("class_a").alias("a"), F.col("class_b").alias("b"), na.alias("na"), nb.alias("nb")).distinct()
 
 
 def _links(pairs: DataFrame, source: Source, threshold: Threshold) -> DataFrame:
@@ -258,14 +296,16 @@ def jaccard_components(
         ranked.join(center, "shingle").where((F.col("class") != F.col("c.class")) & near_enough)
         .select(F.col("c.class").alias("a"), F.col("class").alias("b"), na.alias("na"), nb.alias("nb")).distinct()
     )
-    first_ids = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    first_ids = sets.where(F.col("class").isNotNull()).groupBy("class").agg(
+        F.min("doc_id").alias("doc_id"), *[F.first(m).alias(m) for m in MARKS])
+    marks, first_ids = first_ids.select("class", *MARKS), first_ids.select("class", "doc_id")
     source = Source(docs, first_ids, words, fragments)
-    links = settle(_links(_likely(star, met, threshold), source, threshold))
+    links = settle(_links(_likely(_alike(star, marks, threshold), met, threshold), source, threshold))
     roots = components(links, "a", "b")
 
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = _across(met, roots, degree, threshold)
-    more = settle(_links(across.join(tested, ["a", "b"], "left_anti"), source, threshold))
+    across = _across(met, roots, degree, threshold).join(tested, ["a", "b"], "left_anti")
+    more = settle(_links(_likely(settle(_alike(across, marks, threshold)), met, threshold), source, threshold))
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links, "a", "b")

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from ratewell.llm import components, jaccard_join
@@ -70,3 +71,29 @@ def test_chains_and_stars_are_components(spark):
     want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200}
     assert {r["node"]: r["root"] for r in rows} == want and len(rows) == len(want)
     assert components.components(spark.createDataFrame([], "a long, b long"), "a", "b").collect() == []
+
+
+def test_large_group_of_which_few_link(spark):
+    """Copies of one text with edits of their own: similarities lie on both sides of the threshold."""
+    pick = random.Random(11)
+    base = [f"w{i}" for i in range(140)]
+    texts = {}
+    for i in range(150):
+        words = list(base)
+        for k in pick.sample(range(140), pick.choice([1, 2, 3, 3, 4, 4, 5])):
+            words[k] = f"x{i}y{k}" if pick.random() < 0.8 else f"x{k}"
+        texts[i] = " ".join(words)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute(texts)
+    assert found(docs) == want
+    assert 10 < len({root for _, root in want.values()}) < 150
+
+
+def test_marks_bound_the_overlap():
+    pick = random.Random(3)
+    for size in (1, 30, 120, 2000):
+        a, b = ({pick.randrange(3 * size) * 0x9E3779B97F4A7C15 % 2**64 for _ in range(size)} for _ in "ab")
+        marks = [jaccard_join.parity_marks(np.array(sorted(x), np.uint64)) for x in (a, b)]
+        assert len(marks[0]) == len(jaccard_join.MARKS)
+        differ = sum(int(x).bit_count() for x in (marks[0] ^ marks[1]).view(np.uint64))
+        assert 2 * len(a & b) <= len(a) + len(b) - differ
