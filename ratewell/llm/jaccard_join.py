@@ -38,7 +38,7 @@ FRAGMENTS = 8
 SHARED_SHINGLES = 100_000
 SHARED_FROM = 20
 #: Bits of the parity marks of a set, 64 to a column.
-MARK_BITS = 256
+MARK_BITS = 512
 MARKS = [f"m{i}" for i in range(MARK_BITS // 64)]
 
 
@@ -305,7 +305,7 @@ def jaccard_components(
 
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = _across(met, roots, degree, threshold).join(tested, ["a", "b"], "left_anti")
-    more = settle(_links(_likely(settle(_alike(across, marks, threshold)), met, threshold), source, threshold))
+    more = settle(_links(_alike(across, marks, threshold), source, threshold))
     if not more.isEmpty():
         links = links.unionByName(more)
         roots = components(links, "a", "b")
