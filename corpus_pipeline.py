@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,16 +16,36 @@ from ratewell.scale import ensure_checkpoint_dir, join_dimension, settle
 
 MAX_TOXICITY = 0.5
 MIN_QUALITY = 0.3
+#: Bytes of an Arrow batch between Spark and its Python workers. Tasks hold several on both sides, outside the heap.
+BATCH_BYTES = 4 * 1024 * 1024
 
 #: The classifiers and the cut of repeated runs have no statement in SQL.
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def small_batches(stage: Stage) -> Stage:
+    """The same stage in a session whose Arrow batches are bounded by BATCH_BYTES, not by 10,000 rows of any size.
+
+    The setting stays, since the stage's rows are made when they are written.
+    """
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below MAX_TOXICITY."""
     return _classified(spark, docs, sf_dir, toxicity, "toxic").where(F.col("_score") < MAX_TOXICITY).select(*docs.columns)
 
 
+@small_batches
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality reaches MIN_QUALITY."""
     return _classified(spark, docs, sf_dir, quality_gbt, "quality").where(F.col("_score") >= MIN_QUALITY).select(*docs.columns)
@@ -35,6 +56,7 @@ def _classified(spark: SparkSession, docs: DataFrame, sf_dir: str, method, label
     return method.score(docs, model, out="_score")
 
 
+@small_batches
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without runs of lines that an earlier document has; those that are nothing else go."""
     cleaned = line_dedup.dedup_lines(docs)
@@ -43,6 +65,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return cleaned.where(~emptied).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
+@small_batches
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id, no id last; one of rows with the same id and text.
 
@@ -63,12 +86,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return once.unionByName(one_each).select(*docs.columns)
 
 
+@small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens."""
     return packing.pack(docs, vocabulary_path())
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("quality classifier", drop_poor),
     ("line dedup", drop_repeated_lines),

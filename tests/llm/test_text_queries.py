@@ -58,3 +58,15 @@ def test_near_copies_with_repeated_and_missing_ids(spark):
     left = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, FOLDER).collect()]
     assert sorted(map(str, left)) == sorted(map(str, [
         (3, text), (7, other), (9, "x y z"), (None, "lonely words here"), (None, ""), (11, None), (11, None)]))
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark, monkeypatch):
+    def sizes(docs, path):
+        return docs.mapInPandas(lambda batches: (b.assign(text=b["text"].str.len().sum())[["text"]][:1] for b in batches), "text long")
+
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", sizes)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(40, numPartitions=1).selectExpr("id AS doc_id", "repeat('x', 1000000) AS text")
+    spark.conf.unset(name)
+    found = [r["text"] for r in corpus_pipeline.pack(spark, docs, FOLDER).collect()]
+    assert sum(found) == 40_000_000 and max(found) <= corpus_pipeline.BATCH_BYTES + 1_000_000
