@@ -37,6 +37,8 @@ FRAGMENTS = 8
 #: Length of the list of shared shingles that the order puts last. Any list gives the same links.
 SHARED_SHINGLES = 100_000
 SHARED_FROM = 20
+#: Shingles that a task holds before it counts them, however small its batches are.
+COUNTED_SHINGLES = 4_000_000
 #: Bits of the parity marks of a set, 64 to a column.
 MARK_BITS = 512
 MARKS = [f"m{i}" for i in range(MARK_BITS // 64)]
@@ -66,6 +68,13 @@ def parity_marks(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def among(shingles: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of the shingles an ascending list holds, by bisection: a short text does not pay for a long list."""
+    if not len(ordered):
+        return np.zeros(len(shingles), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, shingles), len(ordered) - 1)] == shingles
+
+
 def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
     """doc_id, n, class and marks of every document, and the shingles that documents of a task share, with counts.
 
@@ -73,7 +82,15 @@ def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
     they are low for scattered shingles; they only order shingles.
     """
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, seen, counts = WordCodes(), set(), {}
+        codes, seen, counts, fresh = WordCodes(), set(), {}, []
+
+        def count() -> None:
+            shingle, count = np.unique(np.concatenate([np.empty(0, np.uint64), *fresh]), return_counts=True)
+            fresh.clear()
+            often = count > 2
+            for s, c in zip(shingle[often].tolist(), count[often].tolist()):
+                counts[s] = counts.get(s, 0) + c
+
         for batch in batches:
             sets = [shingle_set(codes.of(lower_words(t)), words) for t in batch["_text"]]
             classes = [set_class(s) for s in sets]
@@ -81,12 +98,11 @@ def _sets(docs: DataFrame, text: str, words: int) -> DataFrame:
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "n": [len(s) for s in sets], "class": classes, **dict(zip(MARKS, marks.T)),
             })
-            fresh = [s for s, c in zip(sets, classes) if c not in seen]
+            fresh += [s for s, c in zip(sets, classes) if c not in seen]
             seen.update(classes)
-            shingle, count = np.unique(np.concatenate([np.empty(0, np.uint64), *fresh]), return_counts=True)
-            often = count > 2
-            for s, c in zip(shingle[often].tolist(), count[often].tolist()):
-                counts[s] = counts.get(s, 0) + c
+            if sum(map(len, fresh)) >= COUNTED_SHINGLES:
+                count()
+        count()
         yield pd.DataFrame({
             "shingle": np.fromiter(counts, np.uint64, len(counts)).view(np.int64),
             "shared_by": np.fromiter(counts.values(), np.int64, len(counts)),
@@ -116,7 +132,7 @@ def _postings(docs: DataFrame, text: str, words: int, threshold: Threshold, last
                 if c in seen or not len(s):
                     continue
                 seen.add(c)
-                late = np.isin(s, last, assume_unique=True)
+                late = among(s, last)
                 prefix = np.concatenate([s[~late], s[late]])[: threshold.prefix(len(s))]
                 shingles.append(prefix)
                 classes.append((c, len(prefix)))
@@ -137,7 +153,8 @@ def _met(postings: DataFrame) -> DataFrame:
     def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [b for b in batches if len(b)]
         if held:
-            rows = pd.concat(held).sort_values(["shingle", "class"], ignore_index=True)
+            rows = pd.concat(held)
+            rows = rows.iloc[np.lexsort((rows["class"], rows["shingle"]))]
             shingle, class_ = rows["shingle"].to_numpy(), rows["class"].to_numpy()
             new = np.append(True, (shingle[1:] != shingle[:-1]) | (class_[1:] != class_[:-1]))
             rows, shingle = rows[new], shingle[new]

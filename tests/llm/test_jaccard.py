@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -97,3 +98,31 @@ def test_marks_bound_the_overlap():
         assert len(marks[0]) == len(jaccard_join.MARKS)
         differ = sum(int(x).bit_count() for x in (marks[0] ^ marks[1]).view(np.uint64))
         assert 2 * len(a & b) <= len(a) + len(b) - differ
+
+
+def test_a_short_text_does_not_pay_for_a_long_list():
+    pick = np.random.default_rng(5)
+    ordered = np.unique(pick.integers(0, 2**64, 100_000, np.uint64))
+    sets = [np.unique(np.append(pick.integers(0, 2**64, 40, np.uint64), pick.choice(ordered, 3))) for _ in range(200)]
+    took = []
+    for held in (ordered, ordered[:100]):
+        began = time.process_time()
+        late = [jaccard_join.among(s, held) for s in sets]
+        took.append(time.process_time() - began)
+        assert all((a == np.isin(s, held)).all() for a, s in zip(late, sets))
+    assert took[0] < 10 * took[1] + 0.01  # the sorting test took 0.1 s and more for the long list
+    ends = jaccard_join.among(np.array([0, 5, 7, 2**64 - 1], np.uint64), np.array([5, 7], np.uint64))
+    assert ends.tolist() == [False, True, True, False]
+    assert jaccard_join.among(sets[0], ordered[:0]).tolist() == [False] * len(sets[0])
+
+
+def test_shared_shingles_are_counted_across_small_batches(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e own{i}") for i in range(40)], "doc_id long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2")
+    try:
+        counted = jaccard_join._sets(docs, "text", 5).where("shingle IS NOT NULL").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert [r["shared_by"] for r in counted] == [40]
