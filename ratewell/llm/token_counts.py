@@ -4,7 +4,8 @@ A text of up to ``chunk`` characters is counted at once, as the sum over its wor
 chunks go to tasks of their own, so one huge text is not the work of one task. Each chunk is encoded with
 offsets and lists, inside its overlaps, the stable boundaries: places where one token ends and the next begins
 and where the tokenizer's splitting cannot look across (``STABLE``), so that what lies left and right
-is encoded as in the whole text. Two neighbours are spliced at a boundary that both list: tokens of the left
+is encoded as in the whole text. What lies between its overlaps, from white space to white space, is counted as the sum over
+its words. Two neighbours are spliced at a boundary that both list: tokens of the left
 one count up to it, tokens of the right one from it. Where a seam has no common boundary (a
 word longer than the overlap), its text is done again with chunks and overlaps ``WIDEN`` times as large, until it
 fits or is one chunk; so the count is always that of the whole text.
@@ -17,6 +18,7 @@ asked for are left out, so their names cannot clash.
 from __future__ import annotations
 
 import os
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,11 +36,14 @@ WIDEN = 4
 BATCH_ROWS = 256
 #: Stable boundaries listed per overlap, those nearest to its middle.
 LISTED = 24
-#: Words kept with their counts in a worker, and the longest of them.
+#: Words kept with their counts in a worker before the older ones go, and the longest of them.
 KNOWN_WORDS, KNOWN_CHARS = 200_000, 64
+#: Marks that begin a pre-token behind a letter below ``LATIN``; others may get a combining mark in lower case, which joins the marks.
+MARKS, LATIN = ".,;:!?", "\u0100"
 # str.split() takes these four for white space, the tokenizer does not.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 OTHER_SPACE = regex.compile(r"\p{White_Space}+")
+LAST_SPACE = regex.compile(r"(?r)\p{White_Space}")
 # No pre-token and no special token of the word-end tokenizer has white space, a digit beside anything else, or one of these
 # marks behind a letter; a combining mark may join what stands before it, so none may follow.
 STABLE = (
@@ -52,10 +57,12 @@ class TokenCounter:
     def __init__(self, vocabulary: str, stable: str = STABLE, by_word: bool = True):
         self.vocabulary, self.stable, self.by_word = vocabulary, stable, by_word
         self._tokenizer = self._stable = None
+        self._lowers = False
         self._known: dict[str, int] = {}
+        self._older: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_tokenizer": None, "_stable": None, "_known": {}}
+        return {**self.__dict__, "_tokenizer": None, "_stable": None, "_known": {}, "_older": {}}
 
     def tokenizer(self):
         if self._tokenizer is None:
@@ -67,6 +74,8 @@ class TokenCounter:
             self._tokenizer.no_truncation()
             self._tokenizer.no_padding()
             self._stable = regex.compile(self.stable)
+            normal = self._tokenizer.normalizer
+            self._lowers = normal is not None and normal.normalize_str(string.ascii_letters) == string.ascii_letters.lower()
         return self._tokenizer
 
     def _encoded(self, texts: list[str]) -> list[int]:
@@ -76,38 +85,90 @@ class TokenCounter:
         """Token counts of short texts; where white space belongs to no token, the sum over their words, each encoded once."""
         if not self.by_word:
             return self._encoded(texts)
-        split = [OTHER_SPACE.split(t) if SEPARATORS.search(t) else t.split() for t in texts]
-        new = [w for w in set().union(*split) if w not in self._known]
-        if len(self._known) + len(new) > KNOWN_WORDS:
-            self._known = {}
-            new = list(set().union(*split))
-        self._known.update(zip(new, self._encoded(new)))
+        split = [self._words(t) for t in texts]
+        long = self._learn(set().union(*split))
         totals = [sum(map(self._known.__getitem__, words)) for words in split]
-        for word in new:
-            if len(word) > KNOWN_CHARS:
-                del self._known[word]
+        for word in long:
+            del self._known[word]
         return totals
 
+    @staticmethod
+    def _words(text: str) -> list[str]:
+        return OTHER_SPACE.split(text) if SEPARATORS.search(text) else text.split()
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Put the counts of all words into the cache; gives those too long to stay.
+
+        Beyond the bound of the cache, words not asked for since the last turn go.
+        """
+        self.tokenizer()
+        if len(self._known) > KNOWN_WORDS:
+            self._known, self._older = {}, self._known
+        known, older = self._known, self._older
+        missing = words.difference(known)
+        again = [w for w in missing if w in older]
+        known.update((w, older[w]) for w in again)
+        missing.difference_update(again)
+        # Marks behind the last letter are counted on their own, and words of letters A-Z in lower case where the tokenizer lowers them.
+        stems = {w: s for w in missing if w[-1:] in MARKS and (s := w.rstrip(MARKS)) and s[-1] < LATIN and s[-1].isalpha()}
+        missing.difference_update(stems)
+        missing.update(s for s in stems.values() if s not in known)
+        lower = {w: w.lower() for w in missing if w.isascii() and w.isalpha() and not w.islower()} if self._lowers else {}
+        missing.difference_update(lower)
+        missing.update(w for w in lower.values() if w not in known)
+        missing.update(w[len(s):] for w, s in stems.items() if w[len(s):] not in known)
+        new = list(missing)
+        known.update(zip(new, self._encoded(new)))
+        known.update((w, known[low]) for w, low in lower.items())
+        known.update((w, known[s] + known[w[len(s):]]) for w, s in stems.items())
+        return [w for words in (missing, lower, stems) for w in words if len(w) > KNOWN_CHARS]
+
     def chunk(self, text: str, start: int, left: int, right: int) -> tuple[int, list, list, list, list]:
         """Token count of a chunk, and per overlap the stable boundaries: places in the whole text, tokens before them.
 
         ``left`` and ``right`` are the lengths of the overlaps, 0 at the ends of the text.
         """
-        found = self.tokenizer().encode(text, add_special_tokens=False)
-        spans = np.array(found.offsets, np.int64).reshape(-1, 2)
-
-        def listed(low: int, high: int) -> tuple[list, list]:
-            if low == high:
-                return [], []
-            at = np.array([m.start() for m in self._stable.finditer(text, max(low - 1, 0), min(high + 1, len(text)))], np.int64)
-            at = at[(at >= low) & (at <= high)]
-            before = np.searchsorted(spans[:, 1], at, "right")
-            clean = before == np.searchsorted(spans[:, 0], at, "left")
-            at, before = at[clean], before[clean]
-            near = np.sort(np.argsort(np.abs(at - (low + high) // 2), kind="stable")[:LISTED])
-            return (at[near] + start).tolist(), before[near].tolist()
-
-        return len(found), *listed(0, left), *listed(len(text) - right, len(text))
+        inner = self._inner(text, left, right) if self.by_word else None
+        if inner is None:
+            spans, n = self._spans(text), len(text)
+            return len(spans), *self._listed(text, spans, 0, left, start, 0), *self._listed(text, spans, n - right, n, start, 0)
+        head, tail = text[:inner[0]], text[inner[1]:]
+        first, last, n = self._spans(head), self._spans(tail), len(tail)
+        before = len(first) + self.counts([text[inner[0]:inner[1]]])[0]
+        return (before + len(last), *self._listed(head, first, 0, left, start, 0),
+                *self._listed(tail, last, n - right, n, start + inner[1], before))
+
+    @staticmethod
+    def _inner(text: str, left: int, right: int) -> tuple[int, int] | None:
+        """Start and end of what lies between the overlaps, each at white space or an end of the text; None without such a place."""
+        head, tail = 0, len(text)
+        if left:
+            space = OTHER_SPACE.search(text, left + 1)
+            if space is None:
+                return None
+            head = space.start()
+        if right:
+            space = LAST_SPACE.search(text, head, len(text) - right)
+            if space is None:
+                return None
+            tail = space.start()
+        return head, tail
+
+    def _spans(self, part: str) -> np.ndarray:
+        """Start and end of each token."""
+        return np.array(self.tokenizer().encode(part, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+
+    def _listed(self, part: str, spans: np.ndarray, low: int, high: int, start: int, counted: int) -> tuple[list, list]:
+        """Stable boundaries from ``low`` to ``high`` of a part that begins at ``start`` of the text, with ``counted`` tokens before it."""
+        if low == high:
+            return [], []
+        at = np.array([m.start() for m in self._stable.finditer(part, max(low - 1, 0), min(high + 1, len(part)))], np.int64)
+        at = at[(at >= low) & (at <= high)]
+        before = np.searchsorted(spans[:, 1], at, "right")
+        clean = before == np.searchsorted(spans[:, 0], at, "left")
+        at, before = at[clean], before[clean]
+        near = np.sort(np.argsort(np.abs(at - (low + high) // 2), kind="stable")[:LISTED])
+        return (at[near] + start).tolist(), (before[near] + counted).tolist()
 
 
 def chunks_of(n: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
@@ -201,7 +262,8 @@ def count_tokens(
 ) -> DataFrame:
     """Columns ``keep`` and the ``n_tokens`` of each row's text; ``vocabulary`` is the tokenizer's JSON.
 
-    ``stable`` and ``by_word`` (white space belongs to no token) state what holds for the tokenizer.
+    ``stable`` and ``by_word`` (white space belongs to no token, and ``MARKS`` behind a letter begin a pre-token) state what holds
+    for the tokenizer.
     """
     if chunk < 2 * overlap:
         raise ValueError("the two overlaps of a chunk must not meet")
