@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratewell.llm.common import WordCodes, giving_back, mixed, rows_in_pieces, run_codes, words_of
+from ratewell.llm.common import giving_back, mixed, rows_in_pieces, run_codes, text_codes, words_of
 from ratewell.scale import ensure_checkpoint_dir, join_dimension, settle
 
 RUN = 20
@@ -37,13 +37,13 @@ LAST_ID = 2**63 - 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprints(texts: list[str | None], coded: WordCodes, min_words: int) -> tuple[np.ndarray, ...]:
+def fingerprints(texts: list[str | None], min_words: int) -> tuple[np.ndarray, ...]:
     """(number of the text, word number, hash, code of the words around) of the fingerprints of all texts."""
-    words = [w if len(w) >= min_words else [] for w in map(words_of, texts)]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    codes, sizes = text_codes(texts)
+    enough = sizes >= min_words
+    codes, sizes = codes[np.repeat(enough, sizes)], np.where(enough, sizes, 0)
     last = np.cumsum(sizes)
-    codes = coded.of([w for ws in words for w in ws])
-    owner = np.repeat(np.arange(len(words)), sizes)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     size = min(RUN, min_words)
     hashes = run_codes(codes, size)
     best = lowest(hashes, min_words - size + 1)
@@ -78,9 +78,8 @@ def without(text: str, runs: list[tuple[int, int]]) -> str:
 def _places(docs: DataFrame, min_words: int) -> DataFrame:
     """(hash, around, id, digest, word) of every fingerprint."""
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coded = WordCodes()
         for batch in rows_in_pieces(batches, BATCH_ROWS):
-            owner, word, hashed, around = fingerprints(list(batch["_text"]), coded, min_words)
+            owner, word, hashed, around = fingerprints(list(batch["_text"]), min_words)
             yield pd.DataFrame({
                 "hash": hashed.view(np.int64), "around": around.view(np.int64), "id": batch["_id"].to_numpy()[owner],
                 "digest": batch["_digest"].to_numpy()[owner], "word": word,
@@ -110,13 +109,11 @@ def _is_later() -> Column:
 def _run_places(docs: DataFrame, keys: DataFrame, min_words: int) -> DataFrame:
     """(code, id, digest, word) of the runs with one of the fingerprints that ``keys`` (_id, _digest, at) lists."""
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coded, reach = WordCodes(), min_words - min(RUN, min_words)
+        reach = min_words - min(RUN, min_words)
         for batch in rows_in_pieces(batches, BATCH_ROWS):
-            words = list(map(words_of, batch["_text"]))
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            codes, sizes = text_codes(batch["_text"])
             last = np.cumsum(sizes)
-            codes = coded.of([w for ws in words for w in ws])
-            owner = np.repeat(np.arange(len(words)), sizes)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
             first = np.repeat(last - sizes, [len(at) for at in batch["at"]])
             at = np.concatenate(list(batch["at"])).astype(np.int64) + first
             steps = np.bincount(np.maximum(at - reach, first), minlength=len(codes) + 1) - np.bincount(at + 1, minlength=len(codes) + 1)

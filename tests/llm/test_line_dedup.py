@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pandas as pd
 
-from ratewell.llm import line_dedup
-from ratewell.llm.common import run_codes
+from ratewell.llm import common, line_dedup
+from ratewell.llm.common import run_codes, text_codes, words_of
 
 
 def cleaned(docs):
@@ -112,3 +113,44 @@ def test_like_brute_force(spark):
     for i, text in texts.items():
         assert got[i][1] == len(gone[i])
         assert got[i][0].split() == [w for k, w in enumerate(text.split()) if k not in gone[i]]
+
+
+def test_codes_of_words_and_texts(monkeypatch):
+    pick = random.Random(8)
+    blanks = [" ", "\t", "\n", "\v", "\f", "\r", "  "]
+    letters = ["a", "b", "é", "中", "\x1c", "\x85", "\xa0", "\0", "x" * 63, "y" * 64, "😀" * 40]
+    texts = ["".join(pick.choice(letters + blanks * 2) for _ in range(pick.randint(0, 60))) for _ in range(200)] + [None, "", " ", "\n\n"]
+    codes, sizes = text_codes(texts)
+    words = [w for t in texts for w in words_of(t)]
+    assert sizes.tolist() == [len(words_of(t)) for t in texts] and len(codes) == len(words)
+    assert len(set(codes.tolist())) == len(set(words)) == len(set(zip(words, codes.tolist())))
+    monkeypatch.setattr(common, "WORDS_AT_ONCE", 7)
+    assert text_codes(texts)[0].tolist() == codes.tolist()
+    for one in (["z"], [None], [], ["  "]):
+        codes, sizes = text_codes(one)
+        assert (len(codes), sizes.tolist()) == (len(one) * (one == ["z"]), [int(one == ["z"])] * len(one))
+
+
+def test_words_are_not_hashed_one_by_one(monkeypatch):
+    hashed = []
+
+    class Counted:
+        @staticmethod
+        def xxh3_64_intdigest(word):
+            hashed.append(word)
+            return len(hashed)
+
+    monkeypatch.setattr(common, "xxhash", Counted)
+    docs = pd.DataFrame({"_id": [1, 2], "_digest": [1, 2], "_text": [" ".join(f"w{i}" for i in range(80)), "v " * 60 + "u" * 65]})
+    found = {}
+    monkeypatch.setattr(line_dedup, "giving_back", lambda function: found.setdefault("places", function))
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, function, _):
+            return list(function(iter([docs])))
+
+    places = line_dedup._places(Docs(), 50)[0]
+    assert set(places["id"]) == {1, 2} and hashed == [b"u" * 65]
