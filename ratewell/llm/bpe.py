@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import string
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -31,6 +32,8 @@ from ratewell.llm.transducer import Transducer
 CACHE_CHUNKS = 400_000
 BATCH_ROWS = 256
 LONG_PIECE = 64
+#: Marks that are known apart from the word before them, and the most in a row.
+MARKS, MARK_RUN = string.punctuation, 4
 NO_MERGE = np.int32(2**31 - 1)
 EMPTY = np.uint32(2**32 - 1)
 # Fixed values of the tokenizer: its pattern with white space written out.
@@ -72,7 +75,8 @@ class PairTable:
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; that of an unknown key is free."""
         slot = self._slot(keys)
-        open_ = np.flatnonzero((self.keys[slot] != keys) & (self.keys[slot] != EMPTY))
+        there = self.keys[slot]
+        open_ = np.flatnonzero((there != keys) & (there != EMPTY))
         while len(open_):
             slot[open_] = (slot[open_] + 1) % len(self.keys)
             there = self.keys[slot[open_]]
@@ -107,7 +111,7 @@ class Bpe:
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.marks = {c: self._number(int(self.first_ids[ord(c)])) for c in ".,"}
+        self.marks: dict[str, bytes] = {}
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("pattern", "at_special", "chunks", "older", "marks")}
@@ -158,7 +162,8 @@ class Bpe:
             at = np.flatnonzero((rank == np.repeat(low, sizes)) & (rank < NO_MERGE))
             at = at[np.append(True, owner[at][1:] != owner[at][:-1])] if len(at) else at
             still = np.repeat(low < NO_MERGE, sizes)
-            ended.append((owner[~still], ids[~still]))
+            through = ~still
+            ended.append((owner[through], ids[through]))
             ids[at] = self.pairs.joined[slot[at]]
             still[at + 1] = False
             owner, ids = owner[still], ids[still]
@@ -185,13 +190,19 @@ class Bpe:
         return lead + self.pattern.findall(word)
 
     def exact_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks by the merge ranks alone; most are one word of letters."""
-        plain = [c.isalpha() and len(c) < LONG_PIECE // 4 for c in chunks]
-        words = iter(self.merge_many([b" " + c.encode() for c, one in zip(chunks, plain) if one]))
-        cut = [self.chunk_pieces(c) for c, one in zip(chunks, plain) if not one]
-        merged = iter(self.merge_all([p.encode() for pieces in cut for p in pieces]))
-        others = iter([b"".join([next(merged) for _ in pieces]) for pieces in cut])
-        return [next(words if one else others) for one in plain]
+        """Ids of distinct chunks by the merge ranks alone; most are one word of letters, some at the start of a line."""
+        ids = dict.fromkeys(chunks, b"")
+        short = [c for c in chunks if (len(c) < LONG_PIECE // 4 or c.isascii() and len(c) < LONG_PIECE)]
+        plain = [c for c in short if c.isalpha()]
+        first = [c for c in short if c[:1] == "\n" and c[1:].isalpha()]
+        words = self.merge_many([*(f" {c}".encode() for c in plain), *(c[1:].encode() for c in first)])
+        end = self._number(int(self.first_ids[ord("\n")]))
+        ids.update(zip(plain, words))
+        ids.update((c, end + word) for c, word in zip(first, words[len(plain):]))
+        cut = {c: self.chunk_pieces(c) for c, found in ids.items() if not found}
+        merged = iter(self.merge_all([p.encode() for pieces in cut.values() for p in pieces]))
+        ids.update((c, b"".join([next(merged) for _ in pieces])) for c, pieces in cut.items())
+        return list(ids.values())
 
     def _whole(self, text: str) -> bytes:
         """Ids of a text with special tokens or unusual white space."""
@@ -208,7 +219,7 @@ class Bpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         texts = ["" if t is None else t for t in texts]
         cut = [self.split(t) if t else [] for t in texts]
-        self._learn({c for chunks in cut if chunks for c in chunks})
+        self._learn(set().union(*filter(None, cut)))
         known = self.chunks
         return [
             self._whole(text) if chunks is None else b"".join(map(known.__getitem__, chunks))[4:]
@@ -218,22 +229,25 @@ class Bpe:
     def _learn(self, chunks: set[str]) -> None:
         """Put all chunks into the cache; beyond its bound, those not asked for since the last turn go."""
         if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks, self.older = {}, self.chunks
+            self.chunks, self.older, self.marks = {}, self.chunks, {}
         known, older = self.chunks, self.older
         missing = chunks.difference(known)
-        again = [c for c in missing if c in older]
+        again = older.keys() & missing
         known.update((c, older[c]) for c in again)
         missing.difference_update(again)
-        ended = [c for c in missing if c[-1:] in self.marks and c[:-1].isalpha()]
+        # Marks behind letters are a pre-token of their own.
+        ended = {c: word for c in missing if c[-1:] in MARKS and (word := c.rstrip(MARKS)).isalpha() and len(c) - len(word) <= MARK_RUN}
         missing.difference_update(ended)
-        missing.update(b for c in ended if (b := c[:-1]) not in known)
+        missing.update(word for word in ended.values() if word not in known)
+        marks = list({c[len(word):] for c, word in ended.items()}.difference(self.marks))
+        self.marks.update(zip(marks, self.merge_many([m.encode() for m in marks])))
         missing = list(missing)
         if self.lexicon is not None:
             found = self.lexicon.find([c.encode() for c in missing])
             known.update((c, ids) for c, ids in zip(missing, found) if ids is not None)
             missing = [c for c, ids in zip(missing, found) if ids is None]
         known.update(zip(missing, self.exact_chunks(missing)))
-        known.update((c, known[c[:-1]] + self.marks[c[-1]]) for c in ended)
+        known.update((c, known[word] + self.marks[c[len(word):]]) for c, word in ended.items())
 
     def decode(self, ids: bytes) -> str:
         """Text of ids; bytes that are no UTF-8 become replacement characters."""

@@ -77,3 +77,17 @@ def test_documents(spark, documents, no_documents, reference):
     digests = {r["doc_id"]: r for r in bpe.encode_digests(documents, vocabulary_path()).collect()}
     assert digests[3]["decoded_sha256"] == hashlib.sha256(b"one").hexdigest()
     assert bpe.encode_documents(no_documents, vocabulary_path()).collect() == []
+
+
+def test_a_known_word_is_not_merged_again(monkeypatch, reference):
+    encoder, library = bpe.Bpe(bpe.vocabulary(vocabulary_path())), reference
+    merged = []
+    monkeypatch.setattr(bpe.Bpe, "merge_many", lambda self, pieces, merge=bpe.Bpe.merge_many: merged.extend(pieces) or merge(self, pieces))
+    texts = ["a wordy", "wordy! wordy? wordy$$$ (wordy) wordy'", "\nwordy\nwordy.\nabc", "wordy%%%%% wordy_ wordy...", "wordy's wordy-wordy é́! ²!", "wordy$$$"]
+    for text in texts:
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    merged.clear()
+    texts = [f"x {word}{marks} y" for word in ("wordy", "abc") for marks in ("!!", "&", ";;;", "$$$", ".'")]
+    for text in ["x abc y", *texts]:
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert merged.count(b" wordy") == 0 and merged.count(b" abc") == 1 and merged.count(b"$$$") == 0
