@@ -101,7 +101,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 #: Words up to TABLED bytes are coded from one random number per place and byte; the others one by one. WORDS_AT_ONCE bounds what a step holds.
-TABLED, WORDS_AT_ONCE = 64, 100_000
+TABLED, WORDS_AT_ONCE = 64, 20_000
 _TABLE = mixed(np.arange(1, TABLED * 256 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _IN_WORD = np.array([b not in b" \t\n\v\f\r" for b in range(256)])
 
