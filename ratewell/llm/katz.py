@@ -8,8 +8,8 @@ and those of a line through the log counts of counts beyond, always below 1, so
 
 Tokens are lower-cased words and one end; a word is known by its 64-bit code. Distinct (word,
 context, document) entries of a block of documents travel once, as arrays, to the partition of the
-word, where unigrams and bigrams are counted and looked up; words that make up much of all text are spread by
-context as well. The sum of log10 c(h) over a text needs no context table, because every word but the end is
+word, where unigrams and bigrams are counted and looked up, a range of words at a time, so that a task holds its partition
+in narrow types only; words that make up much of all text are spread by context as well. The sum of log10 c(h) over a text needs no context table, because every word but the end is
 a context once; only unseen bigrams of known contexts meet the table of backoff weights.
 
 A null text is the end alone. A null id trains. Repeated rows are documents of their own.
@@ -20,6 +20,7 @@ order if a task is repeated, as those of a stored table do.
 
 from __future__ import annotations
 
+import contextlib
 import math
 import pickle
 from collections import Counter
@@ -31,23 +32,28 @@ import pandas as pd
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import WordCodes, lower_words, mixed, rows_in_pieces, share, shared_value
+from ratewell.llm.common import WordCodes, giving_back, lower_words, mixed, rows_in_pieces, share, shared_value
 from ratewell.scale import settle
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 START = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 BLOCK_DOCS = 4000
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 PARTITION_TOKENS = 2_000_000
+#: Entries of a partition that are sorted and counted at a time, and more only where one word has more. Any number gives the same scores.
+SLICE_ENTRIES = 500_000
 #: Length of the list of common words, which travel as 16-bit places in it. Any list gives the same scores.
 COMMON_WORDS = 65_535
-#: Words a task counts for the list before it forgets those seen once.
+#: Words a task counts for the list before it forgets those seen once; it looks after so many documents.
 COUNTED_WORDS = 250_000
-#: A word above this share of all tokens is spread by context; at most 1 / HOT_SHARE words are.
+COUNTED_DOCS = 500
+#: A word above this share of all tokens, or of half a partition's tokens, is spread by context.
 HOT_SHARE = 1 / 512
+#: Bytes of an Arrow batch, where the session sets none. A task then holds a few rows of whole texts or blocks, not all of its own.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 TURING = 5
 
 
@@ -121,7 +127,7 @@ def _common_words(docs: DataFrame) -> tuple[Common, int]:
     """
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, total = Counter(), 0
-        for batch in batches:
+        for batch in rows_in_pieces(batches, COUNTED_DOCS):
             for t in batch["_text"]:
                 words = lower_words(t)
                 total += len(words) + 1
@@ -131,13 +137,14 @@ def _common_words(docs: DataFrame) -> tuple[Common, int]:
         least = total / (4 * COMMON_WORDS)
         often = [(xxhash.xxh3_64_intdigest(w), n) for w, n in counts.items() if n >= least]
         codes = np.array([c for c, _ in often], np.uint64).view(np.int64)
-        yield pd.DataFrame({"word": [None, *codes.tolist()], "n": [total, *[n for _, n in often]]}).astype({"word": "Int64"})
+        # As an array of its own kind: beside None a list of whole numbers turns into floats, which round codes.
+        yield pd.DataFrame({"word": pd.array([None, *codes.tolist()], "Int64"), "n": [total, *[n for _, n in often]]})
 
-    sums = docs.select("_text").mapInPandas(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = docs.select("_text").mapInPandas(giving_back(counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rows = sums.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(COMMON_WORDS).collect()
     total = rows[0]["n"] if rows else 0
     end = int(END.view(np.int64))
-    hot = {r["word"] for r in rows[1:] if r["n"] >= total * HOT_SHARE} | {end}
+    hot = {r["word"] for r in rows[1:] if r["n"] >= min(total * HOT_SHARE, PARTITION_TOKENS / 2)} | {end}
     codes = np.sort(np.array([end, *[r["word"] for r in rows[1:]]], np.int64).view(np.uint64))
     return Common(codes, np.isin(codes.view(np.int64), list(hot))), total
 
@@ -157,37 +164,53 @@ def _blocks(docs: DataFrame, common: Common, parts: int) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coded, common = WordCodes(), shared_value(shared)
         number = TaskContext.get().partitionId() << 32
-        for batch in rows_in_pieces(batches, BLOCK_DOCS):
-            words = [lower_words(t) for t in batch["_text"]]
-            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
-            first = 0
-            for end in _block_ends(sizes):
-                held = batch["_held"].iloc[first:end].to_numpy(bool)
-                yield block(number, words[first:end], sizes[first:end], held, coded, common)
-                first, number = end, number + end - first
-
-    def block(number, words, sizes, held, coded, common) -> pd.DataFrame:
+        words, held, tokens = [], [], 0
+        for batch in batches:
+            for t, out in zip(batch["_text"], batch["_held"]):
+                codes = coded.of(lower_words(t))
+                if words and (len(words) == BLOCK_DOCS or tokens + len(codes) + 1 > BLOCK_TOKENS):
+                    yield block(number, words, np.array(held, bool), common)
+                    number, words, held, tokens = number + len(held), [], [], 0
+                words.append(codes)
+                held.append(out)
+                tokens += len(codes) + 1
+        if words:
+            yield block(number, words, np.array(held, bool), common)
+
+    def block(number: int, words: list[np.ndarray], held: np.ndarray, common: Common) -> pd.DataFrame:
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         word = np.full(int(sizes.sum()), END, np.uint64)
         ends = np.cumsum(sizes) - 1
         inner = np.ones(len(word), bool)
         inner[ends] = False
-        word[inner] = coded.of([w for ws in words for w in ws])
-        context = np.append(START, word[:-1])
-        context[ends - sizes + 1] = START
-        contexts, context = np.unique(context, return_inverse=True)
-        context = context.astype(np.int32)
-        doc = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-        spread = np.isin(word, common.codes[common.hot])
-        place = mixed(word)
+        word[inner] = np.concatenate(words)
+        words.clear()
+        distinct, word = np.unique(word, return_inverse=True)
+        word = word.astype(np.int32)
+        contexts = np.append(distinct, START)
+        context = np.append(np.int32(len(distinct)), word[:-1])
+        context[ends - sizes + 1] = len(distinct)
+        doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        spread = np.isin(distinct, common.codes[common.hot])[word]
+        place = mixed(distinct)[word]
         place[spread] = mixed(place[spread] ^ contexts[context[spread]])
         # Tokens come by document, and stable sorts keep that order: by partition and word, context, document.
         order = np.argsort(context, kind="stable")
         order = order[np.argsort(place[order], kind="stable")]
-        word, context, doc, place = word[order], context[order], doc[order], place[order]
+        # One after the other, so that one array at a time is held twice.
+        word = word[order]
+        context = context[order]
+        doc = doc[order]
+        place = place[order]
+        del order
         new = np.append(True, (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (doc[1:] != doc[:-1]))
         at = np.flatnonzero(new)
-        n = np.diff(np.append(at, len(word)))
-        word, context, doc, place = word[at], context[at], doc[at], place[at]
+        n = np.diff(np.append(at, len(word)).astype(np.int32))
+        word = word[at]
+        context = context[at]
+        doc = doc[at]
+        place = place[at]
+        del at
         bounds = np.searchsorted(place, _part_starts(parts))
         found, packed = [], zstandard.ZstdCompressor(level=1)
         for p, (first, last) in enumerate(zip(bounds, [*bounds[1:], len(place)])):
@@ -195,13 +218,13 @@ def _blocks(docs: DataFrame, common: Common, parts: int) -> DataFrame:
                 starts = np.flatnonzero(np.append(True, word[first + 1 : last] != word[first : last - 1]))
                 used, which = np.unique(context[first:last], return_inverse=True)
                 arrays = (
-                    number, common.pack(word[first:last][starts]), _least(np.diff(np.append(starts, last - first))),
+                    number, common.pack(distinct[word[first:last][starts]]), _least(np.diff(np.append(starts, last - first))),
                     common.pack(contexts[used]), _least(which), _least(doc[first:last]), held, _least(n[first:last]),
                 )
                 found.append((p, packed.compress(pickle.dumps(arrays, protocol=5))))
         return pd.DataFrame(found, columns=["part", "block"])
 
-    return docs.select("_text", "_held").mapInPandas(cut, "part int, block binary")
+    return docs.select("_text", "_held").mapInPandas(giving_back(cut), "part int, block binary")
 
 
 def _part_starts(parts: int) -> np.ndarray:
@@ -209,17 +232,6 @@ def _part_starts(parts: int) -> np.ndarray:
     return np.array([(p << 64) // parts for p in range(parts)], np.uint64)
 
 
-def _block_ends(sizes: np.ndarray) -> list[int]:
-    """Ends of runs of documents of at most BLOCK_TOKENS tokens, or of one longer document."""
-    ends, tokens = [], 0
-    for i, size in enumerate(sizes.tolist()):
-        if tokens and tokens + size > BLOCK_TOKENS:
-            ends.append(i)
-            tokens = 0
-        tokens += size
-    return [*ends, len(sizes)]
-
-
 def _documents(docs: DataFrame) -> DataFrame:
     """(row, doc_id, held_out, n_tokens), rows numbered as in the blocks."""
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,34 +243,62 @@ def _documents(docs: DataFrame) -> DataFrame:
             })
             number += len(batch)
 
-    return docs.select("doc_id", "_text", "_held").mapInPandas(listed, "row long, doc_id long, held_out boolean, n_tokens long")
+    return docs.select("doc_id", "_text", "_held").mapInPandas(giving_back(listed), "row long, doc_id long, held_out boolean, n_tokens long")
 
 
-class Entries:
-    """All entries of one partition, with training counts of words and bigrams."""
+def _distinct(codes: list[np.ndarray]) -> np.ndarray:
+    """The codes of all arrays in ascending order, sorted in place."""
+    joined = np.concatenate([np.empty(0, np.uint64), *codes])
+    joined.sort()
+    return joined[np.append(True, joined[1:] != joined[:-1])[: len(joined)]]
+
+
+class Partition:
+    """All entries of one partition, block by block; ``ends`` says where each block's entries end."""
 
     def __init__(self, batches: Iterator[pd.DataFrame], common: Common) -> None:
         unpacked = zstandard.ZstdDecompressor()
         loaded = [pickle.loads(unpacked.decompress(b)) for batch in batches for b in batch["block"]]
-        join = lambda parts, kind: np.concatenate([np.empty(0, kind), *parts]).astype(kind, copy=False)
-        sizes = [len(b[4]) for b in loaded]
-        self.words, word = np.unique(join([common.unpack(b[1]) for b in loaded], np.uint64), return_inverse=True)
-        self.word = np.repeat(word.astype(np.int32), join([b[2] for b in loaded], np.int64))
-        contexts = [common.unpack(b[3]) for b in loaded]
-        firsts = np.cumsum([0, *map(len, contexts)])
-        self.contexts, context = np.unique(join(contexts, np.uint64), return_inverse=True)
-        self.context = context.astype(np.int32)[join([b[4].astype(np.int64) + f for b, f in zip(loaded, firsts)], np.int64)]
+        self.words, self.contexts = (_distinct([common.unpack(b[at]) for b in loaded]) for at in (1, 3))
         self.blocks = np.array([b[0] for b in loaded], np.int64)
-        self.block = np.repeat(np.arange(len(loaded), dtype=np.int32), sizes)
-        self.place = join([b[5] for b in loaded], np.int32)
-        self.n = join([b[7] for b in loaded], np.int32)
-        train = np.where(join([b[6][b[5]] for b in loaded], bool), 0, self.n)
-        del loaded, contexts, word, context
+        self.ends = np.cumsum([len(b[4]) for b in loaded], dtype=np.int64)
+        self.size = int(self.ends[-1]) if loaded else 0
+        self.word, self.context, self.place, self.n = (np.empty(self.size, np.int32) for _ in range(4))
+        self.held = np.empty(self.size, bool)
+        for i, first, last in zip(range(len(loaded)), [0, *self.ends], self.ends):
+            (_, words, runs, contexts, which, place, held, n), loaded[i] = loaded[i], None
+            self.word[first:last] = np.repeat(np.searchsorted(self.words, common.unpack(words)).astype(np.int32), runs)
+            self.context[first:last] = np.searchsorted(self.contexts, common.unpack(contexts))[which]
+            self.place[first:last], self.held[first:last], self.n[first:last] = place, held[place], n
+
+    def slices(self) -> Iterator[Entries]:
+        """The entries of one range of words after the other."""
+        before = np.cumsum(np.append(0, np.bincount(self.word, minlength=len(self.words))))[:-1]
+        number = (before // SLICE_ENTRIES).astype(np.int32)
+        starts = np.flatnonzero(np.append(True, number[1:] != number[:-1])[: len(number)])
+        for first, last in zip(starts, [*starts[1:], len(number)]):
+            yield Entries(self, first, last)
+
+
+class Entries:
+    """The entries of words ``first`` to ``last`` of a partition, with training counts of words and bigrams.
+
+    ``at`` is their place in the partition, ``first`` one entry of each bigram.
+    """
+
+    def __init__(self, whole: Partition, first: int, last: int) -> None:
+        self.at = np.flatnonzero((whole.word >= first) & (whole.word < last))
+        self.words, self.word, self.context = whole.words[first:last], whole.word[self.at] - np.int32(first), whole.context[self.at]
+        train = np.where(whole.held[self.at], 0, whole.n[self.at])
         self.word_count = np.bincount(self.word, train, len(self.words)).astype(np.int64)
-        key = self.word * np.int64(max(len(self.contexts), 1)) + self.context
-        pairs, self.first, pair = np.unique(key, return_index=True, return_inverse=True)
-        self.pair = pair.astype(np.int32)
-        self.pair_count = np.bincount(self.pair, train, len(pairs)).astype(np.int64)
+        key = self.word * np.int64(max(len(whole.contexts), 1)) + self.context
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])[: len(key)]
+        self.first = order[new]
+        self.pair = np.empty(len(key), np.int32)
+        self.pair[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.pair_count = np.bincount(self.pair, train, len(self.first)).astype(np.int64)
 
     def know(self, hot: dict[int, int]) -> None:
         """Put in the whole counts of words that are spread over partitions."""
@@ -274,17 +314,17 @@ def _statistics(parts: DataFrame, common: Common) -> Statistics:
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = shared_value(shared)
-        entries = Entries(batches, common)
-        is_hot = np.isin(entries.words, common.codes[common.hot])
-        rows = [
-            ("hot", int(w.view(np.int64)), int(c)) for w, c in zip(entries.words[is_hot], entries.word_count[is_hot])
-        ]
-        for kind, counts in (("word", entries.word_count[~is_hot]), ("pair", entries.pair_count)):
-            value, types = np.unique(counts[counts > 0], return_counts=True)
-            rows += [(kind, int(v), int(t)) for v, t in zip(value, types)]
-        yield pd.DataFrame(rows, columns=["kind", "value", "n"])
-
-    rows = parts.mapInPandas(counted, "kind string, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")).collect()
+        for entries in Partition(batches, common).slices():
+            is_hot = np.isin(entries.words, common.codes[common.hot])
+            rows = [
+                ("hot", int(w.view(np.int64)), int(c)) for w, c in zip(entries.words[is_hot], entries.word_count[is_hot])
+            ]
+            for kind, counts in (("word", entries.word_count[~is_hot]), ("pair", entries.pair_count)):
+                value, types = np.unique(counts[counts > 0], return_counts=True)
+                rows += [(kind, int(v), int(t)) for v, t in zip(value, types)]
+            yield pd.DataFrame(rows, columns=["kind", "value", "n"])
+
+    rows = parts.mapInPandas(giving_back(counted), "kind string, value long, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")).collect()
     hot_counts = {int(np.int64(r["value"]).view(np.uint64)): r["n"] for r in rows if r["kind"] == "hot"}
     words = Counter({r["value"]: r["n"] for r in rows if r["kind"] == "word"})
     words.update(c for c in hot_counts.values() if c)
@@ -304,20 +344,23 @@ def context_weights(parts: DataFrame, common: Common, statistics: Statistics) ->
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, known = shared_value(shared)
-        entries = Entries(batches, common)
-        entries.know(known.hot)
-        seen = entries.pair_count > 0
-        first, count = entries.first[seen], entries.pair_count[seen]
-        context = entries.context[first]
-        probability = known.word_probability(entries.word_count)[entries.word[first]]
-        sums = [np.bincount(context, weight, len(entries.contexts)) for weight in (count, known.bigram.kept(count), probability)]
+        whole = Partition(batches, common)
+        sums = np.zeros((3, len(whole.contexts)))
+        for entries in whole.slices():
+            entries.know(known.hot)
+            seen = entries.pair_count > 0
+            first, count = entries.first[seen], entries.pair_count[seen]
+            context = entries.context[first]
+            probability = known.word_probability(entries.word_count)[entries.word[first]]
+            for total, weight in zip(sums, (count, known.bigram.kept(count), probability)):
+                total += np.bincount(context, weight, len(total))
         trained = sums[0] > 0
         yield pd.DataFrame({
-            "context": entries.contexts[trained].view(np.int64), "n": sums[0][trained].astype(np.int64),
+            "context": whole.contexts[trained].view(np.int64), "n": sums[0][trained].astype(np.int64),
             "kept": sums[1][trained], "backoff": sums[2][trained],
         })
 
-    sums = parts.mapInPandas(summed, "context long, n long, kept double, backoff double").groupBy("context").agg(
+    sums = parts.mapInPandas(giving_back(summed), "context long, n long, kept double, backoff double").groupBy("context").agg(
         *[F.sum(c).alias(c) for c in ("n", "kept", "backoff")]
     )
     # alpha(h) * c(h) = (c(h) - kept) / (1 - backoff)
@@ -330,26 +373,27 @@ def _document_sums(parts: DataFrame, common: Common, statistics: Statistics) ->
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common, known = shared_value(shared)
-        entries = Entries(batches, common)
-        entries.know(known.hot)
-        count, pair = entries.word_count, entries.pair_count
-        base = np.log10((count + 1) / (known.tokens + known.words + 1))
-        follows = np.where((count > 0) & (entries.words != END), np.log10(np.maximum(count, 1)), 0.0)
-        unseen = np.log10(known.word_probability(count))
-        seen = np.log10(known.bigram.kept(np.maximum(pair, 1)))
-        score = np.where(pair > 0, seen, unseen[entries.word[entries.first]])[entries.pair] - follows[entries.word]
-        known_word, base = (count > 0)[entries.word], base[entries.word]
-        ends = np.cumsum(np.bincount(entries.block, minlength=len(entries.blocks)))
+        whole = Partition(batches, common)
+        known_word, base, score = np.empty(whole.size, bool), np.empty(whole.size), np.empty(whole.size)
+        for entries in whole.slices():
+            entries.know(known.hot)
+            count, pair = entries.word_count, entries.pair_count
+            follows = np.where((count > 0) & (entries.words != END), np.log10(np.maximum(count, 1)), 0.0)
+            unseen = np.log10(known.word_probability(count))
+            seen = np.log10(known.bigram.kept(np.maximum(pair, 1)))
+            known_word[entries.at] = (count > 0)[entries.word]
+            base[entries.at] = np.log10((count + 1) / (known.tokens + known.words + 1))[entries.word]
+            score[entries.at] = np.where(pair > 0, seen, unseen[entries.word[entries.first]])[entries.pair] - follows[entries.word]
         rows = []
-        for number, first, last in zip(entries.blocks.tolist(), [0, *ends[:-1]], ends):
-            place, n = entries.place[first:last], entries.n[first:last]
+        for number, first, last in zip(whole.blocks.tolist(), [0, *whole.ends], whole.ends):
+            place, n = whole.place[first:last], whole.n[first:last]
             add = lambda weight: np.bincount(place, weight[first:last] * n)  # noqa: E731,B023
             there = np.flatnonzero(np.bincount(place))
             arrays = (_least(there), _least(add(known_word)[there].astype(np.int64)), add(base)[there], add(score)[there])
             rows.append((number, pickle.dumps(arrays, protocol=5)))
         yield pd.DataFrame(rows, columns=["block", "sums"])
 
-    pieces = parts.mapInPandas(summed, "block long, sums binary")
+    pieces = parts.mapInPandas(giving_back(summed), "block long, sums binary")
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
@@ -367,7 +411,7 @@ def _document_sums(parts: DataFrame, common: Common, statistics: Statistics) ->
                 "block": block, "place": np.arange(len(known)), "n_known": known.astype(np.int64), "base_score": base, "score": score,
             })
 
-    return pieces.repartition("block").mapInPandas(joined, "block long, place int, n_known long, base_score double, score double")
+    return pieces.repartition("block").mapInPandas(giving_back(joined), "block long, place int, n_known long, base_score double, score double")
 
 
 def _unseen(parts: DataFrame, common: Common) -> DataFrame:
@@ -375,33 +419,54 @@ def _unseen(parts: DataFrame, common: Common) -> DataFrame:
     shared = share(parts.sparkSession, common)
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entries = Entries(batches, shared_value(shared))
-        at = np.flatnonzero(entries.pair_count[entries.pair] == 0)
-        at = at[np.lexsort((entries.place[at], entries.block[at], entries.context[at]))]
-        context, block, place, n = entries.context[at], entries.block[at], entries.place[at], entries.n[at]
+        whole = Partition(batches, shared_value(shared))
+        at = [entries.at[entries.pair_count[entries.pair] == 0] for entries in whole.slices()]
+        at = np.concatenate([np.empty(0, np.int64), *at])
+        block = np.searchsorted(whole.ends, at, "right")
+        order = np.lexsort((whole.place[at], block, whole.context[at]))
+        at, block = at[order], block[order]
+        context, place, n = whole.context[at], whole.place[at], whole.n[at]
         new = np.append(True, (context[1:] != context[:-1]) | (block[1:] != block[:-1]) | (place[1:] != place[:-1]))[: len(at)]
         first = np.flatnonzero(new)
         yield pd.DataFrame({
-            "context": entries.contexts[context[first]].view(np.int64), "block": entries.blocks[block[first]], "place": place[first],
+            "context": whole.contexts[context[first]].view(np.int64), "block": whole.blocks[block[first]], "place": place[first],
             "n": np.add.reduceat(n, first) if len(first) else n,
         })
 
-    return parts.mapInPandas(listed, "context long, block long, place int, n int")
+    return parts.mapInPandas(giving_back(listed), "context long, block long, place int, n int")
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES for what is planned inside, unless the session sets a size itself."""
+    chosen = spark.conf.get(ARROW_BYTES, None) is not None
+    if not chosen:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if not chosen:
+            spark.conf.unset(ARROW_BYTES)
 
 
 def score_documents(docs: DataFrame, held_out: Column, text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score (Katz), log10.
 
-    Rows for which ``held_out`` holds do not train.
+    Rows for which ``held_out`` holds do not train. The work is done in the call, and its result settled.
     """
-    spark = docs.sparkSession
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("_text"), F.coalesce(held_out, F.lit(False)).alias("_held")
     )
+    with _small_batches(docs.sparkSession):
+        return settle(_scored(docs))
+
+
+def _scored(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
     common, tokens = _common_words(docs)
     n_parts = max(4, math.ceil(tokens / PARTITION_TOKENS))
-    # An RDD shuffle, because its files serve the four passes below; a DataFrame's exchange would be written again.
-    dealt = _blocks(docs, common, n_parts).rdd.map(lambda r: (r[0], bytes(r[1]))).partitionBy(n_parts, int)
+    # Taken as an RDD, because the files of its shuffle then serve the four passes below; a DataFrame's exchange would be written again.
+    dealt = _blocks(docs, common, n_parts).repartitionById(n_parts, "part").rdd.mapPartitions(giving_back(iter))
     parts = spark.createDataFrame(dealt, "part int, block binary")
     statistics = _statistics(parts, common)
     weights = settle(context_weights(parts, common, statistics))

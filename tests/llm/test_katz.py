@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ratewell.llm import katz
@@ -115,3 +116,46 @@ def test_each_document_has_its_own_score_where_batches_end_by_bytes(spark):
     for i, r in cut.items():
         assert r["n_tokens"] == len(tokens_of(texts[i]))
         assert (r["n_known"], r["score"]) == (whole[i]["n_known"], pytest.approx(whole[i]["score"]))
+
+
+def code(word):
+    return np.uint64(xxhash.xxh3_64_intdigest(word))
+
+
+def test_common_words_keep_all_bits_of_their_codes(spark):
+    docs = spark.createDataFrame([(" ".join(["often"] * 50 + [f"w{i}"]), False) for i in range(20)], "_text string, _held boolean")
+    common, tokens = katz._common_words(docs)
+    assert tokens == 20 * 52
+    assert {code(w) for w in (b"often", b"", *(f"w{i}".encode() for i in range(20)))} == set(common.codes)
+    assert code(b"often") in common.codes[common.hot]
+
+
+def test_slices_hold_each_bigram_once_and_whole(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 41}" for k in range(1, 30)) for i in range(200)]
+    docs = spark.createDataFrame([(t, i % 7 == 2) for i, t in enumerate(texts)], "_text string, _held boolean").coalesce(1)
+    common, _ = katz._common_words(docs)
+    parts = katz._blocks(docs, common, 1).toPandas()
+    monkeypatch.setattr(katz, "SLICE_ENTRIES", 300)
+    whole = katz.Partition([parts], common)
+    counted, at, most = Counter(), [], np.bincount(whole.word).max()
+    for entries in whole.slices():
+        assert len(entries.at) <= 300 + most
+        at += entries.at.tolist()
+        for first, n in zip(entries.first, entries.pair_count):
+            pair = whole.contexts[entries.context[first]], entries.words[entries.word[first]]
+            assert pair not in counted
+            counted[pair] = n
+    assert sorted(at) == list(range(whole.size))
+    expected = Counter()
+    for i, t in enumerate(texts):
+        tokens = [code(w) for w in tokens_of(t)]
+        expected.update({p: int(i % 7 != 2) * n for p, n in Counter(zip([katz.START, *tokens], tokens)).items()})
+    assert counted == expected
+
+
+def test_arrow_size_of_the_session_is_left_as_it_was(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b c")], "doc_id long, text string")
+    before = spark.conf.get(name)
+    assert katz.score_documents(docs, F.lit(False)).count() == 2
+    assert spark.conf.get(name) == before
