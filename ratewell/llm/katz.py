@@ -24,7 +24,7 @@ import contextlib
 import math
 import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import WordCodes, giving_back, lower_words, mixed, rows_in_pieces, share, shared_value
+from ratewell.llm.common import giving_back, mixed, rows_in_pieces, share, shared_value, text_codes, words_of
 from ratewell.scale import settle
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
@@ -45,11 +45,13 @@ BLOCK_TOKENS = 1_000_000
 PARTITION_TOKENS = 2_000_000
 #: Entries of a partition that are sorted and counted at a time, and more only where one word has more. Any number gives the same scores.
 SLICE_ENTRIES = 500_000
+#: Hashes of words have so many bits; equal ranges of them are the partitions.
+PLACE_BITS = 31
 #: Length of the list of common words, which travel as 16-bit places in it. Any list gives the same scores.
 COMMON_WORDS = 65_535
 #: Words a task counts for the list before it forgets those seen once; it looks after so many documents.
 COUNTED_WORDS = 250_000
-COUNTED_DOCS = 500
+COUNTED_DOCS = 1000
 #: A word above this share of all tokens, or of half a partition's tokens, is spread by context.
 HOT_SHARE = 1 / 512
 #: Bytes of an Arrow batch, where the session sets none. A task then holds a few rows of whole texts or blocks, not all of its own.
@@ -120,25 +122,37 @@ class Common(NamedTuple):
         return codes
 
 
+def _codes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit codes of the words of all texts, A-Z in lower case, and the number of words of each text."""
+    return text_codes(t if t is None else t.encode().lower().decode() for t in texts)
+
+
+def _counts(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their numbers."""
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _common_words(docs: DataFrame) -> tuple[Common, int]:
     """The most frequent words, and the number of tokens.
 
     A task reports words that make up at least 1 / (4 * COMMON_WORDS) of its own tokens, which bounds its rows.
     """
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, total = Counter(), 0
+        word, n, total = np.empty(0, np.uint64), np.empty(0, np.int64), 0
         for batch in rows_in_pieces(batches, COUNTED_DOCS):
-            for t in batch["_text"]:
-                words = lower_words(t)
-                total += len(words) + 1
-                counts.update(words)
-            if len(counts) > COUNTED_WORDS:
-                counts = Counter({w: n for w, n in counts.items() if n > 1})
-        least = total / (4 * COMMON_WORDS)
-        often = [(xxhash.xxh3_64_intdigest(w), n) for w, n in counts.items() if n >= least]
-        codes = np.array([c for c, _ in often], np.uint64).view(np.int64)
+            codes, sizes = _codes(batch["_text"])
+            total += len(codes) + len(sizes)
+            codes, often = np.unique(codes, return_counts=True)
+            word, n = _counts(np.append(word, codes), np.append(n, often))
+            if len(word) > COUNTED_WORDS:
+                word, n = word[n > 1], n[n > 1]
+        often = n >= total / (4 * COMMON_WORDS)
+        codes = word[often].view(np.int64)
         # As an array of its own kind: beside None a list of whole numbers turns into floats, which round codes.
-        yield pd.DataFrame({"word": pd.array([None, *codes.tolist()], "Int64"), "n": [total, *[n for _, n in often]]})
+        yield pd.DataFrame({"word": pd.array([None, *codes.tolist()], "Int64"), "n": np.append(total, n[often])})
 
     sums = docs.select("_text").mapInPandas(giving_back(counted), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     rows = sums.orderBy(F.col("word").isNotNull(), F.desc("n"), "word").limit(COMMON_WORDS).collect()
@@ -162,12 +176,12 @@ def _blocks(docs: DataFrame, common: Common, parts: int) -> DataFrame:
     shared = share(docs.sparkSession, common)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coded, common = WordCodes(), shared_value(shared)
+        common = shared_value(shared)
         number = TaskContext.get().partitionId() << 32
         words, held, tokens = [], [], 0
-        for batch in batches:
-            for t, out in zip(batch["_text"], batch["_held"]):
-                codes = coded.of(lower_words(t))
+        for batch in rows_in_pieces(batches, COUNTED_DOCS):
+            coded, sizes = _codes(batch["_text"])
+            for codes, out in zip(np.split(coded, np.cumsum(sizes)[:-1]), batch["_held"]):
                 if words and (len(words) == BLOCK_DOCS or tokens + len(codes) + 1 > BLOCK_TOKENS):
                     yield block(number, words, np.array(held, bool), common)
                     number, words, held, tokens = number + len(held), [], [], 0
@@ -194,9 +208,11 @@ def _blocks(docs: DataFrame, common: Common, parts: int) -> DataFrame:
         spread = np.isin(distinct, common.codes[common.hot])[word]
         place = mixed(distinct)[word]
         place[spread] = mixed(place[spread] ^ contexts[context[spread]])
-        # Tokens come by document, and stable sorts keep that order: by partition and word, context, document.
-        order = np.argsort(context, kind="stable")
-        order = order[np.argsort(place[order], kind="stable")]
+        place >>= np.uint64(64 - PLACE_BITS)
+        # By partition and word, context, document, as far as 64 bits hold them; what they do not hold may be an entry of its own twice.
+        key = place << np.uint64(21) | (context & 0x1FFFFF).astype(np.uint64)
+        order = np.argsort(key << np.uint64(12) | doc.astype(np.uint64))
+        del key
         # One after the other, so that one array at a time is held twice.
         word = word[order]
         context = context[order]
@@ -228,8 +244,8 @@ def _blocks(docs: DataFrame, common: Common, parts: int) -> DataFrame:
 
 
 def _part_starts(parts: int) -> np.ndarray:
-    """First hash of each partition: equal ranges of 64 bits."""
-    return np.array([(p << 64) // parts for p in range(parts)], np.uint64)
+    """First hash of each partition: equal ranges."""
+    return np.array([(p << PLACE_BITS) // parts for p in range(parts)], np.uint64)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -239,7 +255,7 @@ def _documents(docs: DataFrame) -> DataFrame:
         for batch in rows_in_pieces(batches, BLOCK_DOCS):
             yield pd.DataFrame({
                 "row": number + np.arange(len(batch)), "doc_id": batch["doc_id"].astype("Int64").array,
-                "held_out": batch["_held"].to_numpy(bool), "n_tokens": [len(lower_words(t)) + 1 for t in batch["_text"]],
+                "held_out": batch["_held"].to_numpy(bool), "n_tokens": [len(words_of(t)) + 1 for t in batch["_text"]],
             })
             number += len(batch)
 
@@ -466,7 +482,7 @@ def _scored(docs: DataFrame) -> DataFrame:
     common, tokens = _common_words(docs)
     n_parts = max(4, math.ceil(tokens / PARTITION_TOKENS))
     # Taken as an RDD, because the files of its shuffle then serve the four passes below; a DataFrame's exchange would be written again.
-    dealt = _blocks(docs, common, n_parts).repartitionById(n_parts, "part").rdd.mapPartitions(giving_back(iter))
+    dealt = _blocks(docs, common, n_parts).repartitionById(n_parts, "part").rdd
     parts = spark.createDataFrame(dealt, "part int, block binary")
     statistics = _statistics(parts, common)
     weights = settle(context_weights(parts, common, statistics))
